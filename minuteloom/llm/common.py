@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = "1024"
 ARROW_BYTES = str(8 << 20)
+#: Values of a label up to which their shares are broadcast; beyond it the rows are joined by hash.
+SHARES = 10_000
 
 
 def session(df_or_spark) -> SparkSession:
@@ -72,7 +74,8 @@ def byte_bounded_sample(rows: DataFrame, by: str, text: str, key: str, max_bytes
     the same in every run. Rows with a null text or null ``by`` take no part."""
     rows = rows.filter(F.col(text).isNotNull() & F.col(by).isNotNull())
     share = rows.groupBy(by).agg((F.lit(float(max_bytes)) / F.greatest(F.sum(F.octet_length(text)), F.lit(1))).alias("_share"))
-    return rows.join(share, by).filter(unit_hash(key, text, seed=seed) < F.col("_share")).drop("_share")
+    few = share.limit(SHARES + 1).count() <= SHARES
+    return rows.join(F.broadcast(share) if few else share, by).filter(unit_hash(key, text, seed=seed) < F.col("_share")).drop("_share")
 
 
 def words_of(text: str | None) -> list[bytes]:
