@@ -29,6 +29,8 @@ COUNT_BLOCK = 2_000_000
 #: Bound of the table of frequent tokens that tasks get. It only orders tokens; any order gives the same links.
 FREQUENT_ROWS = 300_000
 LEADER_ROWS = 2_000  # about so many sets follow one leader of a frequent token
+LEADERS = 3  # that a set is compared with before groups are formed, and tokens by which it draws partners
+PARTNERS, TURNS = 6, 2
 PAGE = 64  # sets of a group
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -39,7 +41,7 @@ class Hasher(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHED_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return h
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -47,7 +49,7 @@ class Hasher(dict):
         words = words_of(text)
         if not words:
             return np.zeros(0, np.int64)
-        h = np.array([self[w] for w in words], np.uint64)
+        h = np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
         k = min(SHINGLE, len(h))
         s = np.full(len(h) - k + 1, k, np.uint64)
         for j in range(k):
@@ -79,41 +81,43 @@ def enough(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, sid, parity) for every row."""
+    """(doc_id, n, sid, parity) for every row, and rows of (tokens, times) without n: each task counts the tokens of all of
+    its texts in blocks and reports those that a block has more than once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            sets = [hasher.shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], ["doc_id", "n", "sid", "parity"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, n int, sid long, parity binary")
-
-
-def frequent_tokens(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, sorted, and their counts. Each task counts the tokens of all of its texts in blocks and
-    reports those that a block has more than once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
+        kind = pa.list_(pa.int64())
+        names = ["doc_id", "n", "sid", "parity", "tokens", "times"]
 
         def report() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(token[times > 1]), pa.array(times[times > 1])], ["token", "times"])
+            token, times = token[times > 1], times[times > 1]
+            starts = range(0, len(token), 10_000)
+            cut = lambda x: pa.array([x[i : i + 10_000] for i in starts], kind)
+            none = lambda t: pa.nulls(len(starts), t)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), cut(token), cut(times)], names)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = hasher.shingles(t)
-                held.append(s)
-                size += len(s)
-                if size >= COUNT_BLOCK:
-                    yield report()
-                    held, size = [], 0
-        if held:
+            sets = [hasher.shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), kind), pa.nulls(len(sets), kind)],
+                names)
+            held += sets
+            size += sum(map(len, sets))
+            if size >= COUNT_BLOCK:
+                yield report()
+                held, size = [], 0
+        if size:
             yield report()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "token long, times long")
-    top = rows.groupBy("token").agg(F.sum("times").alias("times")).filter("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT_ROWS).toArrow()
+    schema = "doc_id long, n int, sid long, parity binary, tokens array<long>, times array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+
+
+def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens of ``document_sets``, sorted, and their counts."""
+    each = rows.filter("n is null").select(F.explode(F.arrays_zip("tokens", "times")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
+    top = each.groupBy("token").agg(F.sum("times").alias("times")).filter("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT_ROWS).toArrow()
     token, times = top["token"].to_numpy(), top["times"].to_numpy()
     order = np.argsort(token)
     return token[order], times[order]
@@ -162,11 +166,17 @@ def _place(c: Column | str) -> Column:
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each set with the leader of each of its shared tokens, where sizes and places admit a link."""
-    pair = lambda df: df.filter((F.col("sid") != F.col("lead.sid")) & enough(_size("size_place"), _place("size_place"), _size("lead.size_place"), _place(F.col("lead.size_place")))).select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b"))
+    """(a, b): each set with the leaders that most of its shared tokens have, where sizes and places admit a link.
+
+    A few leaders are enough here: what they leave apart is compared when groups are opened."""
+    admitted = enough(_size("size_place"), _place("size_place"), _size("lead.size_place"), _place(F.col("lead.size_place")))
+    pair = lambda df: df.filter((F.col("sid") != F.col("lead.sid")) & admitted).select("sid", F.col("lead.sid").alias("lead"))
     leads = shared.filter("salt >= 0").select("token", "lead.sid", "lead.size_place").distinct()
     over = leads.groupBy("token").agg(F.min(F.struct("sid", "size_place")).alias("lead"))
-    return pair(shared).unionByName(pair(leads.join(over, "token"))).distinct()
+    votes = pair(shared).unionByName(pair(leads.join(over, "token"))).groupBy("sid", "lead").count()
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("count"), "lead"))
+    best = votes.withColumn("place", place).filter(F.col("place") <= LEADERS)
+    return best.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,12 +223,30 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     return both.select("a", "b", "u", "v", "ta", "tb").mapInArrow(exact, "u long, v long").distinct()
 
 
-def open_groups(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): queries and members of groups of other components whose bound admits a link."""
+def mixed_tokens(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, sid, n, p, comp): the rows of tokens that sets of different components share."""
     named = sets.select("sid", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("label", "rep").alias("comp"))
-    x = shared.select("token", "sid", _size("size_place").alias("n"), _place("size_place").alias("p")).distinct().join(named, "sid")
+    x = shared.select("token", "sid", "n", "p").join(named, "sid")
     mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    x = stored(x.join(mixed, "token", "left_semi"), "mixed-tokens")
+    return stored(x.join(mixed, "token", "left_semi"), "mixed-tokens")
+
+
+def partner_pairs(x: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set with partners of other components, drawn from those that share a few of its tokens.
+
+    One turn joins most of a large group of near copies; what it leaves apart is compared when groups are opened."""
+    draw = lambda i: F.min_by(F.struct("sid", "n", "p", "comp"), F.xxhash64("sid", F.lit(100 * turn + i)))
+    x = x.filter(7 * F.col("p") <= F.col("n"))  # later tokens admit no set of about this size
+    partners = x.groupBy("token").agg(F.array_distinct(F.array(*(draw(i) for i in range(PARTNERS)))).alias("with"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("token", F.lit(turn))))
+    few = x.withColumn("place", place).filter(F.col("place") <= LEADERS).join(partners, "token")
+    fits = lambda o: (o["comp"] != F.col("comp")) & enough(F.col("n"), F.col("p"), o["n"], o["p"])
+    o = few.select("sid", F.explode(F.filter("with", fits)).alias("o"))
+    return o.select(F.least("sid", "o.sid").alias("a"), F.greatest("sid", "o.sid").alias("b")).distinct()
+
+
+def open_groups(x: DataFrame) -> DataFrame:
+    """(a, b): queries and members of groups of other components whose bound admits a link."""
     pages = x.groupBy("comp").agg(F.ceil(F.approx_count_distinct("sid") / PAGE).alias("pages"))
     x = x.join(pages, "comp").withColumn("page", F.pmod("sid", "pages"))
     matrix = x.groupBy("token", "comp", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
@@ -239,17 +267,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are linked. A null id is linked by its text but stands for no other; other columns take no part."""
     session(docs)
     rows = stored(document_sets(docs, id_col, text_col), "document-sets")
+    frequent = frequent_tokens(rows)
+    rows = rows.filter("n is not null")
     full = rows.filter("n > 0")
     sets = stored(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")), "distinct-sets")
     by = Window.partitionBy("token", "salt")
-    tokens = first_tokens(docs, text_col, frequent_tokens(docs, text_col))
-    shared = tokens.withColumn("lead", F.min(F.struct("sid", "size_place")).over(by)).withColumn("last", F.max("sid").over(by))
-    shared = stored(shared.filter("lead.sid < last or salt >= 0").drop("last"), "shared-tokens")
+    tokens = first_tokens(docs, text_col, frequent)
+    late = 7 * _place("size_place") > _size("size_place")
+    shared = tokens.withColumn("lead", F.min(F.struct(late.alias("late"), "sid", "size_place")).over(by))
+    shared = shared.withColumn("least", F.min("sid").over(by)).withColumn("last", F.max("sid").over(by))
+    shared = stored(shared.filter("least < last or salt >= 0").drop("least", "last"), "shared-tokens")
     links = stored(compared(leader_pairs(shared), sets, docs, id_col, text_col), "leader-links")
     labels = components(links)
-    more = stored(compared(open_groups(shared, sets, labels), sets, docs, id_col, text_col), "group-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    x = mixed_tokens(shared.select("token", "sid", _size("size_place").alias("n"), _place("size_place").alias("p")).distinct(), sets, labels)
+    for turn in range(TURNS + 1):
+        if x.isEmpty():
+            break
+        more = stored(compared(partner_pairs(x, turn) if turn < TURNS else open_groups(x), sets, docs, id_col, text_col), "more-links")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        labels = components(links)
+        if turn < TURNS:
+            x = mixed_tokens(x, sets, labels)
     reps = sets.select("sid", "rep")
     out = full.select("doc_id", "n", "sid").join(reps, "sid").join(labels, F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
