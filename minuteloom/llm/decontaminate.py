@@ -64,8 +64,14 @@ class Items:
         get = self.vocabulary.get
         ids = [get(w, 0) for w in words(text)]
         grams, found = self.grams, []
-        for k in (SEED, *range(1, SEED)) if len(ids) < SEED or self.short else (SEED,):
-            found += [(p, g) for p, g in enumerate(zip(*(ids[j:] for j in range(k)))) if g in grams]
+        for k in range(1, SEED + 1) if self.short else (SEED,):
+            if len(ids) < k:
+                continue
+            known = np.array(ids) > 0
+            both = known[: len(ids) - k + 1].copy()
+            for j in range(1, k):
+                both &= known[j : len(ids) - k + 1 + j]
+            found += [(p, g) for p in np.flatnonzero(both).tolist() if (g := tuple(ids[p : p + k])) in grams]
         return ids, found
 
     @property
