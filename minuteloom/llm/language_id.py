@@ -21,7 +21,7 @@ UNKNOWN = "und"
 BITS = 16
 ORDERS = (1, 2, 3)
 #: Bound of the sample that the model is fitted on: bytes of text of each language.
-SAMPLE_BYTES = 3_000_000
+SAMPLE_BYTES = 1_500_000
 CHUNK_CHARS = 1 << 19
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -103,7 +103,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, alpha: float = 2.0,
         merged = np.concatenate([p[0] for p in parts])
         tf = np.concatenate([p[1] / max(1, p[1].sum()) for p in parts])
         ids, inverse = np.unique(merged, return_inverse=True)
-        made.append((ids, np.bincount(inverse, tf, len(ids)), y))
+        made.append((ids.astype(np.int32), np.bincount(inverse, tf, len(ids)).astype(np.float32), y))
         df[ids] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     order = np.random.default_rng(11).permutation(len(made))

@@ -30,7 +30,9 @@ COUNT_BLOCK = 2_000_000
 FREQUENT_ROWS = 300_000
 LEADER_ROWS = 2_000  # about so many sets follow one leader of a frequent token
 LEADERS = 3  # that a set is compared with before groups are formed, and tokens by which it draws partners
-PARTNERS, TURNS = 6, 2
+PARTNERS, TURNS = 6, 1
+#: Up to so many documents to compare their ids are broadcast to pick their texts; beyond it all texts are dealt by id.
+PICKED = 1_000_000
 PAGE = 64  # sets of a group
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -219,6 +221,9 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     if near.isEmpty():
         return near.select("u", "v")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    if ids.limit(PICKED + 1).count() <= PICKED:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     both = near.join(texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tb")), "v")
     return both.select("a", "b", "u", "v", "ta", "tb").mapInArrow(exact, "u long, v long").distinct()
 
