@@ -68,3 +68,33 @@ def best_display_name(variants: DataFrame) -> DataFrame:
     last = norm_token(F.element_at(F.split("name", r"\s+"), -1)) == F.col("key")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(last.cast("int")), F.desc(words), F.desc(F.length("name")), "name"))
     return variants.select("key", "name").distinct().withColumn("_p", place).filter("_p = 1").drop("_p")
+
+
+def resolve_display_names(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """``display`` of each mention's key: its canonical name, else the key in title case. A key has one canonical name."""
+    return mentions.join(registry.select("key", F.col("name").alias("_n")), "key", "left").withColumn("display", F.coalesce("_n", F.initcap("key"))).drop("_n")
+
+
+def apply_author_overrides(points: DataFrame, overrides: DataFrame) -> DataFrame:
+    """One row per point and author; an override of (meeting, sp), which may name several, replaces the point's own author."""
+    x = points.join(overrides.select("meeting", "sp", F.col("authors").alias("_a")), ["meeting", "sp"], "left")
+    return x.withColumn("author", F.explode_outer(F.coalesce("_a", F.array("author")))).drop("_a")
+
+
+def enrich_variants(mentions: DataFrame, people: DataFrame, variants: DataFrame) -> DataFrame:
+    """(key, name): the known ``variants`` and those of speakers whose key already is a person's; it adds no person."""
+    return variants.select("key", "name").unionByName(mentions.select("key", "name").join(people.select("key"), "key", "left_semi")).distinct()
+
+
+def rank_people(activity: DataFrame, least: int = 2, role: str | None = None) -> DataFrame:
+    """People with ``least`` acts or more (of one role), most acts first, then most deposits, then by key."""
+    x = activity.withColumn("total", F.col("deposits") + F.col("answers")).filter(F.col("total") >= least)
+    return (x if role is None else x.filter(F.col("role") == role)).orderBy(F.desc("total"), F.desc("deposits"), "key")
+
+
+def person_timeline(acts: DataFrame, key: str, year: int | None = None) -> DataFrame:
+    """The acts of one person, newest first, then by number from the last; of one year where it is given."""
+    x = acts.filter(F.col("key") == key)
+    if year is not None:
+        x = x.filter((F.col("date") >= f"{year}-01-01") & (F.col("date") < f"{year + 1}-01-01"))
+    return x.orderBy(F.desc_nulls_last("date"), F.desc("sp"))

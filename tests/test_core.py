@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
-from minuteloom.operators import merge, people, retrieval, stats, video
+from minuteloom.operators import meetings, merge, people, retrieval, stats, video
 from minuteloom.sources import files
 from minuteloom.streaming.ingest import ingest_stream, latest
 
@@ -107,3 +107,31 @@ def test_ingest_is_idempotent(spark, tmp_path):
     ingest_stream(*args)
     got = latest(spark, str(tmp_path / "table"), args[4]).collect()
     assert sorted((r.meeting, r.sp, r.decision) for r in got) == [(1, 1, "d"), (2, 1, None)]
+
+
+def test_decision_summary(spark):
+    rows = [("PRENDRE ACTE", None, None, None, None), ("BESLIST", "unanimite", None, None, None), ("Approuvé", "vote_nominal", 25, 3, 1), ("VU + ÉCRIT", None, None, None, None), ("  ", None, None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, d string, v string, p int, c int, a int")
+    got = [r[0] for r in df.orderBy("i").select(meetings.decision_summary(*(F.col(c) for c in "dvpca"))).collect()]
+    assert got == ["Pris acte", "Décidé à l'unanimité", "Approuvé (25 pour, 3 contre, 1 abstention)", "Vu + écrit", None, None]
+
+
+def test_pages_and_films(spark):
+    assert values(spark, ["6", "99", None, "Page 5"], lambda c: meetings.fix_point_page(c, F.lit(5), F.lit(7))) == [6, 5, 5, 5]
+    urls = ["https://youtu.be/abcDEF_-123", "https://www.youtube.com/watch?v=abcDEF_-123&t=7s", " abcDEF_-123 "]
+    assert set(values(spark, urls, meetings.video_id_from)) == {"abcDEF_-123"}
+    pages = spark.createDataFrame([("a", 1, "SP 1.- x sp2 .-"), ("a", 2, "SP 2.- SP 3.-"), ("a", 3, None)], "doc string, page_num int, text string")
+    assert {(r.sp, r.page_num) for r in meetings.sp_anchors(pages).collect()} == {(1, 1), (2, 1), (3, 2)}
+
+
+def test_sort_points(spark):
+    df = spark.createDataFrame([("m", x) for x in ("3", "bis", "1", "10", None)], "meeting string, sp_raw string")
+    assert [r.sp_raw for r in meetings.sort_points(df).orderBy("place").collect()] == ["1", "3", "10", "bis", None]
+
+
+def test_overrides_and_variants(spark):
+    points = spark.createDataFrame([(1, 1, "a"), (1, 2, None)], "meeting int, sp int, author string")
+    told = spark.createDataFrame([(1, 1, ["b", "c"])], "meeting int, sp int, authors array<string>")
+    assert {(r.sp, r.author) for r in people.apply_author_overrides(points, told).collect()} == {(1, "b"), (1, "c"), (2, None)}
+    named = spark.createDataFrame([("a", "A A"), ("z", "Z Z")], "key string, name string")
+    assert {r.name for r in people.enrich_variants(named, spark.createDataFrame([("a",)], "key string"), named.limit(0)).collect()} == {"A A"}
