@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.operators import meetings, people
+from minuteloom.operators import meetings, people, retrieval
 from minuteloom.plans import adapters as A
 from minuteloom.plans.registry import P, points, query, view
 
@@ -137,3 +137,13 @@ def q3_video_checks(spark, sf_dir):
 def f28_best_display_name(spark, sf_dir):
     x = view(spark, sf_dir, "SELECT concat('k', CAST(c_custkey % 97 AS STRING)) AS key, concat(c_name, repeat(concat(' K', CAST(c_custkey % 97 AS STRING)), CAST(c_custkey % 3 AS INT))) AS name FROM customer")
     return people.best_display_name(x)
+
+
+FILMED = "SELECT concat('c', CAST(conv_id AS VARCHAR(19))) AS video_id, turn AS start_s, text AS titre, left(text, 20) AS first, CASE WHEN turn % 2 = 0 THEN right(text, 20) ELSE ' ' END AS last FROM conversations"
+
+
+@query(f"""WITH c AS ({FILMED}), k AS (SELECT *, 'video-' || video_id || '-' || start_s AS id FROM c) SELECT id, titre AS chunk_text, start_s FROM k
+  UNION ALL SELECT id || '-t' || (start_s + 5), first, start_s + 5 FROM k WHERE trim(first) <> '' UNION ALL SELECT id || '-t' || (start_s + 9), last, start_s + 9 FROM k WHERE trim(last) <> ''""")
+def f20_video_chunks(spark, sf_dir):
+    part = lambda after, name: F.struct((F.col("start_s") + after).alias("start_s"), F.col(name).alias("text"))
+    return retrieval.video_chunks(view(spark, sf_dir, FILMED).withColumn("transcript", F.array(part(5, "first"), part(9, "last"))))
