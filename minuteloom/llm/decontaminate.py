@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find training passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find training passages, Smith-Waterman alignment scores them.
 
-The n-grams of the test items are counted over all training texts. Each item keeps its rare ones as seeds,
-by a measure of its own, so an item that leaked into many texts keeps seeds too. Seeds that a text and an
-item share mark passages, which are aligned word by word: edited copies align with gaps and mismatches."""
+Every n-gram of a test item is a seed, however many texts it stands in: a leak repeated often makes its own
+n-grams common. Seeds that a text and an item share mark passages. Those in which no alignment can reach the
+least score, by a bound that is never too low, are passed over; the others are aligned word by word: edited
+copies align with gaps and mismatches."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from minuteloom.llm.common import session
 
 SEED = 3
-LEAST_SEEDS = 2  # distinct ones of a passage; 1 where an item has fewer than four
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bound of the items that tasks get at once; larger benchmarks are worked through in slices of this many bytes of text.
@@ -40,7 +40,6 @@ class Items:
     texts: list[list[int]]
     vocabulary: dict[str, int]
     grams: dict[tuple[int, ...], list[int]]  # seed -> places in ids
-    seeds_of: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -51,13 +50,7 @@ class Items:
             k = min(SEED, len(t))
             for g in {tuple(t[j : j + k]) for j in range(len(t) - k + 1)} if t else ():
                 grams[g].append(i)
-        out = cls([i for i, _ in rows], texts, vocabulary, dict(grams))
-        out.count_seeds()
-        return out
-
-    def count_seeds(self) -> None:
-        n = Counter(i for places in self.grams.values() for i in places)
-        self.seeds_of = [n[i] for i in range(len(self.ids))]
+        return cls([i for i, _ in rows], texts, vocabulary, dict(grams))
 
     def hits(self, text: str | None) -> tuple[list[int], list[tuple[int, tuple[int, ...]]]]:
         """The text's word numbers (0: in no item), and the places and n-grams that items have too."""
@@ -78,22 +71,6 @@ class Items:
     def short(self) -> bool:
         return any(0 < len(t) < SEED for t in self.texts)
 
-    def rare(self, counts: dict[tuple[int, ...], int]) -> Items:
-        """Each item's rare seeds: those in at most twice as many texts as its lower quartile, or in ten more than that."""
-        kept: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        own: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for g, places in self.grams.items():
-            for i in places:
-                own[i].append(g)
-        for i, gs in own.items():
-            usual = sorted(counts.get(g, 0) for g in gs)[len(gs) // 4]
-            for g in gs:
-                if counts.get(g, 0) <= max(2 * usual, usual + 10):
-                    kept[g].append(i)
-        out = Items(self.ids, self.texts, self.vocabulary, dict(kept))
-        out.count_seeds()
-        return out
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
     """Best local alignment: score over that of the whole item, first and last word of the passage, matched words."""
@@ -118,6 +95,17 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
     return best / (MATCH * m), int(j), last, matched
 
 
+def bound(item: Counter, passage: list[int]) -> int:
+    """A score that no alignment of the item and the passage exceeds: words that the item has match at best, each
+    other word inside the alignment costs, and no word matches oftener than it stands in the item."""
+    best = total = 0
+    for w in passage:
+        total = total + MATCH if w in item else max(0, total + max(MISMATCH, GAP))
+        if total > best:
+            best = total
+    return min(best, MATCH * sum((item & Counter(passage)).values())) if best else 0
+
+
 def leaks_of(text: str | None, items: Items, least: float = LEAST_SCORE) -> list[dict]:
     """The best aligned passage of each item that the text holds with a score of ``least`` or more."""
     ids, found = items.hits(text)
@@ -130,14 +118,13 @@ def leaks_of(text: str | None, items: Items, least: float = LEAST_SCORE) -> list
     for i, marks in sorted(by_item.items()):
         item, best = items.texts[i], None
         span = 2 * len(item)
-        need = LEAST_SEEDS if items.seeds_of[i] >= 4 else 1
-        start = 0
+        start, own = 0, Counter(item)
         while start < len(marks):  # seeds nearer to each other than the item is long make one passage
             end = start + 1
             while end < len(marks) and marks[end][0] - marks[end - 1][0] <= len(item):
                 end += 1
-            if len({g for _, g in marks[start:end]}) >= need:
-                low, high = max(0, marks[start][0] - span), min(len(ids), marks[end - 1][0] + SEED + span)
+            low, high = max(0, marks[start][0] - span), min(len(ids), marks[end - 1][0] + SEED + span)
+            if bound(own, ids[low:high]) >= least * MATCH * len(item):
                 score, first, last, matched = align(np.array(item, np.int64), all_ids[low:high])
                 if score >= least and (best is None or score > best["score"]):
                     best = {"item_id": items.ids[i], "score": score, "first_word": low + first, "last_word": low + last, "matched_words": matched}
@@ -159,24 +146,6 @@ def slices(bench: DataFrame, item_col: str, text_col: str) -> list[Items]:
     return parts
 
 
-def seed_counts(docs: DataFrame, items: Items, text_col: str) -> dict[tuple[int, ...], int]:
-    """In how many texts each n-gram of the slice stands, over all texts; as many numbers as the slice has n-grams."""
-    order = {g: i for i, g in enumerate(items.grams)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(order), np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for g in {g for _, g in items.hits(t)[1]}:
-                    n[order[g]] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["gram", "n"])
-
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    n = {r.gram: r.n for r in got}
-    return {g: n.get(i, 0) for g, i in order.items()}
-
-
 def leaks(text: Column | str, items: Items, least: float = LEAST_SCORE) -> Column:
     """array of (item_id, score, first_word, last_word, matched_words) of each text; null and empty texts have none."""
 
@@ -188,10 +157,10 @@ def leaks(text: Column | str, items: Items, least: float = LEAST_SCORE) -> Colum
     return run(text)
 
 
-def prepare(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> list[Items]:
-    """The slices of the benchmark with the seeds that are rare in ``docs``."""
+def prepare(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> list[Items]:
+    """The slices of the benchmark."""
     session(docs)
-    return [s.rare(seed_counts(docs, s, text_col)) for s in slices(bench, item_col, item_text_col) if s.ids]
+    return [s for s in slices(bench, item_col, item_text_col) if s.ids]
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -199,7 +168,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
     Items without a word match nothing; repeated rows are found again each; an empty table or benchmark gives no rows."""
     out = None
-    for items in prepare(docs, bench, text_col):
+    for items in prepare(docs, bench):
         rows = docs.select(F.col(id_col), F.explode(leaks(F.col(text_col), items, least)).alias("_l")).select(id_col, "_l.*")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -210,6 +179,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no copy of an item."""
     out = docs
-    for items in prepare(docs, bench, text_col):
+    for items in prepare(docs, bench):
         out = out.filter(F.size(leaks(F.col(text_col), items, least)) == 0)
     return out

@@ -156,6 +156,22 @@ def test_leaks(spark):
     assert got[0, 0].score == 1 and got[0, 0].first_word == 50 and got[0, 0].last_word == 79
 
 
+def test_leaks_in_many_texts_equal_brute_force(spark):
+    r = random.Random(8)
+    w = lambda n: [f"w{r.randrange(10_000)}" for _ in range(n)]
+    items = [w(40) for _ in range(3)]
+    edited = [f"e{j}" if j % 10 == 9 else x for j, x in enumerate(items[0])]
+    texts = [w(5) + edited + w(5) for _ in range(60)] + [w(5) + items[1][:25] + w(5) for _ in range(60)] + [w(5) + items[2][:12] + w(30) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    number = {x: i for i, x in enumerate(sorted({x for t in texts + items for x in t}))}
+    of = lambda t: np.array([number[x] for x in t])
+    best = {(d, i): decontaminate.align(of(item), of(t))[0] for d, t in enumerate(texts) for i, item in enumerate(items)}
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {k: s for k, s in best.items() if s >= 0.5} and len(got) == 120
+    assert {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()} == set(range(120, 180))
+
+
 def test_alignment_equals_plain_recurrence():
     r = np.random.default_rng(0)
     for _ in range(30):
