@@ -1,63 +1,108 @@
 """Toxicity: maximum-scoring segment search over token log-odds with Dirichlet priors.
 
-Tokens are scored by how much oftener they stand in toxic than in other texts, with an informative
-Dirichlet prior from all texts. A linear-time scan finds every maximal scoring segment of a text, and
+Tokens are scored, at each of their places, by how much oftener they stand in toxic than in other texts, with an
+informative Dirichlet prior from all texts, labelled or not. A linear-time scan finds every maximal scoring segment of a text, and
 extreme-value statistics turn their scores into one probability for the text."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minuteloom.llm.common import byte_bounded_sample, id_remainder, session
 
 STEM = 4  # characters of the word beginnings that stand in for words not seen among the labelled texts
-PRIOR_SHARE = 0.01  # of the tokens counted: the weight of the Dirichlet prior
+PRIOR_SHARE = 0.01  # of the labelled tokens: the weight of the Dirichlet prior
 DRIFT = 0.7  # what a token without evidence takes from a segment's score
 CHANCE_TERMS = 8  # about so many terms may enter the lexicon by chance
 #: Bounds: entries of the lexicon that tasks get, and bytes of text of each label for the calibration.
 LEXICON_ROWS = 200_000
 SAMPLE_BYTES = 2_000_000
+COUNTED_TERMS = 200_000  # that a counting task holds before it hands its counts on
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+COUNTS = ("toxic", "other", "everywhere", "toxic_texts", "other_texts")
+
+
+def tokens(text: str | None) -> list[str]:
+    return _TOKEN.findall(text.lower()) if text else []
+
+
+def stem(word: str) -> str | None:
+    return word[:STEM] + "*" if len(word) >= STEM else None
 
 
 def log_odds(counts: DataFrame, share: float = PRIOR_SHARE) -> DataFrame:
-    """(term, toxic, other, everywhere) -> those and odds, evidence, terms.
-
-    odds: log-odds ratio with an informative Dirichlet prior, a term's part of which is its share among all
-    texts. evidence: log-likelihood ratio, in nats, of the term's own toxic share against the overall one,
-    negative where the term is rarer in toxic texts. terms: how many terms were compared."""
-    total = counts.agg(F.sum("toxic").alias("_t"), F.sum("other").alias("_o"), F.sum("everywhere").alias("_e"), F.count("*").alias("terms"))
-    x = counts.join(F.broadcast(total))  # one row of totals
-    t, o, n = F.col("toxic"), F.col("other"), F.col("everywhere")
-    a, prior = n * share, F.col("_e") * share
+    """(term, COUNTS) -> those and odds, evidence, terms.
+
+    odds: log-odds ratio of tokens with an informative Dirichlet prior, a term's part of which is its share among
+    all texts. evidence: log-likelihood ratio, in nats, of the toxic share of the labelled texts with the term against
+    the overall one, negative where the term is rarer in toxic texts; texts and not tokens, as a word repeated in one
+    text says little about others. terms: how many terms of labelled texts were compared."""
+    names = {"_t": "toxic", "_o": "other", "_e": "everywhere", "_tt": "toxic_texts", "_ot": "other_texts"}
+    total = counts.agg(*(F.sum(c).alias(k) for k, c in names.items()), F.count_if(F.col("toxic_texts") + F.col("other_texts") > 0).alias("terms"))
+    x = counts.filter("toxic_texts + other_texts > 0").join(F.broadcast(total))  # one row of totals
+    prior = share * (F.col("_t") + F.col("_o"))
+    a = prior * F.col("everywhere") / F.col("_e")
     side = lambda y, m: F.log((y + a) / (m + prior - y - a))
-    base = F.col("_t") / F.col("_e")
+    t, o = F.col("toxic_texts"), F.col("other_texts")
+    n, base = t + o, F.col("_tt") / (F.col("_tt") + F.col("_ot"))
     part = lambda y, p: F.when(y > 0, y * F.log(y / n / p)).otherwise(0.0)
     evidence = F.when(t / n >= base, 1).otherwise(-1) * (part(t, base) + part(o, 1 - base))
-    return x.select(*counts.columns, (side(t, F.col("_t")) - side(o, F.col("_o"))).alias("odds"), evidence.alias("evidence"), "terms")
+    return x.select(*counts.columns, (side(F.col("toxic"), F.col("_t")) - side(F.col("other"), F.col("_o"))).alias("odds"), evidence.alias("evidence"), "terms")
 
 
 def term_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(term, toxic, other, everywhere) over all texts; labels only of rows whose crc32(id) mod 5 is not 0.
+    """(term, COUNTS): tokens of toxic, of other and of all texts, and texts with the term; labels only of rows whose
+    crc32(id) mod 5 is not 0, ``everywhere`` over every text of ``docs``.
 
-    Terms are distinct tokens of a text, and their beginnings marked by a trailing ``*``."""
+    Terms are tokens, and their beginnings marked by a trailing ``*``."""
     marks = labels.filter(id_remainder(id_col, 5) != 0).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull()).join(marks, "_id")
-    words = F.array_distinct(tokens(F.col("_text")))
-    stems = F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
-    known = rows.select("_y", F.explode(F.concat(words, stems)).alias("term"))
-    return known.groupBy("term").agg(F.sum("_y").alias("toxic"), F.sum(1 - F.col("_y")).alias("other")).withColumn("everywhere", F.col("toxic") + F.col("other"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: Counter() for k in COUNTS}
+
+        def take() -> pa.RecordBatch:
+            for k in ("toxic", "other", "everywhere"):
+                beginnings = Counter()
+                for w, n in held[k].items():
+                    if b := stem(w):
+                        beginnings[b] += n
+                held[k].update(beginnings)
+            terms = list(set().union(*held.values()))
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in held.values())], ["term", *COUNTS])
+            for c in held.values():
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = tokens(text)
+                if y is None:
+                    held["everywhere"].update(words)
+                else:
+                    kind, own = "toxic" if y else "other", set(words)
+                    held[kind].update(words)
+                    held[f"{kind}_texts"].update(own | {b for w in own if (b := stem(w))})
+                if sum(map(len, held.values())) > COUNTED_TERMS:
+                    yield take()
+        yield take()
+
+    schema = "term string, " + ", ".join(f"{c} long" for c in COUNTS)
+    # two counts and no outer join: the texts without a label are never shuffled
+    every = texts.select("_text", F.lit(None).cast("int").alias("_y")).mapInArrow(count, schema)
+    known = texts.join(marks, "_id").select("_text", "_y").mapInArrow(count, schema)
+    return every.unionByName(known).groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 @dataclass
@@ -105,12 +150,10 @@ class ToxicModel:
         return g if g is not None else self.stems.get(word[:STEM], 0.0) if len(word) >= STEM else 0.0
 
     def segments(self, text: str) -> tuple[int, list[Segment]]:
-        words = _TOKEN.findall(text.lower())
+        words = tokens(text)
         gains, stems = self.gains, self.stems
         hits = [i for i, w in enumerate(words) if w in gains or w[:STEM] in stems]
-        # the odds are those of texts with the word, so a word's later places in the text score 0
-        first = {words[i]: i for i in reversed(hits)}
-        g = np.array([self.gain(words[i]) if first[words[i]] == i else 0.0 for i in hits])
+        g = np.array([self.gain(words[i]) for i in hits])
         return len(words), maximal_segments(np.array(hits, int), g)
 
     def surprise(self, n_words: int, segments: list[Segment]) -> float:
@@ -143,7 +186,7 @@ def karlin(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> ToxicModel:
-    """Counts over all labelled texts whose crc32(id) mod 5 is not 0, in Spark; the tasks get the ``LEXICON_ROWS``
+    """Counts over all texts, and over labelled ones whose crc32(id) mod 5 is not 0, in Spark; the tasks get the ``LEXICON_ROWS``
     terms of most evidence at most. The calibration is fitted on a sample of ``sample_bytes`` of each label.
     Without labelled rows of both kinds every text scores the share of the kind that there is, or 0.5."""
     session(docs)
@@ -155,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = lexicon[~lexicon.term.str.endswith("*")]
     stems = lexicon[lexicon.term.str.endswith("*")]
     # a beginning speaks for unseen words only where it hardly ever stands in other texts
-    stems = stems[stems.toxic > 9 * stems.other]
+    stems = stems[stems.toxic_texts > 9 * stems.other_texts]
     model = ToxicModel(dict(zip(whole.term, whole.odds)), dict(zip(stems.term.str.rstrip("*"), 0.8 * stems.odds)), 1.0, 0.1, 1.0, 0.0)
     if len(whole):
         s, w = whole.odds.to_numpy(), (whole.other.to_numpy() + 0.5) / float(total)

@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -195,6 +196,23 @@ def test_maximal_segments_equal_a_plain_scan():
         assert all(abs(scores[s.first : s.last + 1].sum() - s.score) < 1e-9 for s in found)
 
 
+def test_every_place_of_a_toxic_word_scores():
+    model = toxicity.ToxicModel({"idiot": 3.0, "clown": 3.0}, {}, 1.0, 0.1, 1.0, 0.0)
+    dense, calm = ["idiot", "clown", "you", "clown", "idiot"], ["calm"] * 60
+    n, found = model.segments(" ".join(["idiot", *calm, "clown", *calm, *dense, *calm, *dense]))
+    assert [(s.first, s.last) for s in found] == [(0, 0), (61, 61), (122, 126), (187, 191)]
+    assert found[2].score == pytest.approx(4 * 3 - 0.7) and found[3].score == pytest.approx(found[2].score)
+
+
+def test_toxic_prior_counts_all_texts(spark):
+    docs = spark.createDataFrame([(1, "Mean mean words"), (2, "kind words"), (3, "words unlabelled words"), (4, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in (1, 2))
+    got = {r.term: tuple(r)[1:] for r in toxicity.term_counts(docs, marks, "doc_id", "text", "toxic").collect()}
+    assert got["words"] == (1, 1, 4, 1, 1) and got["mean"] == (2, 0, 2, 1, 0) and got["unlabelled"] == (0, 0, 1, 0, 0) and got["word*"] == (1, 1, 4, 1, 1)
+    assert {r.term for r in toxicity.log_odds(toxicity.term_counts(docs, marks, "doc_id", "text", "toxic")).collect()} == {"mean", "kind", "words", "mean*", "kind*", "word*"}
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_models_handle_nulls_and_empty_tables(spark, docs, empty):
     x = docs.limit(0) if empty else docs
