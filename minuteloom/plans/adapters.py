@@ -30,7 +30,7 @@ CHAPTERS = "SELECT user_id AS video_id, event_id AS chapter, ts AS start_s FROM
 SEGMENTS = "SELECT user_id AS video_id, event_id AS segment, ts AS t, event_type AS text FROM events WHERE event_type <> 'purchase'"
 CAPTIONS = "SELECT conv_id AS video_id, conv_id AS chapter, turn AS ord, CAST(turn * 5 AS DOUBLE) AS start_s, text FROM conversations"
 CHUNKS = "SELECT vec_id AS id, embedding AS vector, 2000 + label AS year, CASE WHEN label % 2 = 0 THEN 'north' ELSE 'south' END AS commune, label FROM embeddings"
-ASKED = "SELECT vec_id AS question, embedding AS q_vector, CASE WHEN label > 3 THEN 2002 END AS lo, CASE WHEN label < 7 THEN 2008 END AS hi, CASE WHEN label % 3 = 0 THEN 'north' END AS q_commune, label % 2 = 0 AS in_scope FROM embeddings WHERE vec_id % 25 = 0"
+ASKED = "SELECT vec_id AS question, embedding AS q_vector, CASE WHEN label > 3 THEN 2002 END AS lo, CASE WHEN label < 7 THEN 2008 END AS hi, CASE WHEN label % 3 = 0 THEN 'north' END AS q_commune, label % 2 = 0 AS in_scope FROM embeddings WHERE vec_id % 20 = 0"
 NAMES = """
 SELECT c_custkey AS id, concat(CASE c_custkey % 5 WHEN 0 THEN 'M. ' WHEN 1 THEN 'Mme. ' WHEN 2 THEN 'MM. ' ELSE '' END,
   CASE c_custkey % 7 WHEN 0 THEN 'Georges VERDIN' WHEN 1 THEN 'Van den Heuvel Quentin' WHEN 2 THEN 'Noël, Bourgmestre' WHEN 3 THEN 'Anne Él Amrani' WHEN 4 THEN 'de Brabant'

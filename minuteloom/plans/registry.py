@@ -400,9 +400,13 @@ def f23_f24_person_names(spark, sf_dir):
     return x.select("id", people.clean_name(F.col("raw")).alias("name"), people.person_key(F.col("raw")).alias("key"), F.size(people.split_person_names(F.col("raw"))).alias("people"))
 
 
-@query(P + """, d AS (SELECT author AS key, count(*) FILTER (type = 'question_orale') AS questions, count(*) FILTER (type = 'demande_habitant') AS requests, count(*) FILTER (type = 'motion') AS motions, count(*) AS deposits FROM points WHERE type <> 'point' AND partkey % 3 = 0 GROUP BY 1),
-  a AS (SELECT author AS key, count(*) AS answers FROM points WHERE suppkey % 10 = 0 GROUP BY 1), j AS (SELECT key, coalesce(questions, 0) AS questions, coalesce(requests, 0) AS requests, coalesce(motions, 0) AS motions, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM d FULL JOIN a USING (key))
+def deposits_and_answers(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an author puts forward, and every point that a speaker answers; both with the person as key."""
+    return x.filter("type <> 'point'").withColumnRenamed("author", "key"), x.withColumnRenamed("speaker", "key")
+
+
+@query(P + """, d AS (SELECT author AS key, count(*) FILTER (type = 'question_orale') AS questions, count(*) FILTER (type = 'demande_habitant') AS requests, count(*) FILTER (type = 'motion') AS motions, count(*) AS deposits FROM points WHERE type <> 'point' GROUP BY 1),
+  a AS (SELECT speaker AS key, count(*) AS answers FROM points GROUP BY 1), j AS (SELECT key, coalesce(questions, 0) AS questions, coalesce(requests, 0) AS requests, coalesce(motions, 0) AS motions, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM d FULL JOIN a USING (key))
   SELECT *, CASE WHEN (answers > 0 AND deposits = 0) OR (answers >= 8 AND answers > deposits) THEN 'college' ELSE 'councillor' END AS role FROM j WHERE deposits + answers >= 2""")
 def a9_a18_person_activity(spark, sf_dir):
-    x = points(spark, sf_dir).withColumnRenamed("author", "key")
-    return people.person_activity(x.filter("type <> 'point' and partkey % 3 = 0"), x.filter("suppkey % 10 = 0"))
+    return people.person_activity(*deposits_and_answers(points(spark, sf_dir)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from minuteloom.operators import meetings, people, retrieval
 from minuteloom.plans import adapters as A
-from minuteloom.plans.registry import P, points, query, view
+from minuteloom.plans.registry import P, deposits_and_answers, points, query, view
 
 RAW = "SELECT l_orderkey AS meeting, l_linenumber AS n, l_partkey, l_suppkey, CASE WHEN l_suppkey % 5 = 0 THEN concat('bis ', CAST(l_linenumber AS VARCHAR(9))) ELSE CAST(l_linenumber + 5 AS VARCHAR(9)) END AS sp_raw FROM lineitem"
 CHAPTERS = """SELECT l_orderkey AS meeting, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - l_linenumber % 4 END AS sp, l_linenumber AS ord, concat('chapter ', CAST(l_linenumber AS VARCHAR(9))) AS titre,
@@ -84,12 +84,11 @@ def j14_enrich_variants(spark, sf_dir):
     return people.enrich_variants(x.filter("sp > 4"), x.filter("sp = 1"), x.filter("sp = 1"))
 
 
-@query(P + """, d AS (SELECT author AS key, count(*) AS deposits FROM points WHERE type <> 'point' GROUP BY 1), a AS (SELECT author AS key, count(*) AS answers FROM points WHERE suppkey % 10 = 0 GROUP BY 1),
+@query(P + """, d AS (SELECT author AS key, count(*) AS deposits FROM points WHERE type <> 'point' GROUP BY 1), a AS (SELECT speaker AS key, count(*) AS answers FROM points GROUP BY 1),
   j AS (SELECT key, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM d FULL JOIN a USING (key)) SELECT key, deposits, answers, deposits + answers AS total FROM j
   WHERE deposits + answers >= 3 AND NOT ((answers > 0 AND deposits = 0) OR (answers >= 8 AND answers > deposits)) ORDER BY total DESC, deposits DESC, key""")
 def k4_rank_people(spark, sf_dir):
-    x = points(spark, sf_dir).withColumnRenamed("author", "key")
-    return people.rank_people(people.person_activity(x.filter("type <> 'point'"), x.filter("suppkey % 10 = 0")), 3, "councillor").select("key", "deposits", "answers", "total")
+    return people.rank_people(people.person_activity(*deposits_and_answers(points(spark, sf_dir))), 3, "councillor").select("key", "deposits", "answers", "total")
 
 
 @query(P + "SELECT date, sp, meeting, titre FROM points WHERE author = 'Customer#000000001' AND year(date) >= 1992 ORDER BY date DESC, sp DESC")

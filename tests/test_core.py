@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
 from minuteloom.operators import meetings, merge, people, retrieval, stats, video
+from minuteloom.plans import registry, views
 from minuteloom.sources import files
 from minuteloom.streaming.ingest import ingest_stream, latest
 
@@ -135,3 +136,27 @@ def test_overrides_and_variants(spark):
     assert {(r.sp, r.author) for r in people.apply_author_overrides(points, told).collect()} == {(1, "b"), (1, "c"), (2, None)}
     named = spark.createDataFrame([("a", "A A"), ("z", "Z Z")], "key string, name string")
     assert {r.name for r in people.enrich_variants(named, spark.createDataFrame([("a",)], "key string"), named.limit(0)).collect()} == {"A A"}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_activity_counts_every_point(spark):
+    x = registry.points(spark, SMALL)
+    deposits = {r[0]: r[1] for r in x.filter("type <> 'point'").groupBy("author").count().collect()}
+    answers = {r[0]: r[1] for r in x.groupBy("speaker").count().collect()}
+    want = {k: (deposits.get(k, 0), answers.get(k, 0)) for k in {*deposits, *answers} if deposits.get(k, 0) + answers.get(k, 0) >= 2}
+    assert {r.key: (r.deposits, r.answers) for r in registry.QUERIES["a9_a18_person_activity"](spark, SMALL).collect()} == want
+    ranked = {r.key: r.total for r in views.k4_rank_people(spark, SMALL).collect()}
+    assert ranked == {k: d + a for k, (d, a) in want.items() if d + a >= 3 and not (a and not d or a >= 8 and a > d)}
+
+
+def test_activity_joins_both_sides(spark):
+    d = spark.createDataFrame([("a", "motion")] * 2 + [("b", "question_orale")] * 2, "key string, type string")
+    a = spark.createDataFrame([("a",)] * 9 + [("b",), ("c",), ("c",), ("d",)], "key string")
+    assert {r.key: (r.deposits, r.answers, r.role) for r in people.person_activity(d, a).collect()} == {"a": (2, 9, "college"), "b": (2, 1, "councillor"), "c": (0, 2, "college")}
+
+
+def test_searches_ask_all_ruled_vectors(spark):
+    ruled = {r[0] for r in registry.view(spark, SMALL, "SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").collect()}
+    assert {r.question for r in registry.QUERIES["j12_k1_vector_search"](spark, SMALL).select("question").distinct().collect()} == ruled
