@@ -304,9 +304,9 @@ def a20_chapter_excerpts(spark, sf_dir):
     return video.chapter_excerpts(video.align_transcript(view(spark, sf_dir, A.CHAPTERS), s).join(s.select("segment", "text"), "segment"))
 
 
-@query(f"SELECT video_id, ord, text FROM (SELECT video_id, ord, left(text, 9) AS text FROM ({A.CAPTIONS})) QUALIFY row_number() OVER (PARTITION BY video_id, text ORDER BY ord) = 1")
+@query(f"SELECT video_id, ord, text FROM ({A.CAPTIONS}) QUALIFY row_number() OVER (PARTITION BY video_id, text ORDER BY ord) = 1")
 def w4_dedup_captions(spark, sf_dir):
-    return video.dedup_captions(view(spark, sf_dir, A.CAPTIONS).select("video_id", "ord", F.substring("text", 1, 9).alias("text")))
+    return video.dedup_captions(view(spark, sf_dir, A.CAPTIONS).select("video_id", "ord", "text"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT chapter, ord, start_s, text, length(text) + 1 AS n, row_number() OVER (PARTITION BY chapter ORDER BY ord) AS k FROM ({A.CAPTIONS})),

@@ -138,7 +138,7 @@ def f28_best_display_name(spark, sf_dir):
     return people.best_display_name(x)
 
 
-FILMED = "SELECT concat('c', CAST(conv_id AS VARCHAR(19))) AS video_id, turn AS start_s, text AS titre, left(text, 20) AS first, CASE WHEN turn % 2 = 0 THEN right(text, 20) ELSE ' ' END AS last FROM conversations"
+FILMED = "SELECT concat('c', CAST(conv_id AS VARCHAR(19))) AS video_id, turn AS start_s, text AS titre, text AS first, CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END AS last FROM conversations"
 
 
 @query(f"""WITH c AS ({FILMED}), k AS (SELECT *, 'video-' || video_id || '-' || start_s AS id FROM c) SELECT id, titre AS chunk_text, start_s FROM k

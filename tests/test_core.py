@@ -160,3 +160,13 @@ def test_activity_joins_both_sides(spark):
 def test_searches_ask_all_ruled_vectors(spark):
     ruled = {r[0] for r in registry.view(spark, SMALL, "SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").collect()}
     assert {r.question for r in registry.QUERIES["j12_k1_vector_search"](spark, SMALL).select("question").distinct().collect()} == ruled
+
+
+def test_captions_and_transcripts_are_whole(spark, tmp_path):
+    long = "the same start " + "and a middle that counts " * 4
+    rows = [(1, 0, "user", long + "one"), (1, 1, "user", long + "two"), (1, 2, "user", long + "one"), (2, 0, "user", long + "one")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = registry.QUERIES["w4_dedup_captions"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in kept} == {(1, 0, long + "one"), (1, 1, long + "two"), (2, 0, long + "one")}
+    parts = {r.id: r.chunk_text for r in views.f20_video_chunks(spark, str(tmp_path)).collect()}
+    assert all(parts[f"video-c{c}-{t}-t{t + 5}"] == text for c, t, _, text in rows) and "video-c1-1-t10" not in parts and parts["video-c1-2-t11"] == "user"
