@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 # fixed values: what the addresses of minutes contain
 KEYWORDS = ("pv-conseil", "pv_conseil", "pv conseil", "notulen", "proces-verbal")
+LINKS = (
+    r"""(?i)href=["']([^"']*\.pdf)["']""",
+    r"""(?i)src=["']([^"']*\.pdf)["']""",
+    r"""(?i)"url"\s*:\s*"([^"]*\.pdf)\"""",
+    r"""(?i)'url'\s*:\s*'([^']*\.pdf)'""",
+    r"""(?i)data-[a-z-]+=["']([^"']*\.pdf)["']""",
+)
 SHORT_DATED = r"pv[-_. ]*20\d{2}[-_. ]+\d{1,2}[-_. ]+\d{1,2}(?:[-_. ]*sp)?"
 
 
@@ -18,12 +25,12 @@ def is_minutes_pdf(url: Column, host: str) -> Column:
     return u.endswith(".pdf") & u.contains(host) & (named | u.rlike(SHORT_DATED))
 
 
-def extract_links(pages: DataFrame, base: str) -> DataFrame:
-    """Distinct (page_id, url) of href and src attributes, made absolute; references relative to a page are dropped."""
-    raw = F.explode(F.regexp_extract_all("html", F.lit(r"(?:href|src)=[\"']([^\"'\s>]+)[\"']"), F.lit(1)))
+def extract_links(pages: DataFrame, base: str, host: str) -> DataFrame:
+    """Distinct (page_id, url) of minutes in attributes and scripts, made absolute; references relative to a page are dropped."""
+    raw = F.explode(F.flatten(F.array(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in LINKS))))
     x = pages.select("page_id", raw.alias("u"))
     url = F.when(F.col("u").startswith("http"), F.col("u")).when(F.col("u").startswith("//"), F.concat(F.lit("https:"), "u")).when(F.col("u").startswith("/"), F.concat(F.lit(base), "u"))
-    return x.select("page_id", url.alias("url")).filter("url is not null").distinct()
+    return x.select("page_id", url.alias("url")).filter(F.col("url").isNotNull() & is_minutes_pdf(F.col("url"), host)).distinct()
 
 
 def filename_from_url(url: Column) -> Column:

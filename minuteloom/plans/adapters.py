@@ -26,6 +26,11 @@ SELECT o_orderkey AS ord, o_custkey AS pub_key, o_orderstatus = 'F' AS is_fr, CA
     WHEN 2 THEN concat('pv_20', lpad(CAST(year(o_orderdate) % 100 AS VARCHAR(4)), 2, '0'), '.', CAST(month(o_orderdate) AS VARCHAR(4)), '.', CAST(day(o_orderdate) + 3 AS VARCHAR(4)))
     ELSE 'pv_2020.18.40' END AS name FROM orders"""
 
+# the pages have no link to a PDF: their anchors are rewritten to the forms in which minutes are linked
+LINKED = """
+SELECT page_id, replace(replace(html, '<a href="/', concat('<a ', CASE page_id % 6 WHEN 0 THEN 'HREF="/document/pv-conseil-' WHEN 1 THEN 'src="//town.example/import/PV%20Conseil%20' WHEN 2 THEN 'data-file="/import/pv conseil '
+  WHEN 3 THEN '"url" : "https://town.example/Notulen-' WHEN 4 THEN '''url'': ''/pv-2010-1-5-' ELSE 'href="/agenda-' END)), '">', CASE WHEN page_id % 6 = 4 THEN '.PDF''>' ELSE '.pdf">' END) AS html FROM pages"""
+
 CHAPTERS = "SELECT user_id AS video_id, event_id AS chapter, ts AS start_s FROM events WHERE event_type = 'purchase'"
 SEGMENTS = "SELECT user_id AS video_id, event_id AS segment, ts AS t, event_type AS text FROM events WHERE event_type <> 'purchase'"
 CAPTIONS = "SELECT conv_id AS video_id, conv_id AS chapter, turn AS ord, CAST(turn * 5 AS DOUBLE) AS start_s, text FROM conversations"

@@ -326,13 +326,15 @@ def a16_manifest_summary(spark, sf_dir):
     return collect.manifest_summary(view(spark, sf_dir, A.FILES))
 
 
-LINKS = """WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=["'']([^"''\\s>]+)["'']', 1)) AS u FROM pages),
-  l AS (SELECT DISTINCT page_id, CASE WHEN u LIKE 'http%' THEN u WHEN u LIKE '//%' THEN 'https:' || u WHEN u LIKE '/%' THEN 'https://town.example' || u END AS url FROM u) """
+LINKS = f"""WITH h AS ({A.LINKED}), u AS (SELECT page_id, unnest(list_concat(list_concat(regexp_extract_all(html, '(?i)href=["'']([^"'']*\\.pdf)["'']', 1), regexp_extract_all(html, '(?i)src=["'']([^"'']*\\.pdf)["'']', 1)),
+    list_concat(list_concat(regexp_extract_all(html, '(?i)"url"\\s*:\\s*"([^"]*\\.pdf)"', 1), regexp_extract_all(html, '(?i)''url''\\s*:\\s*''([^'']*\\.pdf)''', 1)), regexp_extract_all(html, '(?i)data-[a-z-]+=["'']([^"'']*\\.pdf)["'']', 1)))) AS u FROM h),
+  l AS (SELECT DISTINCT page_id, CASE WHEN u LIKE 'http%' THEN u WHEN u LIKE '//%' THEN 'https:' || u WHEN u LIKE '/%' THEN 'https://town.example' || u END AS url FROM u), d AS (SELECT *, lower(url_decode(url)) AS x FROM l) """
 
 
-@query(LINKS + "SELECT page_id, url FROM l WHERE url IS NOT NULL")
+@query(LINKS + """SELECT page_id, url FROM d WHERE x LIKE '%.pdf' AND contains(x, 'town.example') AND (contains(x, 'pv-conseil') OR contains(x, 'pv_conseil') OR contains(x, 'pv conseil') OR contains(x, 'notulen')
+  OR contains(x, 'proces-verbal') OR regexp_matches(x, 'pv[-_. ]*20\\d{2}[-_. ]+\\d{1,2}[-_. ]+\\d{1,2}(?:[-_. ]*sp)?'))""")
 def f33_extract_links(spark, sf_dir):
-    return collect.extract_links(view(spark, sf_dir, "SELECT page_id, html FROM pages"), "https://town.example")
+    return collect.extract_links(view(spark, sf_dir, A.LINKED), "https://town.example", "town.example")
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 < 3 AS minutes, CASE o_orderkey % 4 WHEN 0 THEN 'pv-conseil-2020_01_02.pdf' WHEN 1 THEN 'Notulen%202020.PDF' WHEN 2 THEN 'pv-2010-1-5-sp.pdf' ELSE 'agenda' END AS file FROM orders")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
-from minuteloom.operators import meetings, merge, people, retrieval, stats, video
+from minuteloom.operators import collect, meetings, merge, people, retrieval, stats, video
 from minuteloom.plans import registry, views
 from minuteloom.sources import files
 from minuteloom.streaming.ingest import ingest_stream, latest
@@ -170,3 +170,11 @@ def test_captions_and_transcripts_are_whole(spark, tmp_path):
     assert {tuple(r) for r in kept} == {(1, 0, long + "one"), (1, 1, long + "two"), (2, 0, long + "one")}
     parts = {r.id: r.chunk_text for r in views.f20_video_chunks(spark, str(tmp_path)).collect()}
     assert all(parts[f"video-c{c}-{t}-t{t + 5}"] == text for c, t, _, text in rows) and "video-c1-1-t10" not in parts and parts["video-c1-2-t11"] == "user"
+
+
+def test_links_of_all_forms(spark):
+    html = """<a HREF="/a/pv-conseil-1.pdf"><img Src='//t.example/PV Conseil 2.PDF'><i data-file="https://t.example/notulen%203.pdf">{"url" : "/pv_conseil 4.pdf"}{'URL': '/pv-2010-1-5-sp.pdf'}
+    <a href="/agenda.pdf"><a href="pv-conseil-6.pdf"><a href="https://other.example/pv-conseil-7.pdf"><a href="/pv-conseil-8">"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    got = {tuple(r) for r in collect.extract_links(pages, "https://t.example", "t.example").collect()}
+    assert got == {(1, "https://t.example/" + u) for u in ("a/pv-conseil-1.pdf", "PV Conseil 2.PDF", "notulen%203.pdf", "pv_conseil 4.pdf", "pv-2010-1-5-sp.pdf")}
