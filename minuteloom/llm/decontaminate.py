@@ -36,13 +36,13 @@ def words(text: str | None) -> list[str]:
 class Items:
     """A slice of the benchmark, ready for looking up."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[list[int]]
     vocabulary: dict[str, int]
     grams: dict[tuple[int, ...], list[int]]  # seed -> places in ids
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
         vocabulary: dict[str, int] = {}
         texts = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)] for _, t in rows]
         grams: dict[tuple[int, ...], list[int]] = defaultdict(list)
@@ -135,8 +135,9 @@ def leaks_of(text: str | None, items: Items, least: float = LEAST_SCORE) -> list
 
 
 def slices(bench: DataFrame, item_col: str, text_col: str) -> list[Items]:
-    """The items, read in order of id; as many slices as their size asks for."""
-    rows = bench.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & F.col("id").isNotNull())
+    """The items with a text, read in order of id, those without an id too; as many slices as their size asks for. The
+    driver holds all slices."""
+    rows = bench.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // SLICE_BYTES))
     parts = []

@@ -173,6 +173,14 @@ def test_leaks_in_many_texts_equal_brute_force(spark):
     assert {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()} == set(range(120, 180))
 
 
+def test_leaks_of_items_without_id(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "another text of some words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, None, 1.0)]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [2]
+
+
 def test_alignment_equals_plain_recurrence():
     r = np.random.default_rng(0)
     for _ in range(30):
