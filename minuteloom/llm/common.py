@@ -12,6 +12,8 @@ ARROW_ROWS = "1024"
 ARROW_BYTES = str(8 << 20)
 #: Values of a label up to which their shares are broadcast; beyond it the rows are joined by hash.
 SHARES = 10_000
+#: What a text of a sample counts besides its own bytes.
+ROW_BYTES = 64
 
 
 def session(df_or_spark) -> SparkSession:
@@ -28,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (local tests)."""
+    """The folder that all executors share; a temporary one only where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -78,6 +82,27 @@ def byte_bounded_sample(rows: DataFrame, by: str, text: str, key: str, max_bytes
     return rows.join(F.broadcast(share) if few else share, by).filter(unit_hash(key, text, seed=seed) < F.col("_share")).drop("_share")
 
 
+def marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y): the distinct labels 0 and 1 of ids whose crc32 mod 5 is not 0."""
+    y = F.col(label_col).cast("int")
+    return labels.filter(id_remainder(id_col, 5) != 0).select(F.col(id_col).alias("id"), y.alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, max_bytes: int, seed: int = 7) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of a sample of about ``max_bytes`` bytes of each label, in an order that the rows decide.
+
+    Only ids and lengths meet the labels; each text counts ROW_BYTES more than it has, so few ids are drawn (``max_bytes`` /
+    ROW_BYTES of a label, expected). Those ids go to the texts, which are never shuffled. Null texts take no part."""
+    id_, text = F.col(id_col).alias("id"), F.col(text_col)
+    known = docs.select(id_, (F.octet_length(text) + ROW_BYTES).alias("n")).filter("n is not null").join(marks, "id")
+    total = {r.y: r.n for r in known.groupBy("y").agg(F.sum("n").alias("n")).collect()}  # two rows
+    share = F.when(F.col("y") == 0, max_bytes / total.get(0, 1)).otherwise(max_bytes / total.get(1, 1))
+    drawn = known.filter(unit_hash("id", seed=seed) < share).select("id", "y").distinct()
+    got = docs.filter(text.isNotNull()).select(id_, text.alias("text")).join(F.broadcast(drawn), "id").select(F.xxhash64("id", "text").alias("h"), "text", "y").collect()
+    got.sort()
+    return [r.text for r in got], [r.y for r in got]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-case A-Z, then runs of characters other than U+0020 and U+0009-U+000D."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import byte_bounded_sample, id_remainder, session
+from minuteloom.llm.common import id_remainder, labelled_sample, marked, session
 
 STRIDE, TAPS = 3, 4  # a window has TAPS * STRIDE bytes and moves by STRIDE
 EMBED, FILTERS, HIDDEN = 6, 32, 24
@@ -74,7 +74,8 @@ class ByteNet:
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.hidden, self.hidden_bias, self.out, self.bias]
 
-    def forward(self, x: Layout, keep: bool = False):
+    def pooled(self, x: Layout):
+        """Embedded bytes, filter outputs, and their mean and maximum over each half chunk."""
         e = self.embed[x.data].reshape(-1, STRIDE * EMBED)
         n = len(e)
         a = e @ self.filters[0]
@@ -83,8 +84,11 @@ class ByteNet:
         np.maximum(a, 0, out=a)
         a *= x.live[:, None]
         blocks = a.reshape(-1, HALF, FILTERS)
-        mean, top = blocks.sum(axis=1) * (4 / (2 * HALF)), blocks.max(axis=1)
-        step = ~x.last
+        return e, blocks, blocks.sum(axis=1) * (4 / (2 * HALF)), blocks.max(axis=1)
+
+    def rated(self, mean: np.ndarray, top: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """The rating of each document from its half chunks, and what the gradient needs."""
+        step = ~last
         both_mean, both_top = mean.copy(), top.copy()
         both_mean[:-1][step[:-1]] += mean[1:][step[:-1]]
         later = np.zeros_like(top, bool)
@@ -92,10 +96,29 @@ class ByteNet:
         both_top[:-1] = np.where(later[:-1], top[1:], top[:-1])
         chunk = np.concatenate([both_mean, both_top], axis=1)
         h = np.maximum(chunk @ self.hidden + self.hidden_bias, 0)
-        m = np.maximum.reduceat(h, x.first, axis=0)
-        z = m @ self.out + self.bias[0]
+        m = np.maximum.reduceat(h, first, axis=0)
+        return m @ self.out + self.bias[0], chunk, h, m, later, step
+
+    def forward(self, x: Layout, keep: bool = False):
+        e, blocks, mean, top = self.pooled(x)
+        z, chunk, h, m, later, step = self.rated(mean, top, x.first, x.last)
         return (z, (e, blocks, chunk, h, m, later, step)) if keep else z
 
+    def long_text(self, text: bytes) -> np.ndarray:
+        """``forward`` of one text, its bytes worked through in runs; what is kept of a run are its half chunks."""
+        means, tops = [], []
+        run = RUN_BYTES // HALF_BYTES
+        for at in range(0, -(-(len(text) + TAPS * STRIDE) // HALF_BYTES), run):
+            # windows at the end of a run reach into the next one
+            x = Layout.of([text[at * HALF_BYTES : (at + run) * HALF_BYTES + TAPS * STRIDE]])
+            _, _, mean, top = self.pooled(x)
+            means.append(mean[:run])
+            tops.append(top[:run])
+        mean, top = np.concatenate(means), np.concatenate(tops)
+        last = np.zeros(len(mean), bool)
+        last[-1] = True
+        return self.rated(mean, top, np.zeros(1, int), last)[0]
+
     def gradient(self, x: Layout, wanted: np.ndarray) -> list[np.ndarray]:
         z, (e, blocks, chunk, h, m, later, step) = self.forward(x, keep=True)
         dz = ((1 / (1 + np.exp(-z)) - wanted) / len(z)).astype(np.float32)
@@ -127,6 +150,10 @@ class ByteNet:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out, i = [], 0
         while i < len(texts):
+            if len(texts[i]) > RUN_BYTES:
+                out.append(self.long_text(texts[i]))
+                i += 1
+                continue
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= RUN_BYTES):
                 size += len(texts[j]) + HALF_BYTES
@@ -168,12 +195,13 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None, epoch
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
     """Fit on a sample of the labelled rows whose crc32(id) mod 5 is not 0; ``sample_bytes`` of each label bound it.
 
-    Rows with a null text, label or id take no part. Of repeated rows of one id in ``labels`` each counts."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    rows = docs.filter(id_remainder(id_col, 5) != 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
-    share = marks.filter(id_remainder("id", 5) != 0).agg(F.avg("y")).first()[0]
-    got = byte_bounded_sample(rows, "y", "text", "id", sample_bytes).orderBy(F.xxhash64("id", "text"), "text", "y").select("text", "y").toArrow()
-    return fit([t.encode("utf-8", "surrogatepass") for t in got["text"].to_pylist()], got["y"].to_pylist(), share)
+    Rows with a null text, label or id take no part; of equal rows in ``labels`` one counts. Only ids and lengths are
+    joined with the labels, so texts are not shuffled."""
+    session(docs)
+    marks = marked(labels, id_col, label_col)
+    share = marks.agg(F.avg("y")).first()[0]
+    texts, y = labelled_sample(docs, marks, id_col, text_col, sample_bytes)
+    return fit([t.encode("utf-8", "surrogatepass") for t in texts], y, share)
 
 
 def quality(text: Column | str, net: ByteNet) -> Column:

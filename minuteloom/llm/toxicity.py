@@ -1,8 +1,8 @@
 """Toxicity: maximum-scoring segment search over token log-odds with Dirichlet priors.
 
 Tokens are scored, at each of their places, by how much oftener they stand in toxic than in other texts, with an
-informative Dirichlet prior from all texts, labelled or not. A linear-time scan finds every maximal scoring segment of a text, and
-extreme-value statistics turn their scores into one probability for the text."""
+informative Dirichlet prior from all texts, labelled or not. A linear-time scan finds every maximal scoring segment of a text,
+extreme-value statistics tell which of them are significant and turn their scores into one probability for the text."""
 
 from __future__ import annotations
 
@@ -14,27 +14,34 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import byte_bounded_sample, id_remainder, session
+from minuteloom.llm.common import id_remainder, labelled_sample, marked, session
 
 STEM = 4  # characters of the word beginnings that stand in for words not seen among the labelled texts
 PRIOR_SHARE = 0.01  # of the labelled tokens: the weight of the Dirichlet prior
 DRIFT = 0.7  # what a token without evidence takes from a segment's score
 CHANCE_TERMS = 8  # about so many terms may enter the lexicon by chance
-#: Bounds: entries of the lexicon that tasks get, and bytes of text of each label for the calibration.
-LEXICON_ROWS = 200_000
+SIGNIFICANT = 0.05  # chance at most that a clean text of the length has such a segment
+#: Bounds: entries of the lexicon that tasks get (more are an error, none is left out), labels that are sent to the texts
+#: (more are joined with them by hash), and bytes of text of each label for the calibration.
+LEXICON_ROWS = 1_000_000
+LABEL_ROWS = 2_000_000
 SAMPLE_BYTES = 2_000_000
 COUNTED_TERMS = 200_000  # that a counting task holds before it hands its counts on
-_TOKEN = re.compile(r"[^\W\d_]+")
+_PLAIN, _TOKEN = re.compile(r"[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 COUNTS = ("toxic", "other", "everywhere", "toxic_texts", "other_texts")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    """Runs of letters with their combining marks, in lower case."""
+    if not text:
+        return []
+    return (_PLAIN if text.isascii() else _TOKEN).findall(text.lower())
 
 
 def stem(word: str) -> str | None:
@@ -63,10 +70,12 @@ def log_odds(counts: DataFrame, share: float = PRIOR_SHARE) -> DataFrame:
 
 def term_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(term, COUNTS): tokens of toxic, of other and of all texts, and texts with the term; labels only of rows whose
-    crc32(id) mod 5 is not 0, ``everywhere`` over every text of ``docs``.
+    crc32(id) mod 5 is not 0, ``everywhere`` over every text of ``docs``, each read once.
 
-    Terms are tokens, and their beginnings marked by a trailing ``*``."""
-    marks = labels.filter(id_remainder(id_col, 5) != 0).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1))
+    Terms are tokens, and their beginnings marked by a trailing ``*``. Up to LABEL_ROWS labels go to the texts, which then
+    are not shuffled. An id with both labels counts for both; of equal rows in ``labels`` one counts."""
+    marks = marked(labels, id_col, label_col).groupBy(F.col("id").alias("_id")).agg(F.count_if(F.col("y") == 1).alias("_t"), F.count_if(F.col("y") == 0).alias("_o"))
+    few = marks.limit(LABEL_ROWS + 1).count() <= LABEL_ROWS
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +95,11 @@ def term_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             return out
 
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, t, o in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = tokens(text)
-                if y is None:
-                    held["everywhere"].update(words)
-                else:
-                    kind, own = "toxic" if y else "other", set(words)
+                held["everywhere"].update(words)
+                for kind in ["toxic"] * bool(t) + ["other"] * bool(o):
+                    own = set(words)
                     held[kind].update(words)
                     held[f"{kind}_texts"].update(own | {b for w in own if (b := stem(w))})
                 if sum(map(len, held.values())) > COUNTED_TERMS:
@@ -99,10 +107,8 @@ def term_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         yield take()
 
     schema = "term string, " + ", ".join(f"{c} long" for c in COUNTS)
-    # two counts and no outer join: the texts without a label are never shuffled
-    every = texts.select("_text", F.lit(None).cast("int").alias("_y")).mapInArrow(count, schema)
-    known = texts.join(marks, "_id").select("_text", "_y").mapInArrow(count, schema)
-    return every.unionByName(known).groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    counts = texts.join(F.broadcast(marks) if few else marks, "_id", "left").select("_text", "_t", "_o").mapInArrow(count, schema)
+    return counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 @dataclass
@@ -114,8 +120,9 @@ class Segment:
 
 def maximal_segments(positions: np.ndarray, gains: np.ndarray, drift: float = DRIFT) -> list[Segment]:
     """All maximal scoring segments of a text in which each token at ``positions`` scores its gain and every other
-    one -drift. Linear in the number of scored tokens: runs of other tokens are taken at once."""
-    found: list[tuple[float, float, int, int]] = []  # (sum before, sum at the end, first, last)
+    one -drift. Linear in the number of scored tokens: runs of other tokens are taken at once, and each segment knows the
+    nearest earlier one with a smaller sum before it, so none is looked at again."""
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum at the end, first, last, that earlier segment
     total, before = 0.0, -1
     for p, g in zip(positions.tolist(), gains.tolist()):
         total -= drift * (p - before - 1)
@@ -123,17 +130,17 @@ def maximal_segments(positions: np.ndarray, gains: np.ndarray, drift: float = DR
         start, total = total, total + g
         if g <= 0:
             continue
-        new = (start, total, p, p)
+        left, first, j = start, p, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= new[1]:
-                found.append(new)
+            while j >= 0 and found[j][0] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][1] >= total:
+                found.append((left, total, first, p, j))
                 break
-            new = (found[j][0], new[1], found[j][2], new[3])
+            left, _, first, _, earlier = found[j]
             del found[j:]
-    return [Segment(a, b, right - left) for left, right, a, b in found]
+            j = earlier
+    return [Segment(a, b, right - left) for left, right, a, b, _ in found]
 
 
 @dataclass
@@ -156,19 +163,25 @@ class ToxicModel:
         g = np.array([self.gain(words[i]) for i in hits])
         return len(words), maximal_segments(np.array(hits, int), g)
 
+    def chances(self, n_words: int, segments: list[Segment]) -> np.ndarray:
+        """Minus the logarithm of the chance that a clean text of this length has a segment of the score, for each one."""
+        s = np.array([x.score for x in segments])
+        expected = np.log(self.scale * max(1, n_words)) - self.rate * s  # of the number of such segments, as a logarithm
+        return np.where(expected < -30, -expected, -np.log(-np.expm1(-np.exp(np.clip(expected, -30, 3)))))
+
     def surprise(self, n_words: int, segments: list[Segment]) -> float:
-        """Grows with minus the logarithm of the chance that a clean text of this length has its best segment, and the others."""
+        """Grows with the improbability of the best segment in a clean text, and half as much with that of the others."""
         if not segments:
             return 0.0
-        s = np.array([x.score for x in segments])
-        expected = np.log(self.scale * max(1, n_words)) - self.rate * s  # of the number of such segments, as a logarithm
-        chance = np.where(expected < -30, -expected, -np.log(-np.expm1(-np.exp(np.clip(expected, -30, 3)))))
+        chance = self.chances(n_words, segments)
         return float(np.log1p(chance.max() + 0.5 * (chance.sum() - chance.max())))
 
     def score(self, text: str | None) -> tuple[float, list[Segment]]:
+        """The probability of the text, and its significant segments."""
         n, segments = self.segments(text) if text else (0, [])
         x = self.slope * self.surprise(n, segments) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(x, -40, 40)))), segments
+        told = [s for s, c in zip(segments, self.chances(n, segments)) if c >= -np.log(SIGNIFICANT)] if segments else []
+        return float(1 / (1 + np.exp(-np.clip(x, -40, 40)))), told
 
 
 def karlin(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -186,13 +199,15 @@ def karlin(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> ToxicModel:
-    """Counts over all texts, and over labelled ones whose crc32(id) mod 5 is not 0, in Spark; the tasks get the ``LEXICON_ROWS``
-    terms of most evidence at most. The calibration is fitted on a sample of ``sample_bytes`` of each label.
+    """Counts over all texts, and over labelled ones whose crc32(id) mod 5 is not 0, in Spark; the tasks get every term with
+    enough evidence, and more than LEXICON_ROWS of them are a ValueError. The calibration is fitted on a sample of ``sample_bytes`` of each label.
     Without labelled rows of both kinds every text scores the share of the kind that there is, or 0.5."""
     session(docs)
     counts = term_counts(docs, labels, id_col, text_col, label_col).persist()
     odds = log_odds(counts).filter(F.col("evidence") > F.log(F.col("terms") / CHANCE_TERMS))
-    lexicon = odds.orderBy(F.desc("evidence"), "term").limit(LEXICON_ROWS).toPandas()
+    lexicon = odds.limit(LEXICON_ROWS + 1).toPandas().sort_values("term", ignore_index=True)
+    if len(lexicon) > LEXICON_ROWS:
+        raise ValueError(f"more than {LEXICON_ROWS} terms have evidence: raise LEXICON_ROWS if tasks can hold them, or lower CHANCE_TERMS")
     total = counts.filter(~F.col("term").endswith("*")).agg(F.sum("other")).first()[0] or 1
     counts.unpersist()
     whole = lexicon[~lexicon.term.str.endswith("*")]
@@ -203,12 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(whole):
         s, w = whole.odds.to_numpy(), (whole.other.to_numpy() + 0.5) / float(total)
         model.rate = karlin(np.r_[s, -DRIFT], np.r_[w, max(1e-9, 1 - w.sum())])
-    marks = labels.filter(id_remainder(id_col, 5) != 0).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
-    got = byte_bounded_sample(rows, "y", "text", "id", sample_bytes).orderBy(F.xxhash64("id", "text"), "text", "y").select("text", "y").toArrow()
+    marks = marked(labels, id_col, label_col)
+    texts, known = labelled_sample(docs, marks, id_col, text_col, sample_bytes)
     share = marks.agg(F.avg("y")).first()[0]
-    x = np.array([model.surprise(*model.segments(t)) for t in got["text"].to_pylist()])
-    y = np.array(got["y"].to_pylist(), float)
+    x = np.array([model.surprise(*model.segments(t)) for t in texts])
+    y = np.array(known, float)
     if len(set(y)) < 2:
         model.slope, model.offset = 0.0, float(np.clip(40 * (2 * (share if share is not None else 0.5) - 1), -4, 4))
         return model
@@ -226,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def toxicity(text: Column | str, model: ToxicModel) -> Column:
-    """struct<score, segments> of each whole text; segments: first and last token and score; null and empty texts have none."""
+    """struct<score, segments> of each whole text; segments: first and last token and score of the
+    significant ones; null and empty texts have none."""
 
     @F.pandas_udf("score double, segments array<struct<first:int,last:int,score:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
