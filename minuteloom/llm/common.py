@@ -101,8 +101,3 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: st
     got = docs.filter(text.isNotNull()).select(id_, text.alias("text")).join(F.broadcast(drawn), "id").select(F.xxhash64("id", "text").alias("h"), "text", "y").collect()
     got.sort()
     return [r.text for r in got], [r.y for r in got]
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-case A-Z, then runs of characters other than U+0020 and U+0009-U+000D."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -2,12 +2,13 @@
 
 Every text becomes the set of its hashed word shingles. Equal sets are one. The tokens of a set are put in
 one order for all sets (those known to be frequent last), so two sets that reach the similarity share a
-token among their first ones. Sets that share such a token with a leader are compared with it; the
-confirmed links partition similar documents into groups. For each group the matrix stores the union of its
-members' first tokens, with the range of their sizes and the most tokens that can follow. A query's overlap
-with a group is bounded from that; only groups of other components that the bound admits are opened, and
-their members compared exactly. Links within one component need no further comparison, so large groups of
-copies never become pairs, and no link between different components is lost."""
+token among their first ones. Sets that share such a token with a leader, then with a few partners, are
+compared with it; the confirmed links join similar documents, and links within a part need no further
+comparison, so large groups of copies never become pairs. What is left are links between parts: each part is
+cut into groups of bounded size. Sets of smaller parts that share a first token with a larger one, in a place
+that admits a link, ask its groups. A group stores the union of its members' tokens; the number of a query's
+tokens in that union bounds what any member shares with it, and only groups whose bound reaches the
+similarity are opened and compared member by member. No link between different parts is lost."""
 
 from __future__ import annotations
 
@@ -19,45 +20,95 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import session, stored, words_of
+from minuteloom.llm.common import session, stored
 from minuteloom.llm.components import components
 
 SHINGLE = 5
 PARITY_BYTES = 128
-CACHED_WORDS = 500_000
 COUNT_BLOCK = 2_000_000
 #: Bound of the table of frequent tokens that tasks get. It only orders tokens; any order gives the same links.
 FREQUENT_ROWS = 300_000
 LEADER_ROWS = 2_000  # about so many sets follow one leader of a frequent token
 LEADERS = 3  # that a set is compared with before groups are formed, and tokens by which it draws partners
 PARTNERS, TURNS = 6, 1
-#: Up to so many documents to compare their ids are broadcast to pick their texts; beyond it all texts are dealt by id.
+#: Up to so many rows are broadcast, their number checked; more of them are joined by hash.
 PICKED = 1_000_000
-PAGE = 64  # sets of a group
+#: Sets and tokens of a group, expected; queries that one copy of a group meets.
+PAGE, PAGE_TOKENS, ASKS = 64, 2_000_000, 1_000
+RUN_BYTES = 1 << 17
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-class Hasher(dict):
-    """64-bit hashes of words, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The sorted set of hashed shingles; with fewer words the whole sequence as one; without words empty."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.int64)
-        h = np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
-        k = min(SHINGLE, len(h))
-        s = np.full(len(h) - k + 1, k, np.uint64)
-        for j in range(k):
-            s = (s ^ h[j : len(h) - k + 1 + j]) * _MIX[j]
-            s ^= s >> np.uint64(29)
-        return np.unique(s.view(np.int64))
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64, by doubling."""
+    out = np.ones(n, np.uint64)
+    k, step = 1, base
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(step)
+        k, step = 2 * k, step * step % (1 << 64)
+    return out
+
+
+_BASE = 0x5851F42D4C957F2D
+_UP, _DOWN = _powers(_BASE, RUN_BYTES), _powers(pow(_BASE, -1, 1 << 64), RUN_BYTES)
+_CODE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_CODE[65:91] = _CODE[97:123]
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each text of an Arrow column, without copies; null counts as empty."""
+    large = pa.types.is_large_string(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for a, b, known in zip(ends[:-1], ends[1:], column.is_valid().to_numpy(zero_copy_only=False)):
+        yield data[a:b] if known else data[:0]
+
+
+def word_hashes(text: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z as a-z: a polynomial over each word's bytes, from sums over whole runs of text.
+
+    A text is worked through in runs that end at white space; a word of RUN_BYTES or more is hashed by itself."""
+    out, at, n = [], 0, len(text)
+    while at < n:
+        end = n
+        if n - at >= RUN_BYTES:
+            gaps = np.flatnonzero(_SPACE[text[at : at + RUN_BYTES]])
+            if not len(gaps):
+                rest = np.flatnonzero(_SPACE[text[at:]])
+                end = at + int(rest[0]) if len(rest) else n
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end].tobytes().lower())], np.uint64))
+                at = end
+                continue
+            end = at + int(gaps[-1]) + 1
+        run = text[at:end]
+        inside = np.zeros(len(run) + 2, bool)
+        inside[1:-1] = ~_SPACE[run]
+        bounds = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = bounds[::2], bounds[1::2]
+        sums = np.zeros(len(run) + 1, np.uint64)
+        np.cumsum(_CODE[run] * _UP[: len(run)], out=sums[1:])
+        h = (sums[last] - sums[first]) * _DOWN[first] ^ (last - first).astype(np.uint64) * _MIX[3]
+        out.append((h ^ h >> np.uint64(32)) * _MIX[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: np.ndarray) -> np.ndarray:
+    """The sorted set of hashed shingles; with fewer words the whole sequence as one; without words empty."""
+    h = word_hashes(text)
+    if not len(h):
+        return np.zeros(0, np.int64)
+    k = min(SHINGLE, len(h))
+    s = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        s = (s ^ h[j : len(h) - k + 1 + j]) * _MIX[j]
+        s ^= s >> np.uint64(29)
+    s = s.view(np.int64)
+    s.sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -83,13 +134,13 @@ def enough(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, sid, parity) for every row, and rows of (tokens, times) without n: each task counts the tokens of all of
+    """(doc_id, h, n, sid, parity) for every row, h telling texts of one id apart, and rows of (tokens, times) without n: each task counts the tokens of all of
     its texts in blocks and reports those that a block has more than once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        held, size = [], 0
         kind = pa.list_(pa.int64())
-        names = ["doc_id", "n", "sid", "parity", "tokens", "times"]
+        names = ["doc_id", "h", "n", "sid", "parity", "tokens", "times"]
 
         def report() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
@@ -97,12 +148,12 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             starts = range(0, len(token), 10_000)
             cut = lambda x: pa.array([x[i : i + 10_000] for i in starts], kind)
             none = lambda t: pa.nulls(len(starts), t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), cut(token), cut(times)], names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), cut(token), cut(times)], names)
 
         for b in batches:
-            sets = [hasher.shingles(t) for t in b.column(1).to_pylist()]
+            sets = [shingles(t) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), kind), pa.nulls(len(sets), kind)],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), kind), pa.nulls(len(sets), kind)],
                 names)
             held += sets
             size += sum(map(len, sets))
@@ -112,8 +163,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if size:
             yield report()
 
-    schema = "doc_id long, n int, sid long, parity binary, tokens array<long>, times array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    schema = "doc_id long, h long, n int, sid long, parity binary, tokens array<long>, times array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +183,11 @@ def first_tokens(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.
     known, counts = frequent
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
+        seen = set()
         for b in batches:
             parts: list[tuple] = []
-            for t in b.column(0).to_pylist():
-                s = hasher.shingles(t)
+            for t in texts_of(b.column(0)):
+                s = shingles(t)
                 n = len(s)
                 if not n or (sid := set_id(s)) in seen:
                     continue
@@ -168,7 +219,7 @@ def _place(c: Column | str) -> Column:
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each set with the leaders that most of its shared tokens have, where sizes and places admit a link.
+    """(q, g): each set with the leaders that most of its shared tokens have, where sizes and places admit a link.
 
     A few leaders are enough here: what they leave apart is compared when groups are opened."""
     admitted = enough(_size("size_place"), _place("size_place"), _size("lead.size_place"), _place(F.col("lead.size_place")))
@@ -177,67 +228,121 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     over = leads.groupBy("token").agg(F.min(F.struct("sid", "size_place")).alias("lead"))
     votes = pair(shared).unionByName(pair(leads.join(over, "token"))).groupBy("sid", "lead").count()
     place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("count"), "lead"))
-    best = votes.withColumn("place", place).filter(F.col("place") <= LEADERS)
-    return best.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    return votes.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.col("sid").alias("q"), F.col("lead").alias("g"))
+
 
+def few_or_joined(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    """A join whose right side is broadcast where it has PICKED rows at most."""
+    return df.join(F.broadcast(small) if small.limit(PICKED + 1).count() <= PICKED else small, on, how)
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): the pairs (a, b) of sets whose similarity is 0.75 or more, as the documents that stand for them.
 
-    Parities rule out most other pairs; the texts of the rest are read again and compared exactly."""
+def near(asks: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (q, g) of sets that parities leave possible."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("pa", "pb")]
+            bits = [np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("pq", "pg")]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
-            total = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            total = b.column("nq").to_numpy().astype(np.int64) + b.column("ng").to_numpy()
             keep = 7 * (total - apart) >= 6 * total  # twice the overlap is at most total - apart
-            yield b.select(["a", "b", "u", "v"]).filter(pa.array(keep))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+            yield b.select(["q", "g"]).filter(pa.array(keep))
+
+    side = lambda k: sets.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    return asks.join(side("q"), "q").join(side("g"), "g").mapInArrow(alike, "q long, g long")
+
+
+class Group:
+    """A group's rows of the matrix: its members' sets and the union of their tokens."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.union: np.ndarray | None = None
+
+    def add(self, sid: int, s: np.ndarray) -> None:
+        self.ids.append(sid)
+        self.sets.append(s)
+        self.union = None
+
+    def linked(self, s: np.ndarray) -> list[int]:
+        """The members whose similarity to the query is 0.75 or more."""
+        if self.union is None:
+            self.sizes = np.array([len(x) for x in self.sets])
+            self.tokens, self.owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+            self.union = np.unique(self.tokens) if len(self.sets) > 1 else self.tokens
+        n, at = len(s), np.searchsorted(self.union, s)
+        overlap = int((self.union[np.minimum(at, len(self.union) - 1)] == s).sum())
+        # a member of size k shares min(overlap, k) tokens at most, and 7 * shared >= 3 * (n + k) is asked
+        fits = (7 * np.minimum(overlap, self.sizes) >= 3 * (n + self.sizes)) & (4 * np.minimum(n, self.sizes) >= 3 * np.maximum(n, self.sizes))
+        if not fits.any():
+            return []
+        mine = fits[self.owner]
+        tokens, owner = self.tokens[mine], self.owner[mine]
+        at = np.minimum(np.searchsorted(s, tokens), n - 1)
+        common = np.bincount(owner[s[at] == tokens], minlength=len(self.sets))
+        return [self.ids[i] for i in np.flatnonzero(fits & (7 * common >= 3 * (n + self.sizes)))]
+
+
+def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): the sets u that ask a group and its members v of similarity 0.75 or more.
+
+    asks: distinct (q, g); members: (g, m). The texts of these sets are read again and dealt by group; a group that many
+    ask has a copy for each ASKS queries, so neither a text is repeated for each pair nor does a task hold many groups."""
+    asks = stored(asks, "asks")
+    if asks.isEmpty():
+        return asks.select(F.col("q").alias("u"), F.col("g").alias("v"))
+    busy = asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = few_or_joined(asks, busy, "g", "left").select("g", F.pmod(F.xxhash64("q"), parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("sid"))
+    held = few_or_joined(members, busy, "g", "left").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("m").alias("sid"))
+    rows = stored(rows.unionByName(held), "asks-of-parts")
+    wanted = sets.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("h").alias("_h"))
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("text"))
+    few = wanted.limit(PICKED + 1).count() <= PICKED
+    same = text["_h"].eqNullSafe(wanted["_h"]) & text["_id"].eqNullSafe(wanted["_id"])
+    text = text.join(F.broadcast(wanted) if few else wanted, same).select("sid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, Group()
         for b in batches:
             u, v = [], []
-            kept: dict[int, np.ndarray] = {}
-
-            def of(sid: int, text: str, kept=kept) -> np.ndarray:
-                if sid not in kept:
-                    s = hasher.shingles(text)
-                    if set_id(s) != sid:  # another row with the same id
-                        return np.zeros(0, np.int64)
-                    kept[sid] = s
-                return kept[sid]
-
-            for a, c, x, y, ta, tb in zip(*(b.column(i).to_pylist() for i in range(6))):
-                p, q = of(a, ta), of(c, tb)
-                if len(p) and len(q) and 7 * len(np.intersect1d(p, q, assume_unique=True)) >= 3 * (len(p) + len(q)):
-                    u.append(x)
-                    v.append(y)
+            for g, part, kind, sid, t in zip(*(b.column(i).to_pylist() for i in range(4)), texts_of(b.column(4))):
+                if now != (g, part):
+                    now, group, last = (g, part), Group(), None
+                if (kind, sid) == last:  # another row of the same id and text
+                    continue
+                last = (kind, sid)
+                s = shingles(t)
+                if kind == 0:
+                    group.add(sid, s)
+                elif group.ids:
+                    found = group.linked(s)
+                    u += [sid] * len(found)
+                    v += found
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    side = lambda k, rep: sets.select(F.col("sid").alias(k), F.col("rep").alias(rep), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
-    near = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").mapInArrow(alike, "a long, b long, u long, v long")
-    near = stored(near, "near-pairs")
-    if near.isEmpty():
-        return near.select("u", "v")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ids = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    if ids.limit(PICKED + 1).count() <= PICKED:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    both = near.join(texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tb")), "v")
-    return both.select("a", "b", "u", "v", "ta", "tb").mapInArrow(exact, "u long, v long").distinct()
-
-
-def mixed_tokens(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, sid, n, p, comp): the rows of tokens that sets of different components share."""
-    named = sets.select("sid", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("label", "rep").alias("comp"))
-    x = shared.select("token", "sid", "n", "p").join(named, "sid")
+    dealt = rows.join(text, "sid").select("g", "part", "kind", "sid", "text").repartition("g", "part").sortWithinPartitions("g", "part", "kind", "sid")
+    return dealt.mapInArrow(run, "u long, v long").filter("u <> v")
+
+
+def paired(asks: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``opened`` where each group is one set."""
+    asks = stored(near(asks, sets), "near-pairs")
+    return opened(asks, asks.select("g", F.col("g").alias("m")).distinct(), sets, docs, id_col, text_col)
+
+
+def mixed_tokens(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, sid, n, p, comp, members): the rows of tokens that sets of different parts share, with the size of their part."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    named = few_or_joined(labels, sizes, "label", "inner").select(F.col("node").alias("sid"), "label", "members")
+    x = shared.select("token", "sid", "n", "p").join(named, "sid", "left")
+    x = x.select("token", "sid", "n", "p", F.coalesce("label", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     return stored(x.join(mixed, "token", "left_semi"), "mixed-tokens")
 
 
 def partner_pairs(x: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set with partners of other components, drawn from those that share a few of its tokens.
+    """(q, g): each set with partners of other parts, drawn from those that share a few of its tokens.
 
     One turn joins most of a large group of near copies; what it leaves apart is compared when groups are opened."""
     draw = lambda i: F.min_by(F.struct("sid", "n", "p", "comp"), F.xxhash64("sid", F.lit(100 * turn + i)))
@@ -247,69 +352,91 @@ def partner_pairs(x: DataFrame, turn: int) -> DataFrame:
     few = x.withColumn("place", place).filter(F.col("place") <= LEADERS).join(partners, "token")
     fits = lambda o: (o["comp"] != F.col("comp")) & enough(F.col("n"), F.col("p"), o["n"], o["p"])
     o = few.select("sid", F.explode(F.filter("with", fits)).alias("o"))
-    return o.select(F.least("sid", "o.sid").alias("a"), F.greatest("sid", "o.sid").alias("b")).distinct()
-
-
-def open_groups(x: DataFrame) -> DataFrame:
-    """(a, b): queries and members of groups of other components whose bound admits a link."""
-    pages = x.groupBy("comp").agg(F.ceil(F.approx_count_distinct("sid") / PAGE).alias("pages"))
-    x = x.join(pages, "comp").withColumn("page", F.pmod("sid", "pages"))
-    matrix = x.groupBy("token", "comp", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
-    q = x.select("token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("p").alias("pq"), F.col("comp").alias("qc"))
-    nearest = F.greatest(F.col("least"), F.ceil(3 * F.col("nq") / 4))  # the smallest size that a partner in the group can have
-    bound = F.least(F.col("nq") - F.col("pq"), F.col("rest"))
-    opened = q.join(matrix, "token").filter((F.col("qc") < F.col("comp")) & (4 * F.col("most") >= 3 * F.col("nq")) & (3 * F.col("least") <= 4 * F.col("nq")) & (7 * bound >= 3 * (F.col("nq") + nearest)))
-    opened = opened.select("q", "nq", "comp", "page").distinct()
-    members = x.select("comp", "page", "sid", "n").distinct()
-    pairs = opened.join(members, ["comp", "page"]).filter(4 * F.least("nq", "n") >= 3 * F.greatest("nq", "n"))
-    return pairs.select(F.least("q", "sid").alias("a"), F.greatest("q", "sid").alias("b")).distinct()
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id that links of similarity 0.75 or more reach, itself included).
-
-    Null texts and texts without words have no shingles and no links. Repeated rows keep their rows; rows with one text
-    are linked. A null id is linked by its text but stands for no other; other columns take no part."""
+    return o.select(F.col("sid").alias("q"), F.col("o.sid").alias("g")).distinct()
+
+
+def group_asks(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(q, g) and (g, m): the groups that sets ask, and their members.
+
+    A part's first tokens, with the least and most size and the most tokens that can follow, are its row of the matrix; a
+    set asks the groups of parts that are larger than its own (of equal size: have a larger label) where these admit a link."""
+    # groups of a part: as many as its sets and their tokens ask for
+    each = x.groupBy("sid", "comp").agg(F.first("n").alias("n"))
+    pages = F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("n") / PAGE_TOKENS)).cast("int")
+    large = each.groupBy("comp").agg(pages.alias("pages")).filter("pages > 1")
+    page = lambda k: F.xxhash64("comp", k)
+    members = few_or_joined(each, large, "comp", "left").select(page(F.pmod("sid", F.coalesce("pages", F.lit(1)))).alias("g"), F.col("sid").alias("m"))
+    matrix = x.groupBy("token", "comp", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
+    q = x.select("token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("p").alias("pq"), F.struct("members", "comp").alias("own"))
+    nearest = F.greatest(F.col("least"), F.ceil(3 * F.col("nq") / 4))  # the smallest size that a partner in the part can have
+    admits = (F.col("own") < F.struct("members", "comp")) & (4 * F.col("most") >= 3 * F.col("nq")) & (3 * F.col("least") <= 4 * F.col("nq")) & (7 * F.least(F.col("nq") - F.col("pq"), F.col("rest")) >= 3 * (F.col("nq") + nearest))
+    asked = q.join(matrix, "token").filter(admits).select("q", "comp").distinct()
+    asks = few_or_joined(asked, large, "comp", "left").select("q", "comp", F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1)).alias("k")).select("q", page(F.col("k").cast("long")).alias("g"))
+    return asks, members
+
+
+def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, sid) of each row, and (sid, label, component_id) of each set that isn't empty: the part it belongs to and
+    that part's smallest id, null where no row has one."""
     session(docs)
     rows = stored(document_sets(docs, id_col, text_col), "document-sets")
     frequent = frequent_tokens(rows)
-    rows = rows.filter("n is not null")
-    full = rows.filter("n > 0")
-    sets = stored(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")), "distinct-sets")
+    rows = rows.filter("n is not null").drop("tokens", "times")
+    first = F.min(F.struct("doc_id", "h")).alias("of")
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), first, F.first("n").alias("n"), F.first("parity").alias("parity"))
+    sets = stored(sets.select("sid", "rep", F.col("of.doc_id").alias("id"), F.col("of.h").alias("h"), "n", "parity"), "distinct-sets")
     by = Window.partitionBy("token", "salt")
     tokens = first_tokens(docs, text_col, frequent)
     late = 7 * _place("size_place") > _size("size_place")
     shared = tokens.withColumn("lead", F.min(F.struct(late.alias("late"), "sid", "size_place")).over(by))
     shared = shared.withColumn("least", F.min("sid").over(by)).withColumn("last", F.max("sid").over(by))
     shared = stored(shared.filter("least < last or salt >= 0").drop("least", "last"), "shared-tokens")
-    links = stored(compared(leader_pairs(shared), sets, docs, id_col, text_col), "leader-links")
+    links = stored(paired(leader_pairs(shared), sets, docs, id_col, text_col), "leader-links")
     labels = components(links)
-    x = mixed_tokens(shared.select("token", "sid", _size("size_place").alias("n"), _place("size_place").alias("p")).distinct(), sets, labels)
+    x = mixed_tokens(shared.select("token", "sid", _size("size_place").alias("n"), _place("size_place").alias("p")).distinct(), labels)
     for turn in range(TURNS + 1):
         if x.isEmpty():
             break
-        more = stored(compared(partner_pairs(x, turn) if turn < TURNS else open_groups(x), sets, docs, id_col, text_col), "more-links")
+        found = paired(partner_pairs(x, turn), sets, docs, id_col, text_col) if turn < TURNS else opened(*group_asks(x), sets, docs, id_col, text_col)
+        more = stored(found, "more-links")
         if more.isEmpty():
             continue
         links = links.unionByName(more)
         labels = components(links)
         if turn < TURNS:
-            x = mixed_tokens(x, sets, labels)
-    reps = sets.select("sid", "rep")
-    out = full.select("doc_id", "n", "sid").join(reps, "sid").join(labels, F.col("rep") == F.col("node"), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+            x = mixed_tokens(x, labels)
+    named = sets.select("sid", "rep").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return rows, few_or_joined(named, least, "label", "inner").select("sid", "label", "component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id that links of similarity 0.75 or more reach, itself included).
+
+    Null texts and texts without words have no shingles and no links. Repeated rows keep their rows; rows with one text
+    are linked. A null id is linked by its text but is never the smallest; other columns take no part; an empty table
+    gives no rows."""
+    rows, parts = linked_sets(docs, id_col, text_col)
+    out = rows.filter("n > 0").select("doc_id", "n", "sid").join(parts, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumnRenamed("doc_id", id_col)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, one of each component: that of the smallest id; of rows with one id and links
-    the first by its values. Rows without words or with a null id stay."""
-    parts = jaccard_components(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), "component_id", "n_shingles")
-    gone = parts.filter((F.col("_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("_id").distinct()
-    kept = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id")).join(gone, "_id", "left_anti")
-    again = parts.filter((F.col("n_shingles") > 0) & F.col("_id").isNotNull()).groupBy("_id").count().filter("count > 1").select("_id")
-    if again.isEmpty():
-        return kept.select("_row.*")
-    twice = kept.join(again, "_id", "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row")))).filter("_turn = 1")
-    return kept.join(again, "_id", "left_anti").select("_row.*").unionByName(twice.select("_row.*"))
+    """The rows of ``docs``, all columns, one of each component: that of the smallest id, of rows with that id the first by
+    the hash of the text, of equal ones the first by all values. Rows without words stay; rows of one id whose texts aren't
+    linked are told apart by their texts; a null id gives way to any other."""
+    rows, parts = linked_sets(docs, id_col, text_col)
+    own = rows.filter("n > 0").select("doc_id", "h", "sid").distinct()
+    first = own.join(parts, "sid").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h"))
+    bare = rows.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    x = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"))
+    is_ = lambda y: x["_id"].eqNullSafe(y["_id"]) & (x["_h"] == y["_h"])
+    out = x.join(kept, is_(kept), "left_semi")
+    again = rows.filter("n > 0").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    if not again.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_row")))
+        same = out["_id"].eqNullSafe(again["_id"]) & (out["_h"] == again["_h"])
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").withColumn("_turn", turn).filter("_turn = 1").drop("_turn"))
+    return out.select("_row.*").unionByName(x.join(bare, is_(bare), "left_semi").select("_row.*"))

@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -67,6 +68,34 @@ def test_jaccard_of_sparse_links(spark):
     assert got == brute_components(rows)
 
 
+def test_word_hashes_know_words_by_their_bytes():
+    of = lambda t: ngram_join.word_hashes(np.frombuffer(t.encode(), np.uint8)).tolist()
+    r, words = random.Random(4), {}
+    texts = [" ".join("".join(r.choice("abAB\u00e9\u00a0\u65e5") for _ in range(r.randint(1, 6))) for _ in range(40)) for _ in range(50)]
+    texts += ["a" * n + " b" for n in (1, ngram_join.RUN_BYTES - 1, ngram_join.RUN_BYTES, ngram_join.RUN_BYTES + 9)] + [" \t\n", "", "x\x0by  z "]
+    texts.append(" ".join(texts))  # over many runs
+    for t in texts:
+        want = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        got = of(t)
+        assert len(got) == len(want)
+        for w, h in zip(want, got):
+            assert words.setdefault(w, h) == h
+    assert len(set(words.values())) == len(words)
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    w = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, w("a")), (1, w("b")), (1, w("a")), (2, w("b") + " more"), (None, w("c")), (None, w("c") + " more"), (None, w("d")), (7, w("d")), (3, None), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, component_id string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(docs).collect()))
+    assert got == sorted([(1, 26, 1)] * 3 + [(2, 27, 1), (0, 26, 0), (0, 27, 0), (0, 26, 7), (7, 26, 7), (3, 0, 3), (3, 0, 3), (0, 0, 0)])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one_of_each(docs).collect())
+    parts = [(i or 0, t or "") for i, t in rows]
+    assert len(kept) == 7 and kept.count((3, "")) == 2 and kept.count((0, "")) == 1 and (7, w("d")) in kept and set(kept) <= set(parts)
+    assert sum(i == 1 for i, _ in kept) == 2 and sum(t.startswith("c0") for _, t in kept) == 1
+    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0 and ngram_join.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21), (21, 21), (None, 3)], "u long, v long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(i, 1) for i in range(1, 10)} | {(20, 20), (21, 20)}
@@ -192,16 +221,44 @@ def test_alignment_equals_plain_recurrence():
         assert decontaminate.align(a, b)[0] == h.max() / 24
 
 
-def test_maximal_segments_equal_a_plain_scan():
+def all_maximal(x):
+    """By definition: recursively the best of each stretch, earlier and shorter first, with a positive sum."""
+    if not len(x):
+        return []
+    sums = [(x[i:j].sum(), -(j - i), -i, i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+    best, _, _, i, j = max((round(s[0], 9), *s[1:]) for s in sums)
+    return [] if best <= 0 else all_maximal(x[:i]) + [(i, j - 1, best)] + [(a + j, b + j, s) for a, b, s in all_maximal(x[j:])]
+
+
+def test_maximal_segments_equal_their_definition():
+    def whole(x):
+        return all_maximal(x)
+
     r = np.random.default_rng(1)
-    for _ in range(50):
-        x = np.where(r.random(40) < 0.4, r.integers(1, 5, 40), 0).astype(float)
-        at = np.flatnonzero(x)
-        found = toxicity.maximal_segments(at, x[at], 0.7)
-        scores = np.where(x > 0, x, -0.7)
-        best = max((scores[i:j].sum() for i in range(40) for j in range(i + 1, 41)), default=0)
-        assert not found or abs(max(s.score for s in found) - best) < 1e-9
-        assert all(abs(scores[s.first : s.last + 1].sum() - s.score) < 1e-9 for s in found)
+    for _ in range(60):
+        gains = np.where(r.random(24) < 0.5, r.normal(size=24) * 3, np.nan)
+        at = np.flatnonzero(~np.isnan(gains))
+        found = [(s.first, s.last, round(s.score, 9)) for s in toxicity.maximal_segments(at, gains[at], 0.7)]
+        want = [(i, j, round(float(s), 9)) for i, j, s in whole(np.where(np.isnan(gains), -0.7, gains))]
+        assert [(a, b, pytest.approx(s, abs=1e-6)) for a, b, s in want] == found
+
+
+def test_maximal_segments_are_found_in_linear_time():
+    began = time.time()
+    assert len(toxicity.maximal_segments(np.arange(100_000) * 9, np.full(100_000, 2.0))) == 100_000
+    assert time.time() - began < 5
+
+
+def test_tokens_keep_combining_marks():
+    assert toxicity.tokens("Caf\u0065\u0301 \u0939\u093f\u0928\u094d\u0926\u0940 x1y Don't") == ["cafe\u0301", "\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y", "don", "t"]
+
+
+def test_long_texts_in_runs_equal_one_pass():
+    r = np.random.default_rng(2)
+    net = quality.ByteNet.fresh()
+    for n in (quality.RUN_BYTES + 1, 2 * quality.RUN_BYTES // quality.HALF_BYTES * quality.HALF_BYTES, 2 * quality.RUN_BYTES - 5):
+        x = r.integers(0, 256, n, dtype=np.uint8).tobytes()
+        assert net.long_text(x) == pytest.approx(net.forward(quality.Layout.of([x])), abs=1e-4)
 
 
 def test_every_place_of_a_toxic_word_scores():
