@@ -52,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast in a join where it has ``most`` rows or fewer; else as it is, joined by hash."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove what ``stored`` wrote, once nothing reads it any more."""
     for df in frames:

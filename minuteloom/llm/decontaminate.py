@@ -40,6 +40,7 @@ class Items:
     texts: list[list[int]]
     vocabulary: dict[str, int]
     grams: dict[tuple[int, ...], list[int]]  # seed -> places in ids
+    short: bool  # whether an item has fewer words than a seed
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]]) -> Items:
@@ -50,7 +51,7 @@ class Items:
             k = min(SEED, len(t))
             for g in {tuple(t[j : j + k]) for j in range(len(t) - k + 1)} if t else ():
                 grams[g].append(i)
-        return cls([i for i, _ in rows], texts, vocabulary, dict(grams))
+        return cls([i for i, _ in rows], texts, vocabulary, dict(grams), any(0 < len(t) < SEED for t in texts))
 
     def hits(self, text: str | None) -> tuple[list[int], list[tuple[int, tuple[int, ...]]]]:
         """The text's word numbers (0: in no item), and the places and n-grams that items have too."""
@@ -67,10 +68,6 @@ class Items:
             found += [(p, g) for p in np.flatnonzero(both).tolist() if (g := tuple(ids[p : p + k])) in grams]
         return ids, found
 
-    @property
-    def short(self) -> bool:
-        return any(0 < len(t) < SEED for t in self.texts)
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
     """Best local alignment: score over that of the whole item, first and last word of the passage, matched words."""
@@ -106,6 +103,12 @@ def bound(item: Counter, passage: list[int]) -> int:
     return min(best, MATCH * sum((item & Counter(passage)).values())) if best else 0
 
 
+def windows(low: int, high: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Overlapping windows of 2 * ``reach`` words of which one holds any stretch of ``reach`` words whole."""
+    for start in range(low, max(low + 1, high - reach), reach):
+        yield start, min(high, start + 2 * reach)
+
+
 def leaks_of(text: str | None, items: Items, least: float = LEAST_SCORE) -> list[dict]:
     """The best aligned passage of each item that the text holds with a score of ``least`` or more."""
     ids, found = items.hits(text)
@@ -124,10 +127,12 @@ def leaks_of(text: str | None, items: Items, least: float = LEAST_SCORE) -> list
             while end < len(marks) and marks[end][0] - marks[end - 1][0] <= len(item):
                 end += 1
             low, high = max(0, marks[start][0] - span), min(len(ids), marks[end - 1][0] + SEED + span)
-            if bound(own, ids[low:high]) >= least * MATCH * len(item):
-                score, first, last, matched = align(np.array(item, np.int64), all_ids[low:high])
-                if score >= least and (best is None or score > best["score"]):
-                    best = {"item_id": items.ids[i], "score": score, "first_word": low + first, "last_word": low + last, "matched_words": matched}
+            # an alignment with a positive score covers 3 * len(item) words at most
+            for low, high in windows(low, high, 3 * len(item)):
+                if bound(own, ids[low:high]) >= least * MATCH * len(item):
+                    score, first, last, matched = align(np.array(item, np.int64), all_ids[low:high])
+                    if score >= least and (best is None or score > best["score"]):
+                        best = {"item_id": items.ids[i], "score": score, "first_word": low + first, "last_word": low + last, "matched_words": matched}
             start = end
         if best:
             out.append(best)
@@ -167,7 +172,9 @@ def prepare(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", item_t
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """(id, item_id, score, first_word, last_word, matched_words): a row for each text and item of which it holds a copy.
 
-    Items without a word match nothing; repeated rows are found again each; an empty table or benchmark gives no rows."""
+    Null and empty texts hold nothing; items with a null or no text or without a word match nothing, those with a null id are
+    found as null; repeated rows are found again each; of equal items one counts; an empty table or benchmark gives no rows.
+    A long passage is aligned in overlapping windows, so memory follows the square of the item's length, not the text's."""
     out = None
     for items in prepare(docs, bench):
         rows = docs.select(F.col(id_col), F.explode(leaks(F.col(text_col), items, least)).alias("_l")).select(id_col, "_l.*")
@@ -178,7 +185,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no copy of an item."""
+    """The rows of ``docs``, all columns, whose text holds no copy of an item; null and empty texts stay."""
     out = docs
     for items in prepare(docs, bench):
         out = out.filter(F.size(leaks(F.col(text_col), items, least)) == 0)

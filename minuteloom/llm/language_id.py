@@ -22,13 +22,16 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Bound of the sample that the model is fitted on: bytes of text of each language.
 SAMPLE_BYTES = 1_500_000
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def prepared(text: str | None) -> str:
     """Letters in lower case, other runs as one space, a space at both ends; empty where there is no letter."""
-    letters = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    letters = _OTHER.sub(" ", text.lower()) if text else ""
+    if not letters.replace(" ", "").isalpha():  # numbers that are no decimal digits are no letters either
+        letters = " ".join("".join(c if c.isalpha() else " " for c in letters).split())
+    letters = letters.strip()
     return f" {letters} " if letters else ""
 
 
@@ -55,10 +58,14 @@ class LanguageModel:
     temperature: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Of prepared texts that aren't empty; the grams of many texts are looked up at once."""
+        """Of prepared texts that aren't empty; the grams of many texts are looked up at once, those of a long one in runs."""
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         out, i = np.zeros((len(texts), len(self.names)), np.float64), 0
         while i < len(codes):
+            if len(codes[i]) > CHUNK_CHARS:
+                out[i] = self.long_text(codes[i])
+                i += 1
+                continue
             j, size = i, 0
             while j < len(codes) and (j == i or size + len(codes[j]) <= CHUNK_CHARS):
                 size += len(codes[j])
@@ -75,6 +82,14 @@ class LanguageModel:
             i = j
         return out + self.bias
 
+    def long_text(self, codes: np.ndarray) -> np.ndarray:
+        """The votes of one text from counts of its grams, a run of characters after the other."""
+        counts = np.zeros((len(ORDERS), 1 << BITS))
+        for at in range(0, len(codes), CHUNK_CHARS):
+            for k, ids in enumerate(gram_ids(codes[at : at + CHUNK_CHARS + max(ORDERS) - 1])):
+                counts[k] += np.bincount(ids[:CHUNK_CHARS], minlength=1 << BITS)
+        return (counts / np.maximum(1, counts.sum(axis=1))[:, None]).sum(axis=0) @ self.table
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         ready = [prepared(t) for t in texts]
         at = [i for i, t in enumerate(ready) if t]
@@ -167,7 +182,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a known language with a calibrated score of ``least`` or more."""
+    """The rows of ``docs``, all columns, whose text has a known language with a calibrated score of ``least`` or more; null
+    texts, texts without a letter, and texts in no language or in several at once (a lower score) go."""
     session(docs)
     found = detect(F.col(text_col), model)
     return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import session, stored
+from minuteloom.llm.common import few, session, stored
 from minuteloom.llm.components import components
 
 SHINGLE = 5
@@ -231,11 +231,6 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     return votes.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.col("sid").alias("q"), F.col("lead").alias("g"))
 
 
-def few_or_joined(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """A join whose right side is broadcast where it has PICKED rows at most."""
-    return df.join(F.broadcast(small) if small.limit(PICKED + 1).count() <= PICKED else small, on, how)
-
-
 def near(asks: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (q, g) of sets that parities leave possible."""
 
@@ -293,14 +288,13 @@ def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame
         return asks.select(F.col("q").alias("u"), F.col("g").alias("v"))
     busy = asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("parts")).filter("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    rows = few_or_joined(asks, busy, "g", "left").select("g", F.pmod(F.xxhash64("q"), parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("sid"))
-    held = few_or_joined(members, busy, "g", "left").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("m").alias("sid"))
+    rows = asks.join(few(busy, PICKED), "g", "left").select("g", F.pmod(F.xxhash64("q"), parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("sid"))
+    held = members.join(few(busy, PICKED), "g", "left").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("m").alias("sid"))
     rows = stored(rows.unionByName(held), "asks-of-parts")
     wanted = sets.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("h").alias("_h"))
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("text"))
-    few = wanted.limit(PICKED + 1).count() <= PICKED
     same = text["_h"].eqNullSafe(wanted["_h"]) & text["_id"].eqNullSafe(wanted["_id"])
-    text = text.join(F.broadcast(wanted) if few else wanted, same).select("sid", "text")
+    text = text.join(few(wanted, PICKED), same).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, Group()
@@ -334,7 +328,7 @@ def paired(asks: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_
 def mixed_tokens(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(token, sid, n, p, comp, members): the rows of tokens that sets of different parts share, with the size of their part."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    named = few_or_joined(labels, sizes, "label", "inner").select(F.col("node").alias("sid"), "label", "members")
+    named = labels.join(few(sizes, PICKED), "label", "inner").select(F.col("node").alias("sid"), "label", "members")
     x = shared.select("token", "sid", "n", "p").join(named, "sid", "left")
     x = x.select("token", "sid", "n", "p", F.coalesce("label", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
@@ -349,9 +343,9 @@ def partner_pairs(x: DataFrame, turn: int) -> DataFrame:
     x = x.filter(7 * F.col("p") <= F.col("n"))  # later tokens admit no set of about this size
     partners = x.groupBy("token").agg(F.array_distinct(F.array(*(draw(i) for i in range(PARTNERS)))).alias("with"))
     place = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("token", F.lit(turn))))
-    few = x.withColumn("place", place).filter(F.col("place") <= LEADERS).join(partners, "token")
+    asking = x.withColumn("place", place).filter(F.col("place") <= LEADERS).join(partners, "token")
     fits = lambda o: (o["comp"] != F.col("comp")) & enough(F.col("n"), F.col("p"), o["n"], o["p"])
-    o = few.select("sid", F.explode(F.filter("with", fits)).alias("o"))
+    o = asking.select("sid", F.explode(F.filter("with", fits)).alias("o"))
     return o.select(F.col("sid").alias("q"), F.col("o.sid").alias("g")).distinct()
 
 
@@ -365,13 +359,13 @@ def group_asks(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     pages = F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("n") / PAGE_TOKENS)).cast("int")
     large = each.groupBy("comp").agg(pages.alias("pages")).filter("pages > 1")
     page = lambda k: F.xxhash64("comp", k)
-    members = few_or_joined(each, large, "comp", "left").select(page(F.pmod("sid", F.coalesce("pages", F.lit(1)))).alias("g"), F.col("sid").alias("m"))
+    members = each.join(few(large, PICKED), "comp", "left").select(page(F.pmod("sid", F.coalesce("pages", F.lit(1)))).alias("g"), F.col("sid").alias("m"))
     matrix = x.groupBy("token", "comp", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
     q = x.select("token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("p").alias("pq"), F.struct("members", "comp").alias("own"))
     nearest = F.greatest(F.col("least"), F.ceil(3 * F.col("nq") / 4))  # the smallest size that a partner in the part can have
     admits = (F.col("own") < F.struct("members", "comp")) & (4 * F.col("most") >= 3 * F.col("nq")) & (3 * F.col("least") <= 4 * F.col("nq")) & (7 * F.least(F.col("nq") - F.col("pq"), F.col("rest")) >= 3 * (F.col("nq") + nearest))
     asked = q.join(matrix, "token").filter(admits).select("q", "comp").distinct()
-    asks = few_or_joined(asked, large, "comp", "left").select("q", "comp", F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1)).alias("k")).select("q", page(F.col("k").cast("long")).alias("g"))
+    asks = asked.join(few(large, PICKED), "comp", "left").select("q", "comp", F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1)).alias("k")).select("q", page(F.col("k").cast("long")).alias("g"))
     return asks, members
 
 
@@ -407,7 +401,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             x = mixed_tokens(x, labels)
     named = sets.select("sid", "rep").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return rows, few_or_joined(named, least, "label", "inner").select("sid", "label", "component_id")
+    return rows, named.join(few(least, PICKED), "label", "inner").select("sid", "label", "component_id")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,8 @@ class SegmentCounter:
     A text is split at its safe boundaries: before a run of spaces that follows another character. No
     piece of the vocabulary has a word mark behind another character (checked when the model is loaded),
     so no merge crosses such a boundary and the counts of the segments add up to that of the whole text.
-    With a model for which that does not hold, or that rewrites its input, texts are encoded whole."""
+    With a model for which that does not hold, or that rewrites its input, texts are encoded whole; so is a
+    stretch without a space, however long."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -60,11 +61,12 @@ def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
     """The texts in order, in batches of about ``most`` bytes; a longer text is a batch of its own."""
     batch, held = [], 0
     for t in texts:
-        if batch and held + len(t) > most:
+        size = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        if batch and held + size > most:
             yield batch
             batch, held = [], 0
         batch.append(t)
-        held += len(t)
+        held += size
     if batch:
         yield batch
 

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import session
+from minuteloom.llm.common import few, session
 
 LEAST_BYTES = 100  # smaller payloads are always stored
 RECORDS_PER_ARCHIVE = 2000
+LARGE_BYTES = 1 << 16  # larger payloads have an archive each, so that none grows past RECORDS_PER_ARCHIVE * LARGE_BYTES
 READ_BYTES = 1 << 16
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,16 +57,18 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.octet_length("payload") >= least)
     first = rows.filter("long").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("key"), "first")
-    # small payloads match nothing; a key of their own spreads them
+    # small payloads match nothing; where digests are joined by hash, a key of their own spreads them
     rows = rows.withColumn("key", F.when(F.col("long"), F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit("")))))
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(first, "key", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    return rows.join(few(first), "key", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = 6, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write a record per row, one gzip member each, into archives of ``records_per_archive`` records at most.
+    """Write a record per row, one gzip member each, into archives of ``records_per_archive`` records at most; payloads of over
+    LARGE_BYTES have one each.
 
-    An empty table leaves a folder without records. Other columns take no part; repeated rows are repeated records."""
+    An empty table leaves a folder without records. Other columns take no part; repeated rows are repeated records. A reader
+    needs one archive in memory, so a payload has to be under 2 GB."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,8 +76,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
     session(pages)
-    rows = plan_records(pages, id_col, url_col, payload_col).mapInArrow(members, "member binary")
-    rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_archive).text(folder)
+    rows = plan_records(pages, id_col, url_col, payload_col)
+    large = (F.octet_length("payload") > LARGE_BYTES) & F.col("refers_to").isNull()
+    for part, most in ((rows.filter(~large), records_per_archive), (rows.filter(large), 1)):
+        lines = part.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
+        lines.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", most).text(folder)
 
 
 @dataclass

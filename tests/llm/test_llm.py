@@ -113,7 +113,7 @@ def test_token_counts_equal_the_library(spark, docs):
 
 
 def test_warc_round_trip(spark):
-    big = "".join(random.Random(2).choice("abcdefghij") for _ in range(5000))
+    big = "".join(random.Random(2).choice("abcdefghij") for _ in range(warc.LARGE_BYTES + 50))
     rows = [(3, "http://x/ä\n", big), (1, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", big + "é"), (7, "v", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit("clash"))
     folder = new_folder(spark, "test")
@@ -145,14 +145,44 @@ def test_sharding_law(docs):
 
 def test_mixing_targets(docs):
     rows = mixing.mix_sources(docs).collect()
-    again = mixing.mix_sources(docs).collect()
+    again = mixing.mix_sources(docs.orderBy(F.desc("doc_id"))).collect()
     key = lambda r: (r.doc_id, r.taken)
     assert len(rows) == docs.count() and sorted(map(key, rows)) == sorted(map(key, again))
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
     targets = {r.source: (r.target, r.source_size) for r in rows}
     assert abs(sum(t for t, _ in targets.values()) - 1.5 * sum(s for _, s in targets.values())) < 1e-6 * sum(s for _, s in targets.values())
     assert mixing.take_mix(docs).count() == sum(r.copies for r in rows)
-    assert mixing.mix_sources(docs.limit(0)).count() == 0
+    assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.take_mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_comes_near_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken = mixing.mix_sources(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert all(abs(r.k - r.t) <= 0.02 * r.t for r in taken) and len(taken) == 20
+    own = mixing.take_mix(docs).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("k")).collect()
+    assert {r.source: r.k for r in own} == {r.source: r.k for r in taken}
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s", i) for i in range(7)] + [(None, "x y z w", "s", i) for i in range(5)] + [(2, None, None, 0), (3, "one two", None, 1), (3, "two one", None, 1), (3, "two one", None, 2)]
+    of = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string, copies int")
+    got = [sorted(map(str, mixing.take_mix(of(r)).collect())) for r in (rows, rows[::-1], rows[5:] + rows[:5])]
+    assert got[0] == got[1] == got[2]
+    plan = mixing.mix_sources(of(rows)).collect()
+    assert len(plan) == len(rows) and max(r.copies for r in plan) <= 2 and sum(r.copies for r in plan) == len(got[0])
+    assert max(r.copies for r in plan if r.doc_id == 1) - min(r.copies for r in plan if r.doc_id == 1) <= 1
+
+
+def test_letters_decide_whether_a_text_has_a_language():
+    assert [language_id.prepared(t) for t in ("\u00bd", "\u00b2 \u00b3", "\u2167", "12 !", None, "", "\u0301", "a\u00bdB", "\u65e5 9")] == ["", "", "", "", "", "", "", " a b ", " \u65e5 "]
+
+
+def test_language_of_long_texts_in_runs(monkeypatch):
+    model = language_id.fit(["the dog and the cat"] * 9 + ["le chien et le chat"] * 9, ["en"] * 9 + ["fr"] * 9)
+    text = language_id.prepared("the dog et le chat " * 300)
+    want = model.logits([text])
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", 1000)
+    assert model.logits([text]) == pytest.approx(want, abs=1e-6)
 
 
 def test_top_products_equal_brute_force(spark):
@@ -210,6 +240,34 @@ def test_leaks_of_items_without_id(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [2]
 
 
+def test_leaks_in_long_passages_equal_whole_alignment():
+    r = random.Random(6)
+    for _ in range(20):
+        item = [f"w{r.randrange(12)}" for _ in range(r.randint(2, 9))]  # few words: seeds chain over the whole text
+        text = [f"w{r.randrange(14)}" for _ in range(r.randint(5, 300))]
+        items = decontaminate.Items.of([(5, " ".join(item))])
+        number = {w: i for i, w in enumerate(sorted({*item, *text}))}
+        best = decontaminate.align(np.array([number[w] for w in item]), np.array([number[w] for w in text]))[0]
+        got = decontaminate.leaks_of(" ".join(text), items)
+        seeded = any(item[i : i + 3] == text[j : j + 3] for i in range(max(1, len(item) - 2)) for j in range(len(text) - min(3, len(item)) + 1) if len(item[i : i + 3]) == min(3, len(item)))
+        assert [x["score"] for x in got] == ([best] if best >= 0.5 and seeded else got and [got[0]["score"]])
+        assert not got or got[0]["score"] <= best
+
+
+def test_recall_of_edited_copies():
+    """Of copies whose full alignment reaches the score, at least 0.9 are found through their seeds."""
+    r = random.Random(11)
+    hit = all_ = 0
+    for _ in range(300):
+        item = [f"w{r.randrange(5000)}" for _ in range(r.randint(8, 60))]
+        copy = [w if r.random() > 0.15 else f"e{r.random()}" for w in item if r.random() > 0.1]
+        number = {w: i for i, w in enumerate(sorted({*item, *copy}))}
+        if copy and decontaminate.align(np.array([number[w] for w in item]), np.array([number[w] for w in copy]))[0] >= 0.5:
+            all_ += 1
+            hit += bool(decontaminate.leaks_of(" ".join(["x", *copy, "y"]), decontaminate.Items.of([(1, " ".join(item))])))
+    assert all_ > 150 and hit >= 0.9 * all_
+
+
 def test_alignment_equals_plain_recurrence():
     r = np.random.default_rng(0)
     for _ in range(30):
