@@ -9,7 +9,7 @@ from minuteloom.llm.common import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a known language; texts that are null or have no letter go."""
+    """Documents whose text has a known language with a calibrated score of 0.4 or more; null texts and texts without a letter go."""
     return language_id.keep_known_languages(docs, language_id.train(docs))
 
 
