@@ -39,9 +39,10 @@ def year_view(points: DataFrame, year: int) -> DataFrame:
     return points.filter((F.col("date") >= f"{year}-01-01") & (F.col("date") < f"{year + 1}-01-01")).orderBy(F.desc("date"), "sp")
 
 
-def meetings_by_year(summary: DataFrame) -> DataFrame:
-    """Meetings, newest year and date first, with the number of meetings of their year; undated ones last."""
-    x = summary.withColumn("year", F.year("date"))
+def meetings_by_year(summary: DataFrame, theme: str | None = None) -> DataFrame:
+    """Meetings (with a theme among their ``themes``, if one is given), newest year and date first, with the number of
+    meetings of their year; undated ones last."""
+    x = (summary if theme is None else summary.filter(F.array_contains("themes", theme))).withColumn("year", F.year("date"))
     n = x.groupBy("year").agg(F.count("*").alias("in_year")).withColumnRenamed("year", "_y")
     return x.join(n, F.col("year").eqNullSafe(F.col("_y"))).drop("_y").orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("date"))
 
@@ -69,11 +70,13 @@ def merge_video_links(points: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def source_file_lookup(meetings: DataFrame, files: DataFrame) -> DataFrame:
-    """Each meeting's file: that of its name, else the first in name order of its date, else null."""
-    named = files.groupBy(F.col("name").alias("source_file")).agg(F.min("path").alias("by_name"))
+    """Each meeting's file: that of its name, else the first in name order of its date, else null. A meeting may know its file
+    by name without ``.pdf``."""
+    stem = lambda c: F.regexp_replace(c, r"(?i)\.pdf$", "")
+    named = files.groupBy(stem(F.col("name")).alias("_stem")).agg(F.min_by("path", F.struct("name", "path")).alias("by_name"))
     dated = files.filter("date is not null").groupBy("date").agg(F.min_by("path", F.struct("name", "path")).alias("by_date"))
-    x = meetings.join(named, "source_file", "left").join(dated, "date", "left")
-    return x.withColumn("path", F.coalesce("by_name", "by_date")).drop("by_name", "by_date")
+    x = meetings.withColumn("_stem", stem(F.col("source_file"))).join(named, "_stem", "left").join(dated, "date", "left")
+    return x.withColumn("path", F.coalesce("by_name", "by_date")).drop("by_name", "by_date", "_stem")
 
 
 def skip_done(files: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -81,6 +84,12 @@ def skip_done(files: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return files.join(done.select(key), key, "left_anti")
 
 
+def transcribed_sessions(sessions: DataFrame) -> DataFrame:
+    """(video_id): sessions of which a chapter has a transcript that isn't empty; ``skip_done`` leaves the others."""
+    said = F.exists("points", lambda p: F.coalesce(F.size(p["transcript"]) > 0, F.lit(False)))
+    return sessions.filter(F.coalesce(said, F.lit(False))).select("video_id").distinct()
+
+
 def sp_anchors(pages: DataFrame) -> DataFrame:
     """(doc, sp, page_num): every point number that the text of a page announces, with its first page."""
     n = pages.select("doc", "page_num", F.explode(F.expr(r"regexp_extract_all(text, '(?i)SP\\s*(\\d{1,9})\\s*\\.-', 1)")).alias("sp"))
@@ -93,11 +102,25 @@ def fix_point_page(page: Column, lo: Column, hi: Column) -> Column:
     return F.when(p.between(lo, hi), p).otherwise(lo)
 
 
-def extraction_prompts(pages: DataFrame, size: int = 6, least: int = 50) -> DataFrame:
-    """(doc, page_group, prompt): groups of ``size`` pages by number as one text; pages of at most ``least`` characters are left out."""
+def useful_pages(pages: DataFrame, least: int = 100) -> DataFrame:
+    """Pages of more than ``least`` characters; null texts go."""
+    return pages.filter(F.length("text") > least)
+
+
+def page_chunks(pages: DataFrame, size: int = 8) -> DataFrame:
+    """(doc, page_group, first_page, last_page, page_num, text): runs of ``size`` pages that follow each other in a document."""
+    run = Window.partitionBy("doc").orderBy("page_num", "text")
+    x = pages.select("doc", "page_num", "text", F.floor((F.row_number().over(run) - 1) / size).alias("page_group"))
+    each = Window.partitionBy("doc", "page_group")
+    return x.select("doc", "page_group", F.min("page_num").over(each).alias("first_page"), F.max("page_num").over(each).alias("last_page"), "page_num", "text")
+
+
+def extraction_prompts(pages: DataFrame, size: int = 8, useful: int = 100, least: int = 50) -> DataFrame:
+    """(doc, page_group, first_page, last_page, prompt): the useful pages of a document in runs of ``size``, each as one text."""
     mark = F.concat(F.lit("[Page "), F.col("page_num").cast("string"), F.lit("]\n"), F.col("text"))
-    kept = pages.filter(F.length("text") > least).select("doc", F.floor(F.col("page_num") / size).alias("page_group"), F.struct("page_num", mark.alias("said")).alias("p"))
-    return kept.groupBy("doc", "page_group").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["said"]), "\n\n---PAGE---\n\n").alias("prompt"))
+    x = page_chunks(useful_pages(pages, useful), size).filter(F.length("text") > least)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", mark.alias("said")))), lambda p: p["said"]), "\n\n---PAGE---\n\n")
+    return x.groupBy("doc", "page_group", "first_page", "last_page").agg(text.alias("prompt"))
 
 
 def video_id_from(url: Column) -> Column:
@@ -110,3 +133,9 @@ def video_checks(sessions: DataFrame) -> DataFrame:
     """Sessions whose date or address is malformed; null counts as malformed."""
     bad = lambda c, p: F.count_if(~F.coalesce(F.col(c).rlike(p), F.lit(False)))
     return sessions.agg(F.count("*").alias("sessions"), bad("date", r"^\d{4}-\d{2}-\d{2}$").alias("bad_dates"), bad("video_url", r"^https://www\.youtube\.com/watch\?v=[\w-]{11}$").alias("bad_urls"))
+
+
+def chapter_checks(chapters: DataFrame) -> DataFrame:
+    """Chapters, those with an author, and those whose deep link is no film's."""
+    link = F.coalesce(F.col("deeplink").rlike(r"^https://www\.youtube\.com/watch\?v=.+&t=\d+s$"), F.lit(False))
+    return chapters.agg(F.count("*").alias("chapters"), F.count_if(F.coalesce(F.col("auteur") != "", F.lit(False))).alias("with_author"), F.count_if(~link).alias("bad_links"))

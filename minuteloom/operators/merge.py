@@ -44,20 +44,43 @@ def replace_by_key(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def audit_completeness(points: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per meeting: expected and extracted numbers, the missing and extra ones, and whether all are there."""
+    """Per meeting: expected and extracted numbers, the missing and extra ones, the pages that announce the missing ones, and
+    status: ok, incomplete, or file_not_found where nothing is expected as no file was read. expected: meeting, sp, page."""
     have = points.filter("sp is not null").select("meeting", "sp").distinct().withColumn("have", F.lit(True))
-    want = expected.select("meeting", "sp").distinct().withColumn("want", F.lit(True))
+    want = expected.groupBy("meeting", "sp").agg(F.min("page").alias("page"), F.lit(True).alias("want"))
     x = have.join(want, ["meeting", "sp"], "full")
-    numbers = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("sp")))), ",")
-    return x.groupBy("meeting").agg(
-        F.count("want").alias("expected"), F.count("have").alias("extracted"), numbers(F.col("have").isNull()).alias("missing"), numbers(F.col("want").isNull()).alias("extra"), (F.count_if(F.col("have").isNull()) == 0).alias("ok")
+    some = lambda c, v: F.sort_array(F.collect_set(F.when(c, F.col(v))))
+    lacks = F.col("have").isNull()
+    x = x.groupBy("meeting").agg(
+        F.count("want").alias("expected"), F.count("have").alias("extracted"), some(lacks, "sp").alias("missing"), some(F.col("want").isNull(), "sp").alias("extra"), some(lacks, "page").alias("missing_pages")
     )
+    status = F.when(F.col("expected") == 0, "file_not_found").when(F.size("missing") > 0, "incomplete").otherwise("ok")
+    return x.withColumn("ok", F.size("missing") == 0).withColumn("status", status)
 
 
 def completeness_report(audit: DataFrame) -> DataFrame:
     return audit.agg(F.sum("expected").alias("expected"), F.sum("extracted").alias("extracted"), F.count_if(~F.col("ok")).alias("incomplete"))
 
 
+def incomplete_meetings(audit: DataFrame) -> DataFrame:
+    """The meetings that lack numbers, those that lack most first."""
+    return audit.filter(~F.col("ok")).select("meeting", "expected", "extracted", "missing").orderBy(F.desc(F.size("missing")), "meeting")
+
+
+def upsert_meetings(current: DataFrame, new: DataFrame, fields: list[str], default_commune: str) -> DataFrame:
+    """One row per (commune, date): the current values, empty ones filled by the new meeting's. Meetings without a date are
+    passed over; a missing commune is the default. Of new rows of one key the first value of each field by order counts."""
+    of = lambda df: df.filter("date is not null").withColumn("commune", F.lower(F.coalesce(F.nullif(F.trim("commune"), F.lit("")), F.lit(default_commune))))
+    n = of(new).groupBy("commune", "date").agg(*(F.min(F.nullif(F.col(c), F.lit(""))).alias(f"_{c}") for c in fields))
+    x = of(current).join(n, ["commune", "date"], "full")
+    return x.select("commune", "date", *(F.coalesce(F.nullif(F.col(c), F.lit("")), f"_{c}").alias(c) for c in fields))
+
+
+def replace_sessions(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Filmed sessions, the new ones in place of those with their video_id, newest first."""
+    return replace_by_key(current, new, "video_id").orderBy(F.desc_nulls_last("date"), "video_id")
+
+
 def preview_merge(new: DataFrame, current: DataFrame) -> DataFrame:
     n = new.groupBy("meeting").agg(F.count("*").alias("n_points"))
     c = current.groupBy("meeting").agg(F.count("*").alias("have"))
@@ -65,10 +88,14 @@ def preview_merge(new: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def validate_points(points: DataFrame) -> DataFrame:
-    """A row for each issue: duplicate numbers of a meeting, missing titles, amounts below 0 or over 100 million."""
-    twice = points.groupBy("meeting", "sp").agg(F.count("*").alias("n")).filter("n > 1").select("meeting", "sp", F.lit("duplicate").alias("issue"))
-    issue = F.when(F.coalesce(F.trim("titre"), F.lit("")) == "", "untitled").when((F.col("montant") < 0) | (F.col("montant") > 100_000_000), "amount")
-    return twice.unionByName(points.select("meeting", "sp", issue.alias("issue")).filter("issue is not null"))
+    """A row for each issue: each repeat of a number in its meeting, missing titles, amounts below 0 or over 100 million.
+    A point has as many rows as it has issues."""
+    untitled = F.coalesce(F.trim("titre"), F.lit("")) == ""
+    suspect = (F.col("montant") < 0) | (F.col("montant") > 100_000_000)
+    issues = F.filter(F.array(F.when(untitled, "untitled"), F.when(suspect, "amount")), lambda x: x.isNotNull())
+    again = points.groupBy("meeting", "sp").agg(F.count("*").alias("n")).filter("n > 1")
+    again = again.select("meeting", "sp", F.explode(F.expr("array_repeat('duplicate', cast(n - 1 as int))")).alias("issue"))
+    return again.unionByName(points.select("meeting", "sp", F.explode(issues).alias("issue")))
 
 
 def missing_meetings(calendar: DataFrame, files: DataFrame) -> DataFrame:

@@ -32,21 +32,110 @@ def is_role_token(t: Column) -> Column:
     return s.isin(*OFFICES) | s.rlike(r"^f\.?f\.?$")
 
 
+def _parts(raw: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), SEPARATORS), clean_name), lambda p: p != "")
+
+
+def _without_offices(part: Column) -> Column:
+    return F.array_join(F.filter(F.split(part, r"\s+"), lambda t: (t != "") & ~is_role_token(t)), " ")
+
+
 def split_person_names(raw: Column) -> Column:
-    """The names of a compound mention; parts that consist of words of office only are no person."""
-    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), SEPARATORS), clean_name)
-    return F.filter(parts, lambda p: F.exists(F.split(p, r"\s+"), lambda t: (t != "") & ~is_role_token(t)))
+    """The names of a compound mention, without words of office; parts of such words only are no person."""
+    return F.filter(F.transform(_parts(raw), _without_offices), lambda p: p != "")
+
+
+def looks_like_name(s: Column) -> Column:
+    """One to four words; null doesn't."""
+    return F.coalesce(F.size(F.filter(F.split(F.trim(s), r"\s+"), lambda t: t != "")).between(1, 4), F.lit(False))
+
 
+def is_non_person(raw: Column, names: list[str]) -> Column:
+    """Whether a mention is one of ``names`` (plain, lower case): bodies that sign or take part, never people."""
+    return F.lower(strip_accents(clean_name(raw))).isin(names) if names else F.lit(False)
 
-def person_key(name: Column, reversed_pair: Column | None = None) -> Column:
-    """The surname, plain and in lower case: the last word; after leading particles the next word, if more follow;
-    the first of two words where ``reversed_pair`` says that they are known the other way round."""
-    t = F.transform(F.filter(F.split(clean_name(name), r"\s+"), lambda x: x != ""), norm_token)
+
+def title_case_name(name: Column) -> Column:
+    """Each word and part of a hyphenated word in title case; particles after the first word in lower case."""
+    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    cased = F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*PARTICLES), F.lower(w)).otherwise(F.array_join(F.transform(F.split(w, "-"), title), "-")))
+    return F.array_join(cased, " ")
+
+
+def name_tokens(name: Column) -> Column:
+    return F.transform(F.filter(F.split(clean_name(name), r"\s+"), lambda x: x != ""), norm_token)
+
+
+def person_key(name: Column, reversed_pair: Column | None = None, aliases: dict[str, str] | None = None) -> Column:
+    """The surname, plain and in lower case: the last word; after leading particles the next word, if more follow; the
+    first of two words where ``reversed_pair`` says that they are known the other way round. ``aliases`` mend misspellings."""
+    t = name_tokens(name)
     lead = F.aggregate(t, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["n"] + F.when(a["go"] & x.isin(*PARTICLES), 1).otherwise(0)).alias("n"), (a["go"] & x.isin(*PARTICLES)).alias("go")))["n"]
     key = F.when((lead > 0) & (lead + 1 < F.size(t)), F.get(t, lead))
     if reversed_pair is not None:
         key = key.when((lead == 0) & (F.size(t) == 2) & reversed_pair, F.get(t, F.lit(0)))
-    return F.coalesce(key.otherwise(F.element_at(t, -1)) if reversed_pair is None else key.otherwise(F.try_element_at(t, F.lit(-1))), F.lit(""))
+    key = F.coalesce(key.otherwise(F.try_element_at(t, F.lit(-1))), F.lit(""))
+    if aliases:
+        key = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), key), key)
+    return key
+
+
+def name_pairs(mentions: DataFrame, name: str = "name") -> DataFrame:
+    """(first, last): distinct pairs from mentions of two words of which exactly one is in capitals, the surname."""
+    words = F.filter(F.split(clean_name(F.col(name)), r"\s+"), lambda x: x != "")
+    capitals = lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1)
+    x = mentions.select(words.alias("w")).filter(F.size("w") == 2).select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
+    x = x.filter(capitals(F.col("a")) != capitals(F.col("b")))
+    pick = lambda c, p, q: norm_token(F.when(c, F.col(p)).otherwise(F.col(q)))
+    return x.select(pick(capitals(F.col("b")), "a", "b").alias("first"), pick(capitals(F.col("b")), "b", "a").alias("last")).distinct()
+
+
+def person_keys(mentions: DataFrame, pairs: DataFrame, name: str = "name", aliases: dict[str, str] | None = None) -> DataFrame:
+    """``mentions`` with key; two words that ``pairs`` know the other way round have the first as surname."""
+    t = name_tokens(F.col(name))
+    known = pairs.select(F.col("first").alias("_f"), F.col("last").alias("_l"), F.lit(True).alias("_known")).distinct()
+    x = mentions.withColumn("_a", F.get(t, F.lit(0))).withColumn("_b", F.get(t, F.lit(1)))
+    x = x.join(known, (F.col("_a") == F.col("_l")) & (F.col("_b") == F.col("_f")), "left")
+    return x.withColumn("key", person_key(F.col(name), F.coalesce("_known", F.lit(False)), aliases)).drop("_a", "_b", "_f", "_l", "_known")
+
+
+# fixed values: how titles and summaries name who asks; capitals as an explicit list, as ranges hold small letters too
+ASKING, ADDRESS = "Demande|Motion|Interpellation|Verzoek|Motie", r"M\.?|Mme|Monsieur|Madame|de heer|Mevrouw"
+CAPITALS = "A-ZÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸÑŒ"
+CAPITAL_WORD = rf"[{CAPITALS}][\p{{L}}\p{{N}}_'’\-]+"
+ASKED_BY = rf"(?:{ASKING})\s+(?:d[eu']?\s+)?(?:{ADDRESS})?\s*({CAPITAL_WORD}(?:\s+{CAPITAL_WORD}){{0,2}})"
+
+
+def author_in_text(text: Column, speakers: Column) -> Column:
+    """Who a text names as asking; a speaker whose name goes on where the text's name ends is taken for it. Else null."""
+    found = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), ASKED_BY, 1), F.lit(""))
+    longer = F.get(F.filter(speakers, lambda s: (F.lower(s) != F.lower(found)) & F.startswith(F.lower(s), F.lower(found))), F.lit(0))
+    return F.coalesce(longer, found)
+
+
+def first_single_speaker(speakers: Column) -> Column:
+    """The first speaker entry that names exactly one person."""
+    return F.get(F.get(F.filter(F.transform(speakers, split_person_names), lambda n: F.size(n) == 1), F.lit(0)), F.lit(0))
+
+
+def point_author(kind: Column, title: Column, summary: Column, speakers: Column) -> Column:
+    """Who put a point forward: of a question the first speaker; of a request who title or summary name, else the first
+    speaker; of a motion who title or summary name, never a speaker; of other points nobody (null)."""
+    said = F.coalesce(author_in_text(title, speakers), author_in_text(summary, speakers))
+    return F.when(kind == "question_orale", first_single_speaker(speakers)).when(kind == "demande_habitant", F.coalesce(said, first_single_speaker(speakers))).when(kind == "motion", said)
+
+
+def respondents(raw: Column, mayor: Column, acting: Column) -> Column:
+    """The people of a field that may name several; a lone office of mayor is the meeting's (acting) mayor, if that is a name."""
+    holder = lambda c: F.when(looks_like_name(c), c)
+
+    def one(part: Column) -> Column:
+        low, name = F.lower(strip_accents(part)), _without_offices(part)
+        office = F.when(low.contains("ff") | low.contains("f.f"), holder(acting)).when(low.contains("bourgmestre") | low.contains("burgemeester"), holder(F.coalesce(F.nullif(mayor, F.lit("")), acting)))
+        return F.when(name != "", name).otherwise(office)
+
+    return F.filter(F.transform(_parts(raw), one), lambda n: n.isNotNull())
 
 
 def person_role(deposits: Column, answers: Column) -> Column:
@@ -62,17 +151,23 @@ def person_activity(deposits: DataFrame, answers: DataFrame, least: int = 2) ->
     return x.withColumn("role", person_role(F.col("deposits"), F.col("answers"))).filter(F.col("deposits") + F.col("answers") >= least)
 
 
-def best_display_name(variants: DataFrame) -> DataFrame:
-    """Per key the name of most words, then characters, then the first by order, among those that end in the key."""
-    words = F.size(F.split("name", r"\s+"))
-    last = norm_token(F.element_at(F.split("name", r"\s+"), -1)) == F.col("key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(last.cast("int")), F.desc(words), F.desc(F.length("name")), "name"))
-    return variants.select("key", "name").distinct().withColumn("_p", place).filter("_p = 1").drop("_p")
+def best_display_name(variants: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Per key the name of most words, then characters, then the first by order, among those that end in the key and repeat
+    no word; if none does, among all. ``overrides`` name keys that are only ever mentioned by surname."""
+    tokens = F.transform(F.split("name", r"\s+"), norm_token)
+    sound = (F.element_at(tokens, -1) == F.col("key")) & (F.size(F.array_distinct(tokens)) == F.size(tokens))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(sound.cast("int")), F.desc(F.size(tokens)), F.desc(F.length("name")), "name"))
+    best = variants.select("key", "name").distinct().withColumn("_p", place).filter("_p = 1").drop("_p")
+    if not overrides:
+        return best
+    told = F.element_at(F.create_map(*(F.lit(x) for kv in overrides.items() for x in kv)), F.col("key"))
+    return best.withColumn("name", F.coalesce(told, "name"))
 
 
-def resolve_display_names(mentions: DataFrame, registry: DataFrame) -> DataFrame:
-    """``display`` of each mention's key: its canonical name, else the key in title case. A key has one canonical name."""
-    return mentions.join(registry.select("key", F.col("name").alias("_n")), "key", "left").withColumn("display", F.coalesce("_n", F.initcap("key"))).drop("_n")
+def resolve_display_names(mentions: DataFrame, registry: DataFrame, name: str | None = None) -> DataFrame:
+    """``display`` of each mention's key: its canonical name, else the mention (without ``name`` the key) in title case, without titles."""
+    own = title_case_name(clean_name(F.col(name or "key")))
+    return mentions.join(registry.select("key", F.col("name").alias("_n")), "key", "left").withColumn("display", F.coalesce("_n", F.nullif(own, F.lit("")))).drop("_n")
 
 
 def apply_author_overrides(points: DataFrame, overrides: DataFrame) -> DataFrame:

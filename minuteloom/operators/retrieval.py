@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUESTION_ROWS = 100_000  # up to so many questions are broadcast; beyond that a year or commune joins them by hash
+QUESTION_BYTES = 64_000_000  # of question vectors that are broadcast at once
+SCHEMA_VERSION = 2
+VIDEO = "video_conseil"
+# fixed values: names of the kinds of chapters
+KIND_LABELS = {
+    "demande": "Demande", "motion": "Motion", "question": "Question", "interpellation": "Interpellation", "prise_acte": "Prise d'acte", "approbation": "Approbation", "taxe": "Taxe", "reglement": "Règlement",
+}
+ANY_KIND = "Point à l'ordre du jour"
+ASKED = ("demande", "question", "motion", "interpellation")
+EVERYWHERE = ("", "toutes", "toute", "all", "tous")
 
 
 def format_vote(kind: Column, pour: Column, contre: Column, abst: Column) -> Column:
@@ -30,52 +43,127 @@ def point_video_url(key: Column, base: str = "https://www.youtube.com/watch?v=")
     return F.when(key.rlike(p), F.concat(F.lit(base), F.regexp_extract(key, p, 1), F.lit("&t="), F.regexp_extract(key, p, 2), F.lit("s")))
 
 
+def _or(column: str, text: str = "") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(text))
+
+
 def point_chunks(points: DataFrame) -> DataFrame:
-    """Search records of points: id, text with the title first, year and number with 0 for none."""
-    amount = F.when(F.coalesce("montant", F.lit(0)) != 0, F.concat(F.lit("\nMontant : "), F.translate(F.format_number(F.bround("montant", 0), 0), ",", " "), F.lit(" €"))).otherwise("")
-    text = F.concat(F.coalesce("titre", F.lit("")), F.lit("\nCommune : "), F.initcap("commune"), amount)
+    """Search records of points: id, the text that is searched (title first), and what filters and shows them.
+
+    points: meeting_id, commune, date, sp, titre, resume, rubrique, sous_rubrique, decision, type, vote_type, vote (in words),
+    montant, intervenants, repondant, tags. Nulls are empty, year and sp 0 where there is none; amounts of 0, no speakers and
+    no respondent leave their line out."""
+    paid = F.coalesce("montant", F.lit(0)) != 0
+    line = lambda there, *c: F.when(there, F.concat(*c)).otherwise("")
+    speakers = F.coalesce("intervenants", F.array().cast("array<string>"))
+    number = F.when(F.col("sp").cast("string").rlike(r"^\d{1,9}$"), F.col("sp").cast("int")).otherwise(0)
+    text = F.concat(
+        _or("titre"), F.lit("\n\nSéance du Conseil communal de "), F.initcap("commune"), F.lit(" du "), _or("date", "date inconnue"), F.lit(" — Point SP "), _or("sp", "?"), F.lit(".\nRésumé : "), _or("resume"),
+        F.lit("\nRubrique : "), _or("rubrique"), F.lit(" / "), _or("sous_rubrique"), F.lit("\nDécision : "), _or("decision"), F.lit("\nVote : "), _or("vote", "vote non précisé"),
+        line(paid, F.lit("\nMontant : "), F.translate(F.format_number(F.bround("montant", 0), 0), ",", " "), F.lit(" €")),
+        line(F.size(speakers) > 0, F.lit("\nIntervenants : "), F.array_join(speakers, ", ")), line(_or("repondant") != "", F.lit("\nRépondant : "), _or("repondant")),
+        F.lit("\nThématiques : "), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", "),
+    )
     return points.select(
-        F.concat(F.lit("PV-"), F.coalesce(F.col("date").cast("string"), F.lit("")), F.lit("_SP"), F.coalesce(F.col("sp").cast("string"), F.lit("0"))).alias("id"),
-        text.alias("chunk_text"), F.coalesce(F.year("date"), F.lit(0)).alias("year"), F.substring("titre", 1, 500).alias("titre"), "commune",
+        F.concat(_or("meeting_id", "PV"), F.lit("_SP"), _or("sp", "?")).alias("id"), text.alias("chunk_text"), "commune", _or("date", "date inconnue").alias("date"), F.coalesce(F.year("date"), F.lit(0)).alias("year"), number.alias("sp"),
+        _or("rubrique").alias("rubrique"), F.substring(_or("titre"), 1, 500).alias("titre"), _or("decision").alias("decision"), _or("type").alias("type"), F.coalesce(F.col("montant").cast("double"), F.lit(0.0)).alias("montant_eur"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("thematiques"), _or("vote_type").alias("vote_type"), F.lit("pv").alias("source_type"), F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.lit("").alias("auteur"), F.lit("").alias("video_id"), F.lit("").alias("url"), F.lit(None).cast("int").alias("start_s"),
     )
 
 
 def video_chunks(chapters: DataFrame) -> DataFrame:
-    """A title record for each chapter and one for each part of its transcript that isn't blank."""
-    key = F.concat(F.lit("video-"), "video_id", F.lit("-"), F.col("start_s").cast("string"))
-    title = chapters.select(key.alias("id"), F.col("titre").alias("chunk_text"), "start_s")
-    part = chapters.select(key.alias("k"), F.explode("transcript").alias("p")).filter(F.trim("p.text") != "")
-    return title.unionByName(part.select(F.concat("k", F.lit("-t"), F.col("p.start_s").cast("string")).alias("id"), F.col("p.text").alias("chunk_text"), F.col("p.start_s").alias("start_s")))
+    """A title record for each chapter and one for each part of its transcript that isn't blank, with links to their seconds.
+
+    chapters: commune, date, video_id, titre, type, auteur, start_s, deeplink, transcript. Nulls are empty, a missing start 0."""
+    start, kind = F.coalesce("start_s", F.lit(0)).cast("int"), _or("type", "point")
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KIND_LABELS.items() for x in kv)), kind), F.lit(ANY_KIND))
+    by = F.when((F.trim(_or("auteur")) != "") & kind.isin(*ASKED), F.concat(F.lit(" à la demande de "), F.trim(_or("auteur")))).otherwise("")
+    x = chapters.select(
+        F.concat(F.lit("video-"), F.coalesce(F.nullif(F.col("video_id"), F.lit("")), F.lit("x")), F.lit("-"), start.cast("string")).alias("key"), "commune", _or("date", "date inconnue").alias("date"),
+        F.coalesce(F.year(F.col("date").cast("string").try_cast("date")), F.lit(0)).alias("year"), F.trim(_or("titre")).alias("t"), kind.alias("type"), label.alias("label"), by.alias("by"), F.trim(_or("auteur")).alias("auteur"),
+        _or("video_id").alias("video_id"), _or("deeplink").alias("deeplink"), start.alias("start_s"), "transcript",
+    )
+    decision = F.concat("label", F.when(F.col("auteur") != "", F.concat(F.lit(" · "), "auteur")).otherwise(""))
+    place = F.concat(F.lit("Conseil communal de "), F.initcap("commune"), F.lit(" du "), "date")
+
+    def records(df: DataFrame, rid: Column, text: Column, url: Column, at: Column) -> DataFrame:
+        return df.select(
+            rid.alias("id"), text.alias("chunk_text"), "commune", "date", "year", F.lit(0).alias("sp"), F.lit("").alias("rubrique"), F.substring("t", 1, 500).alias("titre"), decision.alias("decision"), "type", F.lit(0.0).alias("montant_eur"),
+            F.array().cast("array<string>").alias("thematiques"), F.lit("").alias("vote_type"), F.lit(VIDEO).alias("source_type"), F.lit(SCHEMA_VERSION).alias("schema_version"), "auteur", "video_id", url.alias("url"), at.alias("start_s"),
+        )
 
+    title = F.concat(place, F.lit(" — point débattu en séance (vidéo).\nTitre : "), "t", F.lit("\nType : "), "label", "by", F.lit("."))
+    parts = x.withColumn("p", F.explode("transcript")).withColumn("said", F.trim("p.text")).filter("said <> ''").withColumn("at", F.coalesce("p.start_s", F.lit(0)).cast("int"))
+    extract = F.concat(place, F.lit(" — extrait du débat filmé.\nPoint : "), "t", F.lit(" ("), "label", "by", F.lit(").\nExtrait : "), "said")
+    link = F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id", F.lit("&t="), F.col("at").cast("string"), F.lit("s"))
+    return records(x, F.col("key"), title, F.col("deeplink"), F.col("start_s")).unionByName(records(parts, F.concat("key", F.lit("-t"), F.col("at").cast("string")), extract, link, F.col("at")))
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+def load_chunks_source(records: DataFrame, default_commune: str) -> DataFrame:
+    """Search records of a table that mixes minutes and films; a film's record bears a video_id. Minutes keep their own
+    municipality, films take the default; both trimmed and in lower case."""
+    film = F.coalesce(F.col("video_id") != "", F.lit(False))
+    default = F.lower(F.trim(F.lit(default_commune)))
+    own = F.coalesce(F.nullif(F.lower(F.trim("commune")), F.lit("")), default)
+    return point_chunks(records.filter(~film).withColumn("commune", own)).unionByName(video_chunks(records.filter(film).withColumn("commune", default)))
 
 
 def vector_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question, id, score, rank) of the k most similar chunks whose year lies in the question's and whose commune is the
-    question's; a null side or commune admits all. Questions are few: they are broadcast, with their number checked; more
-    of them are worked through in blocks against all chunks."""
-    n = questions.count()
-    blocks = -(-n // QUESTION_ROWS) or 1
-    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
-    out = None
+    question's; a null side admits all, as does a commune that is null or a word for all. Scores equal to 10 digits are ties,
+    which go to smaller ids; scores are given with 6 digits.
+
+    Every vector is brought to length 1 once. Questions are few beside chunks; they are broadcast in blocks of QUESTION_BYTES,
+    each block against all chunks: products of whole batches in numpy, of which a batch hands on k for each question."""
+    n, width = questions.agg(F.count("*"), F.max(F.size("q_vector"))).first()
+    blocks = max(1, -(-(n or 0) * 8 * (width or 1) // QUESTION_BYTES))
+    q = questions.select("question", F.col("q_vector").alias("v"), F.coalesce("lo", F.lit(-(1 << 31))).alias("lo"), F.coalesce("hi", F.lit((1 << 31) - 1)).alias("hi"), F.when(~F.col("q_commune").isin(*EVERYWHERE), F.col("q_commune")).alias("c"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("s", 10)), "id"))
+    rows = chunks.select("id", F.col("year").cast("int").alias("year"), "commune", F.col("vector").cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    spark, out = questions.sparkSession, None
     for b in range(blocks):
-        q = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b)
-        admits = (F.coalesce("lo", F.lit(0)) <= F.col("year")) & (F.coalesce("hi", F.lit(9999)) >= F.col("year")) & (F.col("q_commune").isNull() | (F.col("q_commune") == F.col("commune")))
-        hits = chunks.join(F.broadcast(q), admits).select("question", "id", F.round(cosine(F.col("vector"), F.col("q_vector")), 6).alias("score"))
-        got = hits.withColumn("rank", place).filter(F.col("rank") <= k)
+        part = q.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b).toArrow()
+        asked = spark.sparkContext.broadcast((part["question"].to_numpy(), _units(part["v"].combine_chunks(), width or 0), part["lo"].to_numpy(), part["hi"].to_numpy(), np.array(part["c"].to_pylist(), object)))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, vectors, lo, hi, commune = asked.value
+            for batch in batches:
+                x, year = _units(batch["v"], vectors.shape[1]), batch["year"].to_numpy(zero_copy_only=False)
+                where, own = np.array(batch["commune"].to_pylist(), object), batch["id"].to_numpy()
+                s = vectors @ x.T
+                s[~((lo[:, None] <= year) & (year <= hi[:, None]) & (np.equal(commune, None)[:, None] | (commune[:, None] == where)))] = -np.inf
+                bar = np.partition(s, -k, axis=1)[:, -k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
+                i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))  # ties with the last one too
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(s[i, j])], ["question", "id", "s"])
+
+        hits = rows.mapInArrow(run, "question long, id long, s double")
+        got = hits.withColumn("rank", place).filter(F.col("rank") <= k).select("question", "id", F.round("s", 6).alias("score"), "rank")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _units(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of length 1; vectors of another width or of length 0 become zeros."""
+    flat, n = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(n), width))
+    if (n == width).all():
+        out = flat.reshape(len(n), width).astype(float)
+    elif (n == width).any():
+        out[n == width] = flat[np.repeat(n == width, n)].reshape(-1, width)
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-300)[:, None]
+
+
 def dedup_sources(hits: DataFrame, most: int, least: float = 0.0) -> DataFrame:
-    """Per question the best passage of each point, of those with a score of ``least`` or more, the first ``most``."""
-    key = F.when(F.col("point") != "", F.col("point")).otherwise(F.col("id"))
+    """Per question the best passage of each point, of those with a score of ``least`` or more, the first ``most``; an empty
+    point is never merged. Where the answer found nothing (a column not_found), only films stay."""
+    x = hits.filter(F.col("score") >= least)
+    if "not_found" in hits.columns:
+        x = x.filter(~F.coalesce("not_found", F.lit(False)) | (F.col("source_type") == VIDEO))
+    key = F.when(F.col("point") != "", F.concat(F.lit("p"), "point")).otherwise(F.concat(F.lit("i"), F.col("id").cast("string")))
     best = F.row_number().over(Window.partitionBy("question", key).orderBy(F.desc("score"), "id"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
-    return hits.filter(F.col("score") >= least).withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("place", place).filter(F.col("place") <= most)
+    return x.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("place", place).filter(F.col("place") <= most)
 
 
 def build_context(hits: DataFrame, k: int) -> DataFrame:
@@ -98,12 +186,37 @@ def retention_by_threshold(scores: DataFrame, thresholds: list[float]) -> DataFr
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def batch_plan(chunks: DataFrame, size: int = 60) -> DataFrame:
-    """Batches of ``size`` records by order of id, with their estimated tokens. Numbers come from the range partitions'
-    own counts, so no task sees all records."""
-    part = F.spark_partition_id()
-    x = chunks.repartitionByRange("id").select("id", estimate_tokens(F.col("chunk_text")).alias("tokens"), part.alias("part"))
-    x = x.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("id")))
-    counts = x.groupBy("part").agg(F.count("*").alias("c"))
+def score_gap(scores: DataFrame) -> DataFrame:
+    """One row: the highest best score out of scope, the lowest in scope, whether they leave a gap, and its middle as threshold."""
+    top = scores.groupBy("question", "in_scope").agg(F.max("score").alias("top"))
+    x = top.agg(F.max(F.when(~F.col("in_scope"), F.col("top"))).alias("off_topic"), F.min(F.when(F.col("in_scope"), F.col("top"))).alias("in_scope"))
+    gap = F.coalesce(F.col("in_scope") > F.col("off_topic"), F.lit(False))
+    return x.select("off_topic", "in_scope", gap.alias("gap"), F.when(gap, F.round((F.col("off_topic") + F.col("in_scope")) / 2, 6)).alias("threshold"))
+
+
+def threshold_grid(scores: DataFrame) -> list[float]:
+    """Steps of a twelfth of the scores' range (0.01 at least) from the lowest to the highest, three digits each."""
+    lo, hi = scores.agg(F.min("score"), F.max("score")).first()
+    if lo is None:
+        return []
+    step, at, out = max(0.01, round((hi - lo) / 12, 3)), round(lo, 3), []
+    while at <= hi:
+        out.append(at)
+        at = round(at + step, 3)
+    return out
+
+
+def batch_plan(chunks: DataFrame, size: int = 60, tokens_a_minute: int = 130_000) -> DataFrame:
+    """Batches of ``size`` records by order of id, with their estimated tokens and the least pause that keeps to the rate.
+
+    Records are counted between fixed boundaries of the id, so no task sees all of them, and neither a rerun nor a
+    merge of partitions changes a number. Records of one id and text are in the order of their texts."""
+    x = chunks.select("id", estimate_tokens(F.col("chunk_text")).alias("tokens"), F.xxhash64("chunk_text").alias("h"))
+    bounds = x.agg(F.percentile_approx("id", [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
+    x = x.withColumn("part", F.size(F.filter(bounds, lambda b: b < F.col("id"))))
+    x = x.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("id", "h")))
+    counts = x.groupBy("part").agg(F.count("*").alias("c"))  # 64 rows
     base = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    return x.join(base, "part").groupBy(F.floor((F.col("base") + F.col("n") - 1) / size).alias("batch")).agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
+    out = x.join(F.broadcast(base), "part").groupBy(F.floor((F.col("base") + F.col("n") - 1) / size).alias("batch")).agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
+    return out.withColumn("pause_s", F.round(F.col("tokens") * 60 / F.lit(tokens_a_minute), 3))

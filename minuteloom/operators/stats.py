@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteloom.functions.text import canon_theme, matches_theme, strip_accents
+from minuteloom.operators.selection import DEBATE, POSTPONED, matches_person, matches_theme_tag, matches_type
 
 # fixed values: kinds of points, titles and decisions whose amount is no spending of the municipality
 SKIPPED_TYPES = ("motion", "question_orale", "demande_habitant")
@@ -44,20 +45,32 @@ def activity_by_year(points: DataFrame) -> DataFrame:
 
 def themes_by_year(points: DataFrame, n: int = 12) -> DataFrame:
     """The n commonest themes of each year and of all (year null); ties by name."""
-    tags = points.select(F.year("date").alias("year"), F.explode("tags").alias("tag")).select("year", canon_theme(F.col("tag")).alias("theme"))
-    counts = tags.groupingSets([[F.col("year"), F.col("theme")], [F.col("theme")]], "year", "theme").agg(F.count("*").alias("n"))
+    each = points.select(F.year("date").alias("year"), F.explode("tags").alias("tag")).groupBy("year", "tag").agg(F.count("*").alias("n"))
+    each = each.select("year", canon_theme(F.col("tag")).alias("theme"), "n")  # a few tags of each year
+    counts = each.groupingSets([[F.col("year"), F.col("theme")], [F.col("theme")]], "year", "theme").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "theme"))
     return counts.withColumn("place", place).filter(F.col("place") <= n)
 
 
+def meeting_themes(points: DataFrame) -> DataFrame:
+    """One row per meeting: its measures and themes, an array of (n, theme, amount), most points first. The points are read and
+    rated once: a point without tags stands under a null theme, and only the first row of a point bears its measures."""
+    x = with_amounts(points).select("meeting", "date", "engaged", F.col("vote_type"), F.posexplode_outer("tags").alias("k", "tag"))
+    first = F.coalesce(F.col("k"), F.lit(0)) == 0
+    by_tag = x.groupBy("meeting", "tag").agg(
+        F.first("date").alias("date"), F.count("tag").alias("n"), F.sum("engaged").alias("amount"), F.count_if(first).alias("points"), F.count_if(first & (F.col("vote_type") == "vote_nominal")).alias("contested"), F.sum(F.when(first, F.col("engaged"))).alias("own")
+    )
+    by_theme = by_tag.groupBy("meeting", canon_theme(F.col("tag")).alias("theme")).agg(F.first("date").alias("date"), *(F.sum(c).alias(c) for c in ("n", "amount", "points", "contested", "own")))
+    listed = F.filter(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "theme", "amount"))), lambda t: t["theme"].isNotNull())
+    out = by_theme.groupBy("meeting").agg(F.first("date").alias("date"), F.sum("points").alias("points"), F.sum("contested").alias("contested"), F.sum("own").alias("engaged"), listed.alias("themes"))
+    return out.withColumn("themes", F.transform("themes", lambda t: F.struct((-t["n"]).alias("n"), t["theme"].alias("theme"), t["amount"].alias("amount"))))
+
+
 def meeting_summary(points: DataFrame) -> DataFrame:
-    """Per meeting: points, contested votes, engaged amount, and its themes by number of points."""
-    x = with_amounts(points)
-    base = x.groupBy("meeting", "date").agg(F.count("*").alias("points"), F.count_if(F.col("vote_type") == "vote_nominal").alias("contested"), F.sum("engaged").alias("engaged"))
-    themes = x.select("meeting", "engaged", F.explode("tags").alias("tag")).groupBy("meeting", canon_theme(F.col("tag")).alias("theme")).agg(F.count("*").alias("n"), F.sum("engaged").alias("amount"))
-    listed = themes.groupBy("meeting").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "theme", "amount"))).alias("t"))
-    text = F.array_join(F.transform("t", lambda t: F.concat_ws(":", t["theme"], -t["n"], t["amount"])), "|")
-    return base.join(listed, "meeting", "left").select("meeting", "date", "points", "contested", F.col("engaged").cast("double").alias("engaged"), text.alias("themes"))
+    """Per meeting: points, contested votes, engaged amount, and its themes with points and amount, as one text. Files and
+    films are joined by ``selection.attach_links``."""
+    text = F.array_join(F.transform("themes", lambda t: F.concat_ws(":", t["theme"], t["n"], t["amount"])), "|")
+    return meeting_themes(points).select("meeting", "date", "points", "contested", F.col("engaged").cast("double").alias("engaged"), text.alias("themes"))
 
 
 def value_counts(points: DataFrame, column: Column, n: int | None = None) -> DataFrame:
@@ -66,8 +79,17 @@ def value_counts(points: DataFrame, column: Column, n: int | None = None) -> Dat
 
 
 def theme_points(points: DataFrame, theme: str) -> DataFrame:
-    """The points with a stem of the theme in title, rubric or tags."""
-    return with_amounts(points).filter(matches_theme(F.concat_ws(" ", F.coalesce("titre", F.lit("")), F.coalesce("rubrique", F.lit("")), F.array_join("tags", " ")), theme))
+    """The points with a stem of the theme in title, summary, rubrics or tags; columns that the points lack hold nothing."""
+    said = [F.coalesce(c, F.lit("")) for c in ("titre", "resume", "rubrique", "sous_rubrique") if c in points.columns]
+    return with_amounts(points.filter(matches_theme(F.concat_ws(" ", *said, F.array_join("tags", " ")), theme)))
+
+
+def themes_matched(points: DataFrame, themes: list[str]) -> DataFrame:
+    """``points`` with theme, a row for each of ``themes`` that they match; each text is made plain once."""
+    said = [F.coalesce(c, F.lit("")) for c in ("titre", "resume", "rubrique", "sous_rubrique") if c in points.columns]
+    x = points.withColumn("_blob", F.concat_ws(" ", *said, F.array_join("tags", " ")))
+    hits = F.filter(F.array(*(F.when(matches_theme(F.col("_blob"), t), F.lit(t)) for t in themes)), lambda t: t.isNotNull())
+    return x.withColumn("theme", F.explode(hits)).drop("_blob")
 
 
 def theme_trend(points: DataFrame, theme: str) -> DataFrame:
@@ -77,15 +99,32 @@ def theme_trend(points: DataFrame, theme: str) -> DataFrame:
     return x.groupBy(F.coalesce(F.year("date").cast("string"), F.lit("?")).alias("year")).agg(F.count("*").alias("points"), F.count_if(paid).alias("with_amount"), F.coalesce(F.sum(F.when(paid, F.col("montant"))), F.lit(0)).cast("double").alias("total"))
 
 
+def trend_totals(points: DataFrame, theme: str) -> DataFrame:
+    """One row: points of the theme that count, those with an amount over 0, their total, and the documents left out."""
+    paid = ~F.col("excluded") & (F.col("montant") > 0)
+    return theme_points(points, theme).agg(F.count_if(~F.col("excluded")).alias("points"), F.count_if(paid).alias("with_amount"), F.coalesce(F.sum(F.when(paid, F.col("montant"))), F.lit(0)).cast("double").alias("total"), F.count_if("excluded").alias("left_out"))
+
+
 def top_spend(points: DataFrame, theme: str, n: int = 8) -> DataFrame:
     x = theme_points(points, theme).filter(~F.col("excluded") & (F.col("montant") > 0))
     return x.orderBy(F.desc("montant"), "meeting", "sp", "partkey", "suppkey").limit(n).select("meeting", "sp", "partkey", "titre", F.col("montant").cast("double").alias("montant"))
 
 
 def kpi_rollup(points: DataFrame) -> DataFrame:
-    """Points, contested votes and engaged amount for all, each year, month and meeting date."""
-    x = with_amounts(points).select(F.year("date").alias("year"), F.month("date").alias("month"), "date", "engaged", "vote_type")
-    return x.rollup("year", "month", "date").agg(F.count("*").alias("points"), F.count_if(F.col("vote_type") == "vote_nominal").alias("contested"), F.sum("engaged").cast("double").alias("engaged"), F.grouping_id().cast("int").alias("level"))
+    """Points, contested votes and engaged amount for all, each year, month and meeting date; dates are added up first."""
+    each = with_amounts(points).groupBy("date").agg(F.count("*").alias("points"), F.count_if(F.col("vote_type") == "vote_nominal").alias("contested"), F.sum("engaged").alias("engaged"))
+    x = each.withColumns({"year": F.year("date"), "month": F.month("date")})
+    return x.rollup("year", "month", "date").agg(F.sum("points").alias("points"), F.sum("contested").alias("contested"), F.sum("engaged").cast("double").alias("engaged"), F.grouping_id().cast("int").alias("level"))
+
+
+def scope_themes(points: DataFrame, n: int = 12) -> DataFrame:
+    """(level, year, month, date, theme, n, place): the n commonest themes of all, each year, month and date; ties by name."""
+    each = points.select("date", F.explode("tags").alias("tag")).groupBy("date", "tag").agg(F.count("*").alias("n"))
+    each = each.groupBy("date", canon_theme(F.col("tag")).alias("theme")).agg(F.sum("n").alias("n")).withColumns({"year": F.year("date"), "month": F.month("date")})
+    sets = [[], ["year"], ["year", "month"], ["year", "month", "date"]]
+    x = each.groupingSets([[F.col(c) for c in [*k, "theme"]] for k in sets], "year", "month", "date", "theme").agg(F.sum("n").alias("n"), F.shiftright(F.grouping_id(), 1).cast("int").alias("level"))
+    place = F.row_number().over(Window.partitionBy("level", "year", "month", "date").orderBy(F.desc("n"), "theme"))
+    return x.withColumn("place", place).filter(F.col("place") <= n)
 
 
 def corpus_summary(points: DataFrame) -> DataFrame:
@@ -94,16 +133,29 @@ def corpus_summary(points: DataFrame) -> DataFrame:
 
 
 def corpus_checks(points: DataFrame) -> DataFrame:
+    """One row: what a sound corpus has none of, and the plausibility of its engaged total and years. A date that is a text
+    must be ISO; amounts that are doubles must be finite."""
+    iso = F.coalesce(F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    amount = F.col("montant").cast("double")
     return with_amounts(points).agg(
-        F.count_if(F.col("date").isNull()).alias("undated"), F.count_if(F.coalesce(F.trim("titre"), F.lit("")) == "").alias("untitled"), (F.sum("engaged") < 2_000_000_000).alias("plausible"), F.min(F.year("date")).alias("first_year"), F.max(F.year("date")).alias("last_year")
-    )
-
-
-def facet_counts(points: DataFrame, kind: str | None, theme: str | None) -> DataFrame:
-    """Counts of each type under the chosen theme, and of each theme under the chosen type; the chosen value always shows."""
-    has = F.exists("tags", lambda t: canon_theme(t) == F.lit(theme)) if theme else F.lit(True)
-    types = points.filter(has).groupBy(F.col("type").alias("value")).agg(F.count("*").alias("n"))
-    under = points.filter(F.col("type") == kind) if kind else points
-    themes = under.select(F.array_distinct(F.transform("tags", canon_theme)).alias("t")).select(F.explode("t").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    chosen = lambda df, name, v: df.withColumn("facet", F.lit(name)) if v is None else df.unionByName(df.sparkSession.createDataFrame([(v, 0)], "value string, n long")).groupBy("value").agg(F.sum("n").alias("n")).withColumn("facet", F.lit(name))
-    return chosen(types, "type", kind).unionByName(chosen(themes, "theme", theme)).select("facet", "value", "n")
+        F.count_if(F.col("date").isNull()).alias("undated"), F.count_if(~iso).alias("not_iso"), F.count_if(F.coalesce(F.trim("titre"), F.lit("")) == "").alias("untitled"), F.count_if(F.isnan(amount) | (F.abs(amount) == float("inf"))).alias("not_finite"),
+        (F.sum("engaged") < 2_000_000_000).alias("plausible"), F.min(F.year("date")).alias("first_year"), F.max(F.year("date")).alias("last_year"),
+    )
+
+
+def facet_counts(points: DataFrame, kind: str | None, theme: str | None, person: str | None = None) -> DataFrame:
+    """Counts of each type (and of points postponed or with a film of the debate), theme and person, each under the other two
+    choices; an author who also answers counts twice; the chosen value always shows. points: with postponed and debate."""
+    x = points.withColumns({"_k": matches_type(kind), "_t": matches_theme_tag(theme), "_p": matches_person(person)})
+    types = x.filter("_t and _p")
+    kinds = F.filter(F.array("type", F.when(F.col("postponed"), POSTPONED), F.when(F.col("debate"), DEBATE)), lambda v: v.isNotNull())
+    people = F.filter(F.array("author", "speaker"), lambda v: v.isNotNull())
+    facets = (("type", types, kinds, kind), ("theme", x.filter("_k and _p"), F.array_distinct(F.transform("tags", canon_theme)), theme), ("person", x.filter("_k and _t"), people, person))
+    out = None
+    for name, rows, values, chosen in facets:
+        n = rows.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+        if chosen is not None:
+            n = n.unionByName(n.sparkSession.createDataFrame([(chosen, 0)], "value string, n long")).groupBy("value").agg(F.sum("n").alias("n"))
+        n = n.select(F.lit(name).alias("facet"), "value", "n")
+        out = n if out is None else out.unionByName(n)
+    return out

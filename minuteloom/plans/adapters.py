@@ -36,10 +36,13 @@ SEGMENTS = "SELECT user_id AS video_id, event_id AS segment, ts AS t, event_type
 CAPTIONS = "SELECT conv_id AS video_id, conv_id AS chapter, turn AS ord, CAST(turn * 5 AS DOUBLE) AS start_s, text FROM conversations"
 CHUNKS = "SELECT vec_id AS id, embedding AS vector, 2000 + label AS year, CASE WHEN label % 2 = 0 THEN 'north' ELSE 'south' END AS commune, label FROM embeddings"
 ASKED = "SELECT vec_id AS question, embedding AS q_vector, CASE WHEN label > 3 THEN 2002 END AS lo, CASE WHEN label < 7 THEN 2008 END AS hi, CASE WHEN label % 3 = 0 THEN 'north' END AS q_commune, label % 2 = 0 AS in_scope FROM embeddings WHERE vec_id % 20 = 0"
-NAMES = """
-SELECT c_custkey AS id, concat(CASE c_custkey % 5 WHEN 0 THEN 'M. ' WHEN 1 THEN 'Mme. ' WHEN 2 THEN 'MM. ' ELSE '' END,
-  CASE c_custkey % 7 WHEN 0 THEN 'Georges VERDIN' WHEN 1 THEN 'Van den Heuvel Quentin' WHEN 2 THEN 'Noël, Bourgmestre' WHEN 3 THEN 'Anne Él Amrani' WHEN 4 THEN 'de Brabant'
-    WHEN 5 THEN 'Bouhjar et El Arnouki' ELSE 'Secrétaire communal' END) AS raw FROM customer"""
+# first and last names made of a number's digits: as many people as the table has keys
+first = lambda k: f"concat('J', translate(CAST({k} % 37 AS VARCHAR(9)), '0123456789', 'aeioulmnrs'))"
+last = lambda k: f"concat('W', translate(CAST({k} AS VARCHAR(19)), '0123456789', 'aeioulmnrs'))"
+F1, L1, L2 = first("c_custkey"), last("c_custkey"), last("c_custkey + 1")
+NAMES = f"""
+SELECT c_custkey AS id, {F1} AS f, {L1} AS l, {L2} AS l2, CASE c_custkey % 8 WHEN 0 THEN concat('M. ', {F1}, ' ', upper({L1})) WHEN 1 THEN concat('Mme. ', {L1}, ' ', {F1}) WHEN 2 THEN concat({L1}, ', Bourgmestre')
+  WHEN 3 THEN concat('Van den ', {L1}, ' ', {F1}) WHEN 4 THEN concat('de ', {L1}) WHEN 5 THEN concat('MM. ', {L1}, ' et ', {F1}, ' ', {L2}) WHEN 6 THEN concat('Bourgmestre ', {F1}, ' ', {L1}) ELSE 'Secrétaire communal' END AS raw FROM customer"""
 AMOUNTS = """
 SELECT l_orderkey AS a, l_linenumber AS b, CASE l_linenumber % 5 WHEN 0 THEN 'gratuit' WHEN 1 THEN concat(CAST(l_partkey AS VARCHAR(20)), '.000 € TVAC')
   WHEN 2 THEN concat('1.', lpad(CAST(l_suppkey % 1000 AS VARCHAR(20)), 3, '0'), ',56 EUR HTVA') WHEN 3 THEN concat('1 ', lpad(CAST(l_suppkey % 1000 AS VARCHAR(20)), 3, '0'), ',50') ELSE '' END AS raw,

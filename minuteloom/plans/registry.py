@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
-from minuteloom.operators import collect, merge, people, retrieval, stats, video
+from minuteloom.operators import collect, merge, people, retrieval, selection, stats, video
 from minuteloom.plans import adapters as A
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations labels".split()
@@ -26,11 +27,14 @@ def query(oracle: str | None = None):
     return add
 
 
+_TABLE = re.compile(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b")
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    for t in TABLES:
-        if f" {t}" in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """The SQL over the tables of a folder, under names that no caller's view bears."""
+    for _, t in set(_TABLE.findall(sql)):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"minuteloom_{t}")
+    return spark.sql(_TABLE.sub(r"\1 minuteloom_\2", sql))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +63,12 @@ def p2_p3_engaged_amount(spark, sf_dir):
 
 @query(P + "SELECT meeting, sp, partkey, suppkey, vote_type IS NOT NULL AND vote_type = 'vote_nominal' AS contested, coalesce(starts_with(lower(trim(decision)), 'report'), false) AS postponed FROM points")
 def p4_p9_votes(spark, sf_dir):
-    return points(spark, sf_dir).select("meeting", "sp", "partkey", "suppkey", F.coalesce(F.col("vote_type") == "vote_nominal", F.lit(False)).alias("contested"), F.coalesce(F.lower(F.trim("decision")).startswith("report"), F.lit(False)).alias("postponed"))
+    return points(spark, sf_dir).select("meeting", "sp", "partkey", "suppkey", selection.contested_vote(F.col("vote_type")).alias("contested"), selection.is_postponed(F.col("decision")).alias("postponed"))
 
 
 @query(P + "SELECT meeting, sp, partkey, suppkey FROM x WHERE year(date) = 1998 AND month(date) = 3 AND list_contains([" + CANON.format("tag1") + ", " + CANON.format("tag2") + "], 'promo')")
 def p7_scope_filter(spark, sf_dir):
-    x = points(spark, sf_dir).filter((F.col("date") >= "1998-03-01") & (F.col("date") < "1998-04-01"))
-    return x.filter(F.array_contains(F.transform("tags", text.canon_theme), "promo")).select("meeting", "sp", "partkey", "suppkey")
+    return selection.scope_filter(points(spark, sf_dir), 1998, 3, theme="promo").select("meeting", "sp", "partkey", "suppkey")
 
 
 @query(P + "SELECT count(DISTINCT meeting) AS meetings, count(*) AS points, sum(engaged)::DOUBLE AS engaged, count(*) FILTER (vote_type = 'vote_nominal') AS contested FROM x")
@@ -85,7 +88,7 @@ def a3_themes_by_year(spark, sf_dir):
 
 @query(P + "SELECT year(date)::INTEGER AS year, string_agg(DISTINCT date::VARCHAR, ',' ORDER BY date::VARCHAR) AS dates FROM x GROUP BY 1")
 def a4_dates_by_year(spark, sf_dir):
-    return points(spark, sf_dir).groupBy(F.year("date").alias("year")).agg(F.array_join(F.sort_array(F.collect_set(F.col("date").cast("string"))), ",").alias("dates"))
+    return selection.dates_by_year(points(spark, sf_dir)).withColumn("dates", F.array_join("dates", ","))
 
 
 @query(P + """, b AS (SELECT meeting, date, count(*) AS points, count(*) FILTER (vote_type = 'vote_nominal') AS contested, sum(engaged) AS engaged FROM x GROUP BY ALL),
@@ -125,21 +128,38 @@ def a11_corpus_summary(spark, sf_dir):
     return stats.corpus_summary(points(spark, sf_dir))
 
 
-@query(P + """, f AS (SELECT 'type' AS facet, type AS value, count(*) AS n FROM x WHERE list_contains([""" + CANON.format("tag1") + ", " + CANON.format("tag2") + """], 'standard') GROUP BY 2
-  UNION ALL SELECT 'theme', theme, count(*) FROM (SELECT unnest(list_distinct([""" + CANON.format("tag1") + ", " + CANON.format("tag2") + """])) AS theme FROM x WHERE type = 'motion') GROUP BY 2
-  UNION ALL SELECT 'type', 'motion', 0 UNION ALL SELECT 'theme', 'standard', 0) SELECT facet, value, sum(n)::BIGINT AS n FROM f GROUP BY ALL""")
+#: Points with what the pseudo-types ask for: postponed, and a film of the debate.
+FACETS = f"""SELECT *, coalesce(lower(trim(decision)) LIKE 'report%', false) AS postponed, partkey % 3 = 0 AND suppkey % 2 = 0 AND NOT coalesce(lower(trim(decision)) LIKE 'report%', false) AS debate FROM ({A.POINTS})"""
+
+
+def faceted(spark, sf_dir):
+    x = points(spark, sf_dir).withColumn("postponed", selection.is_postponed(F.col("decision")))
+    url = F.when(F.col("partkey") % 3 == 0, F.concat(F.lit("https://film.example/"), F.col("meeting").cast("string")))
+    return x.withColumn("debate", selection.has_debate_link(F.col("type"), F.lit(None).cast("string"), url, F.col("suppkey") % 2 == 0, F.col("postponed")))
+
+
+@query(f"""WITH x AS ({FACETS}), h AS (SELECT * FROM x WHERE list_contains([{CANON.format("tag1")}, {CANON.format("tag2")}], 'standard')),
+  f AS (SELECT 'type' AS facet, unnest(list_filter([type, CASE WHEN postponed THEN 'reporte' END, CASE WHEN debate THEN 'debat_filme' END], lambda v: v IS NOT NULL)) AS value FROM h WHERE author = 'Customer#000000002' OR speaker = 'Customer#000000002'
+    UNION ALL SELECT 'theme', unnest(list_distinct([{CANON.format("tag1")}, {CANON.format("tag2")}])) FROM x WHERE type = 'motion' AND (author = 'Customer#000000002' OR speaker = 'Customer#000000002')
+    UNION ALL SELECT 'person', unnest([author, speaker]) FROM h WHERE type = 'motion'), n AS (SELECT facet, value, count(*) AS n FROM f GROUP BY ALL
+    UNION ALL SELECT 'type', 'motion', 0 UNION ALL SELECT 'theme', 'standard', 0 UNION ALL SELECT 'person', 'Customer#000000002', 0) SELECT facet, value, sum(n)::BIGINT AS n FROM n GROUP BY ALL""")
 def a10_facet_counts(spark, sf_dir):
-    return stats.facet_counts(points(spark, sf_dir), "motion", "standard")
+    return stats.facet_counts(faceted(spark, sf_dir), "motion", "standard", "Customer#000000002")
 
 
-@query(P + "SELECT count(*) FILTER (date IS NULL) AS undated, count(*) FILTER (coalesce(trim(titre), '') = '') AS untitled, sum(engaged) < 2000000000 AS plausible, min(year(date))::INTEGER AS first_year, max(year(date))::INTEGER AS last_year FROM x")
+@query(P + "SELECT count(*) FILTER (date IS NULL) AS undated, count(*) FILTER (date IS NULL) AS not_iso, count(*) FILTER (coalesce(trim(titre), '') = '') AS untitled, count(*) FILTER (NOT isfinite(montant::DOUBLE)) AS not_finite, sum(engaged) < 2000000000 AS plausible, min(year(date))::INTEGER AS first_year, max(year(date))::INTEGER AS last_year FROM x")
 def q2_corpus_checks(spark, sf_dir):
     return stats.corpus_checks(points(spark, sf_dir))
 
 
-@query(P + "SELECT meeting, sp, 'duplicate' AS issue FROM points GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT meeting, sp, CASE WHEN trim(titre) = '' THEN 'untitled' ELSE 'amount' END FROM points WHERE trim(titre) = '' OR montant < 0 OR montant > 100000000")
+#: Points some of which lack a title or have an amount out of bounds, or both.
+FAULTY = f"SELECT meeting, sp, CASE WHEN partkey % 9 = 0 THEN ' ' ELSE titre END AS titre, CASE WHEN suppkey % 6 = 0 THEN -montant WHEN suppkey % 6 = 1 THEN montant * 100000 ELSE montant END AS montant FROM ({A.POINTS})"
+
+
+@query(f"""WITH x AS ({FAULTY}) SELECT meeting, sp, 'duplicate' AS issue FROM x QUALIFY row_number() OVER (PARTITION BY meeting, sp) > 1
+  UNION ALL SELECT meeting, sp, 'untitled' FROM x WHERE trim(titre) = '' UNION ALL SELECT meeting, sp, 'amount' FROM x WHERE montant < 0 OR montant > 100000000""")
 def q1_validate_points(spark, sf_dir):
-    return merge.validate_points(points(spark, sf_dir))
+    return merge.validate_points(view(spark, sf_dir, FAULTY))
 
 
 COLUMNS = ["titre", "decision", "vote_type", "montant", "type"]
@@ -158,19 +178,25 @@ def w2_upsert_points(spark, sf_dir):
     return merge.upsert_points(x.filter("partkey % 2 = 0"), x.filter("partkey % 2 = 1"), ["meeting", "sp"], ORDER, COLUMNS).select("meeting", "sp", "partkey", "suppkey")
 
 
-AUDIT = P + """, h AS (SELECT DISTINCT meeting, sp FROM points WHERE sp <> 3), e AS (SELECT o_orderkey AS meeting, unnest(range(1, 5))::INTEGER AS sp FROM orders),
-  j AS (SELECT coalesce(h.meeting, e.meeting) AS meeting, coalesce(h.sp, e.sp) AS sp, h.sp IS NOT NULL AS have, e.sp IS NOT NULL AS want FROM h FULL JOIN e ON h.meeting = e.meeting AND h.sp = e.sp),
-  audit AS (SELECT meeting, count(*) FILTER (want) AS expected, count(*) FILTER (have) AS extracted, coalesce(string_agg(sp::VARCHAR, ',' ORDER BY sp) FILTER (NOT have), '') AS missing, coalesce(string_agg(sp::VARCHAR, ',' ORDER BY sp) FILTER (NOT want), '') AS extra, count(*) FILTER (NOT have) = 0 AS ok FROM j GROUP BY 1) """
+AUDIT = P + """, h AS (SELECT DISTINCT meeting, sp FROM points WHERE sp <> 3), e AS (SELECT o_orderkey AS meeting, unnest(range(1, 5))::INTEGER AS sp FROM orders WHERE o_orderkey % 7 > 0),
+  j AS (SELECT coalesce(h.meeting, e.meeting) AS meeting, coalesce(h.sp, e.sp) AS sp, (e.sp + 1) // 2 AS page, h.sp IS NOT NULL AS have, e.sp IS NOT NULL AS want FROM h FULL JOIN e ON h.meeting = e.meeting AND h.sp = e.sp),
+  audit AS (SELECT meeting, count(*) FILTER (want) AS expected, count(*) FILTER (have) AS extracted, coalesce(string_agg(sp::VARCHAR, ',' ORDER BY sp) FILTER (NOT have), '') AS missing, coalesce(string_agg(sp::VARCHAR, ',' ORDER BY sp) FILTER (NOT want), '') AS extra,
+    coalesce(array_to_string(list_sort(list_distinct(list(page) FILTER (NOT have))), ','), '') AS missing_pages, count(*) FILTER (NOT have) = 0 AS ok, count(*) FILTER (NOT have) AS lacks,
+    CASE WHEN count(*) FILTER (want) = 0 THEN 'file_not_found' WHEN count(*) FILTER (NOT have) > 0 THEN 'incomplete' ELSE 'ok' END AS status FROM j GROUP BY 1) """
 
 
 def audited(spark, sf_dir):
-    expected = view(spark, sf_dir, "SELECT o_orderkey AS meeting, explode(sequence(1, 4)) AS sp FROM orders")
+    expected = view(spark, sf_dir, "SELECT o_orderkey AS meeting, explode(sequence(1, 4)) AS sp FROM orders WHERE o_orderkey % 7 > 0").withColumn("page", F.expr("(sp + 1) div 2"))
     return merge.audit_completeness(points(spark, sf_dir).filter("sp <> 3"), expected)
 
 
-@query(AUDIT + "SELECT * FROM audit")
+def as_texts(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ",") for c in columns})
+
+
+@query(AUDIT + "SELECT * EXCLUDE (lacks) FROM audit")
 def s1_audit_completeness(spark, sf_dir):
-    return audited(spark, sf_dir)
+    return as_texts(audited(spark, sf_dir), "missing", "extra", "missing_pages")
 
 
 @query(AUDIT + "SELECT sum(expected)::BIGINT AS expected, sum(extracted)::BIGINT AS extracted, count(*) FILTER (NOT ok) AS incomplete FROM audit")
@@ -178,6 +204,16 @@ def a12_completeness_report(spark, sf_dir):
     return merge.completeness_report(audited(spark, sf_dir))
 
 
+@query(AUDIT + "SELECT meeting, expected, extracted, missing FROM audit WHERE NOT ok ORDER BY lacks DESC, meeting")
+def a12_incomplete_meetings(spark, sf_dir):
+    return as_texts(merge.incomplete_meetings(audited(spark, sf_dir)), "missing")
+
+
+@query(AUDIT + "SELECT meeting, missing FROM audit WHERE lacks >= 2")
+def s7_reextract_targets(spark, sf_dir):
+    return as_texts(selection.reextract_targets(audited(spark, sf_dir), 2), "missing").select("meeting", "missing")
+
+
 @query(P + """, n AS (SELECT meeting, count(*) AS n_points FROM points WHERE sp > 2 GROUP BY 1), c AS (SELECT meeting, count(*) AS have FROM points WHERE sp <= 2 AND meeting % 3 > 0 GROUP BY 1)
   SELECT n.meeting, n_points, have IS NULL AS is_new, coalesce(have, 0) AS existing_points FROM n LEFT JOIN c USING (meeting)""")
 def j9_preview_merge(spark, sf_dir):
@@ -235,9 +271,12 @@ def _try_date(p: str, y: int, m: int, d: int) -> str:
     return f"try_cast({part(y)} || '-' || lpad({part(m)}, 2, '0') || '-' || lpad({part(d)}, 2, '0') AS DATE)"
 
 
-@query(f"WITH f AS ({A.FILES}) SELECT ord, coalesce({_try_date(r'(20\d{2})[._\-](\d{1,2})[._\-](\d{1,2})', 1, 2, 3)}, {_try_date(r'(20\d{2})(\d{2})(\d{2})', 1, 2, 3)}, {_try_date(r'(\d{2})(\d{2})(20\d{2})', 3, 2, 1)}) AS found FROM f")
+NAME_DATE = f"coalesce({_try_date(r'(20\d{2})[._\-](\d{1,2})[._\-](\d{1,2})', 1, 2, 3)}, {_try_date(r'(20\d{2})(\d{2})(\d{2})', 1, 2, 3)}, {_try_date(r'(\d{2})(\d{2})(20\d{2})', 3, 2, 1)})"
+
+
+@query(f"WITH f AS ({A.FILES}) SELECT ord, {NAME_DATE} AS found, 'PV-' || coalesce({NAME_DATE}::VARCHAR, name) AS id FROM f")
 def f7_date_from_filename(spark, sf_dir):
-    return view(spark, sf_dir, A.FILES).select("ord", dates.date_from_filename(F.col("name")).alias("found"))
+    return view(spark, sf_dir, A.FILES).select("ord", dates.date_from_filename(F.col("name")).alias("found"), dates.meeting_id(F.col("name")).alias("id"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE + 7300 AS found FROM orders")
@@ -254,7 +293,7 @@ def f8_date_from_text(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS of_title, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS of_url FROM orders")
 def f9_f10_dates_of_names(spark, sf_dir):
     x = view(spark, sf_dir, "SELECT o_orderkey, o_orderdate AS d FROM orders")
-    title = F.concat(F.lit("Conseil communal "), F.date_format("d", "d/M/yyyy"))
+    title = F.concat(F.lit("Conseil communal "), F.date_format("d", "dd/MM/yyyy"))
     url = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/x/pv-conseil-"), F.date_format("d", "yyyy.MM.dd"), F.lit(".pdf"))).otherwise("/x/pv.pdf")
     return x.select("o_orderkey", dates.date_from_title(title).alias("of_title"), dates.date_from_url(url).alias("of_url"))
 
@@ -272,9 +311,28 @@ def f18_format_vote(spark, sf_dir):
     return x.select("meeting", "sp", "partkey", "suppkey", retrieval.format_vote(F.col("vote_type"), F.col("sp"), F.col("suppkey") % 3, F.lit(None).cast("int")).alias("vote"))
 
 
-@query(P + """SELECT concat('PV-', date, '_SP', sp) AS id, concat(titre, chr(10) || 'Commune : ', upper(commune[1]) || CASE WHEN commune = 'middle east' THEN 'iddle East' ELSE commune[2:] END, CASE WHEN montant <> 0 THEN concat(chr(10) || 'Montant : ', replace(format('{:,}', round_even(montant, 0)::BIGINT), ',', ' '), ' €') ELSE '' END) AS chunk_text, year(date)::INTEGER AS year, titre, commune FROM points""")
+#: Points as search records want them, with files, summaries and speakers.
+RECORDS = f"""SELECT concat('PV-', CAST(date AS VARCHAR(10)), '-', CAST(meeting AS VARCHAR(19))) AS meeting_id, commune, date, sp, titre, concat('résumé de ', titre) AS resume, rubrique, CASE WHEN sp > 3 THEN tag2 END AS sous_rubrique, decision, type, vote_type,
+  CASE vote_type WHEN 'unanimite' THEN 'approuvé à l''unanimité' WHEN 'reporte' THEN 'point reporté' ELSE 'vote non précisé' END AS vote, montant, CASE WHEN suppkey % 2 = 0 THEN speaker END AS s1, CASE WHEN suppkey % 4 = 0 THEN author END AS s2,
+  CASE WHEN partkey % 3 = 0 THEN author END AS repondant, tag1, tag2, partkey, suppkey FROM ({A.POINTS})"""
+
+
+def search_points(spark, sf_dir):
+    x = view(spark, sf_dir, RECORDS)
+    kept = F.filter(F.array("s1", "s2"), lambda s: s.isNotNull())
+    return x.withColumns({"intervenants": kept, "tags": F.array("tag1", "tag2")})
+
+
+CAPITAL = "(CASE commune WHEN 'middle east' THEN 'Middle East' ELSE upper(commune[1]) || commune[2:] END)"
+POINT_TEXT = f"""concat(titre, chr(10) || chr(10) || 'Séance du Conseil communal de ', {CAPITAL}, ' du ', date, ' — Point SP ', sp, '.' || chr(10) || 'Résumé : ', resume, chr(10) || 'Rubrique : ', rubrique, ' / ', coalesce(sous_rubrique, ''),
+  chr(10) || 'Décision : ', coalesce(decision, ''), chr(10) || 'Vote : ', vote, CASE WHEN montant <> 0 THEN concat(chr(10) || 'Montant : ', replace(format('{{:,}}', round_even(montant, 0)::BIGINT), ',', ' '), ' €') ELSE '' END,
+  CASE WHEN s1 IS NOT NULL OR s2 IS NOT NULL THEN chr(10) || 'Intervenants : ' || concat_ws(', ', s1, s2) ELSE '' END, CASE WHEN repondant IS NOT NULL THEN chr(10) || 'Répondant : ' || repondant ELSE '' END, chr(10) || 'Thématiques : ', tag1, ', ', tag2)"""
+
+
+@query(f"""WITH r AS ({RECORDS}) SELECT meeting_id || '_SP' || sp AS id, md5({POINT_TEXT}) AS chunk_text, year(date)::INTEGER AS year, sp, titre, coalesce(decision, '') AS decision, type, montant::DOUBLE AS montant_eur, coalesce(vote_type, '') AS vote_type, commune FROM r""")
 def f19_point_chunks(spark, sf_dir):
-    return retrieval.point_chunks(points(spark, sf_dir))
+    x = retrieval.point_chunks(search_points(spark, sf_dir)).withColumn("chunk_text", F.md5("chunk_text"))
+    return x.select("id", "chunk_text", "year", "sp", "titre", "decision", "type", "montant_eur", "vote_type", "commune")
 
 
 @query("SELECT conv_id, turn, greatest(1, length(text) // 3)::INTEGER AS tokens, 'video-' || conv_id || '-' || turn AS key, 'https://www.youtube.com/watch?v=' || conv_id || '&t=' || turn || 's' AS url FROM conversations")
@@ -349,8 +407,8 @@ def f37_candidate_urls(spark, sf_dir):
     return collect.candidate_urls(view(spark, sf_dir, "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders"), ["/pv-{date}_{n}.pdf", "/pv-{date}.pdf"])
 
 
-SEARCH = f"""WITH c AS ({A.CHUNKS}), q AS ({A.ASKED}), s AS (SELECT question, in_scope, id, round(list_cosine_similarity(vector::DOUBLE[], q_vector::DOUBLE[]), 6) AS score
-  FROM c JOIN q ON coalesce(lo, 0) <= year AND coalesce(hi, 9999) >= year AND (q_commune IS NULL OR q_commune = commune)), r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id)::INTEGER AS rank FROM s) """
+SEARCH = f"""WITH c AS ({A.CHUNKS}), q AS ({A.ASKED}), s AS (SELECT question, in_scope, id, list_cosine_similarity(vector::DOUBLE[], q_vector::DOUBLE[]) AS exact, round(exact, 6) AS score, round(exact, 10) AS whole
+  FROM c JOIN q ON coalesce(lo, 0) <= year AND coalesce(hi, 9999) >= year AND (q_commune IS NULL OR q_commune = commune)), r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY whole DESC, id)::INTEGER AS rank FROM s) """
 
 
 def searched(spark, sf_dir, k):
@@ -386,20 +444,15 @@ def f40_build_context(spark, sf_dir):
     return retrieval.build_context(searched(spark, sf_dir, 5)[0].withColumn("chunk_text", F.col("id").cast("string")), 5)
 
 
-@query("SELECT floor((row_number() OVER (ORDER BY doc_id) - 1) / 60)::BIGINT AS batch, greatest(1, length(text) // 3) AS tokens FROM documents".join(("SELECT batch, count(*) AS records, sum(tokens)::BIGINT AS tokens FROM (", ") GROUP BY 1")))
-def w9_batch_plan(spark, sf_dir):
-    return retrieval.batch_plan(view(spark, sf_dir, "SELECT doc_id AS id, text AS chunk_text FROM documents"))
-
-
-NAMED = {0: ("Georges VERDIN", "verdin", 1), 1: ("Van den Heuvel Quentin", "heuvel", 1), 2: ("Noël", "noel", 1), 3: ("Anne Él Amrani", "amrani", 1), 4: ("de Brabant", "brabant", 1), 5: ("Bouhjar et El Arnouki", "arnouki", 2), 6: ("Secrétaire communal", "communal", 0)}
-_CASE = lambda i: " ".join(f"WHEN {k} THEN {v[i]!r}" for k, v in NAMED.items())
+@query(SEARCH + ", t AS (SELECT question, in_scope, max(score) AS top FROM r WHERE rank <= 20 GROUP BY ALL), g AS (SELECT max(top) FILTER (NOT in_scope) AS off_topic, min(top) FILTER (in_scope) AS lo FROM t) SELECT off_topic, lo AS in_scope, coalesce(lo > off_topic, false) AS gap, CASE WHEN lo > off_topic THEN round((off_topic + lo) / 2, 6) END AS threshold FROM g")
+def a14_score_gap(spark, sf_dir):
+    hits, scope = searched(spark, sf_dir, 20)
+    return retrieval.score_gap(hits.join(scope, "question"))
 
 
-@query(f"SELECT c_custkey AS id, CASE c_custkey % 7 {_CASE(0)} END AS name, CASE c_custkey % 7 {_CASE(1)} END AS key, CASE c_custkey % 7 {_CASE(2)} END AS people FROM customer")
-def f23_f24_person_names(spark, sf_dir):
-    # Noël, Bourgmestre splits at the comma; the office is no person
-    x = view(spark, sf_dir, A.NAMES)
-    return x.select("id", people.clean_name(F.col("raw")).alias("name"), people.person_key(F.col("raw")).alias("key"), F.size(people.split_person_names(F.col("raw"))).alias("people"))
+@query("""SELECT batch, count(*) AS records, sum(tokens)::BIGINT AS tokens, round(sum(tokens) * 60 / 130000, 3) AS pause_s FROM (SELECT floor((row_number() OVER (ORDER BY doc_id) - 1) / 60)::BIGINT AS batch, greatest(1, length(text) // 3) AS tokens FROM documents) GROUP BY 1""")
+def w9_batch_plan(spark, sf_dir):
+    return retrieval.batch_plan(view(spark, sf_dir, "SELECT doc_id AS id, text AS chunk_text FROM documents"))
 
 
 def deposits_and_answers(x: DataFrame) -> tuple[DataFrame, DataFrame]:

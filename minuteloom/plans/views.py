@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.operators import meetings, people, retrieval
+from minuteloom.operators import meetings, people, retrieval, stats
 from minuteloom.plans import adapters as A
 from minuteloom.plans.registry import P, deposits_and_answers, points, query, view
 
@@ -30,6 +30,12 @@ def k9_meetings_by_year(spark, sf_dir):
     return meetings.meetings_by_year(points(spark, sf_dir).groupBy("meeting", "date").agg(F.count("*").alias("points")))
 
 
+@query(P + ", m AS (SELECT meeting, date, count(DISTINCT (partkey, suppkey, sp, montant)) AS points FROM t JOIN points USING (meeting, date) WHERE theme = 'promo' GROUP BY ALL) SELECT meeting, date, year(date)::INTEGER AS year, count(*) OVER (PARTITION BY year(date)) AS in_year FROM m")
+def k9_meetings_of_theme(spark, sf_dir):
+    x = stats.meeting_themes(points(spark, sf_dir)).select("meeting", "date", F.transform("themes", lambda t: t["theme"]).alias("themes"))
+    return meetings.meetings_by_year(x, "promo").drop("themes")
+
+
 SOURCES = "SELECT l_orderkey AS question, l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 'video_conseil' ELSE 'pv' END AS source_type, l_discount AS score, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS sp FROM lineitem"
 
 
@@ -64,12 +70,11 @@ def j8_skip_done(spark, sf_dir):
     return meetings.skip_done(f.select("ord", "name"), f.filter("ord % 6 = 0"), "name")
 
 
-@query(P + "SELECT meeting, sp, partkey, suppkey, CASE WHEN k % 2 = 0 THEN 'Supplier ' || k ELSE 'Key-' || k END AS display FROM (SELECT *, suppkey % 50 AS k FROM points)")
+@query(f"WITH n AS ({A.NAMES}) SELECT id, CASE WHEN id % 8 = 7 THEN 'Secrétaire Communal' WHEN id % 3 = 0 THEN concat('Known ', l) ELSE CASE id % 8 WHEN 0 THEN concat(f, ' ', l) WHEN 1 THEN concat(l, ' ', f) WHEN 2 THEN l WHEN 3 THEN concat('Van den ', l, ' ', f) WHEN 4 THEN concat('De ', l) ELSE concat('Bourgmestre ', f, ' ', l) END END AS display FROM n WHERE id % 8 NOT IN (1, 5)")
 def j10_resolve_display_names(spark, sf_dir):
-    x = points(spark, sf_dir).select("meeting", "sp", "partkey", "suppkey", F.concat(F.lit("key-"), (F.col("suppkey") % 50).cast("string")).alias("key"))
-    known = view(spark, sf_dir, "SELECT DISTINCT s_suppkey % 50 AS k FROM supplier WHERE s_suppkey % 2 = 0")
-    known = known.select(F.concat(F.lit("key-"), F.col("k").cast("string")).alias("key"), F.concat(F.lit("Supplier "), F.col("k").cast("string")).alias("name"))
-    return people.resolve_display_names(x, known).drop("key")
+    x = view(spark, sf_dir, A.NAMES).filter("id % 8 not in (1, 5)").withColumn("key", people.person_key(F.col("raw")))
+    known = view(spark, sf_dir, A.NAMES).filter("id % 3 = 0 and id % 8 <> 7").select(F.lower("l").alias("key"), F.concat(F.lit("Known "), "l").alias("name"))
+    return people.resolve_display_names(x, known, "raw").select("id", "display")
 
 
 @query(P + "SELECT meeting, sp, partkey, suppkey, unnest(CASE WHEN meeting % 4 = 0 AND sp <= 2 THEN ['first', 'second'] ELSE [author] END) AS author FROM points")
@@ -116,10 +121,25 @@ def f16_sp_anchors(spark, sf_dir):
     return meetings.sp_anchors(view(spark, sf_dir, PAGES))
 
 
-@query(f"""WITH p AS ({PAGES}) SELECT doc, (page_num // 6)::BIGINT AS page_group, md5(string_agg('[Page ' || page_num || ']' || chr(10) || text, chr(10) || chr(10) || '---PAGE---' || chr(10) || chr(10) ORDER BY page_num, text)) AS prompt
-  FROM p WHERE length(text) > 50 GROUP BY ALL""")
+#: A document for every 40 conversations, so that documents have many pages; some pages are short.
+BOOK = "SELECT CAST(floor(conv_id / 40) AS BIGINT) AS doc, CAST(conv_id % 40 * 100 + turn AS INTEGER) AS page_num, CASE WHEN turn = 1 THEN substring(text, 1, 90) ELSE text END AS text FROM conversations"
+RUNS = f"""WITH b AS ({BOOK}), u AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY page_num, text) - 1) // 8 AS page_group FROM b WHERE length(text) > 100),
+  r AS (SELECT doc, page_group::BIGINT AS page_group, min(page_num) OVER g AS first_page, max(page_num) OVER g AS last_page, page_num, text FROM u WINDOW g AS (PARTITION BY doc, page_group)) """
+
+
+@query(RUNS + "SELECT doc, page_group, first_page, last_page, page_num, md5(text) AS text FROM r")
+def w8_page_chunks(spark, sf_dir):
+    return meetings.page_chunks(meetings.useful_pages(view(spark, sf_dir, BOOK))).withColumn("text", F.md5("text"))
+
+
+@query(f"WITH b AS ({BOOK}) SELECT doc, count(*) AS pages FROM b WHERE length(text) > 50 GROUP BY 1")
+def p14_useful_pages(spark, sf_dir):
+    return meetings.useful_pages(view(spark, sf_dir, BOOK), 50).groupBy("doc").agg(F.count("*").alias("pages"))
+
+
+@query(RUNS + "SELECT doc, page_group, first_page, last_page, md5(string_agg('[Page ' || page_num || ']' || chr(10) || text, chr(10) || chr(10) || '---PAGE---' || chr(10) || chr(10) ORDER BY page_num, text)) AS prompt FROM r GROUP BY ALL")
 def f39_extraction_prompts(spark, sf_dir):
-    return meetings.extraction_prompts(view(spark, sf_dir, PAGES)).withColumn("prompt", F.md5("prompt"))
+    return meetings.extraction_prompts(view(spark, sf_dir, BOOK)).withColumn("prompt", F.md5("prompt"))
 
 
 @query(f"WITH s AS ({SESSIONS}) SELECT ord, right(video_url, 11) AS video_id FROM s")
@@ -132,17 +152,34 @@ def q3_video_checks(spark, sf_dir):
     return meetings.video_checks(view(spark, sf_dir, SESSIONS))
 
 
-@query("SELECT 'k' || c_custkey % 97 AS key, c_name || repeat(' K' || c_custkey % 97, (c_custkey % 3)::INTEGER) AS name FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 97 ORDER BY c_custkey % 3 > 0 DESC, c_custkey % 3 DESC, length(c_name) DESC, c_name) = 1")
+#: Ways in which a person is mentioned: in order, the other way round, in capitals, by surname, with a word twice.
+VARIANTS = f"""SELECT lower({A.L1}) AS key, CASE c_custkey % 5 WHEN 0 THEN concat({A.F1}, ' ', {A.L1}) WHEN 1 THEN concat({A.L1}, ' ', {A.F1}) WHEN 2 THEN {A.L1} WHEN 3 THEN concat({A.L1}, ' ', upper({A.L1})) ELSE concat('Longer ', {A.L1}, ' ', {A.L1}) END AS name, c_custkey AS k FROM customer
+  UNION ALL SELECT lower({A.L1}), CASE WHEN c_custkey % 2 = 0 THEN concat({A.F1}, ' ', {A.L1}) ELSE concat({A.L1}, ' ', {A.F1}) END, c_custkey FROM customer WHERE c_custkey % 3 > 0"""
+
+
+@query(f"""WITH v AS (SELECT DISTINCT key, name FROM ({VARIANTS})), t AS (SELECT *, string_split(lower(name), ' ') AS w FROM v), r AS (SELECT key, name, w[-1] = key AND len(list_distinct(w)) = len(w) AS sound, len(w) AS words FROM t)
+  SELECT key, name FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY sound DESC, words DESC, length(name) DESC, name) = 1""")
 def f28_best_display_name(spark, sf_dir):
-    x = view(spark, sf_dir, "SELECT concat('k', CAST(c_custkey % 97 AS STRING)) AS key, concat(c_name, repeat(concat(' K', CAST(c_custkey % 97 AS STRING)), CAST(c_custkey % 3 AS INT))) AS name FROM customer")
-    return people.best_display_name(x)
+    return people.best_display_name(view(spark, sf_dir, VARIANTS))
 
 
-FILMED = "SELECT concat('c', CAST(conv_id AS VARCHAR(19))) AS video_id, turn AS start_s, text AS titre, text AS first, CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END AS last FROM conversations"
+KIND = "CASE turn % 4 WHEN 0 THEN 'motion' WHEN 1 THEN 'question' WHEN 2 THEN 'taxe' ELSE 'other' END"
+FILMED = f"SELECT concat('c', CAST(conv_id AS VARCHAR(19))) AS video_id, turn AS start_s, text AS titre, text AS first, CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END AS last, {KIND} AS type, CASE WHEN turn % 3 > 0 THEN role END AS auteur, '2024-05-06' AS date, 'north' AS commune FROM conversations"
 
 
-@query(f"""WITH c AS ({FILMED}), k AS (SELECT *, 'video-' || video_id || '-' || start_s AS id FROM c) SELECT id, titre AS chunk_text, start_s FROM k
-  UNION ALL SELECT id || '-t' || (start_s + 5), first, start_s + 5 FROM k WHERE trim(first) <> '' UNION ALL SELECT id || '-t' || (start_s + 9), last, start_s + 9 FROM k WHERE trim(last) <> ''""")
-def f20_video_chunks(spark, sf_dir):
+def filmed(spark, sf_dir):
     part = lambda after, name: F.struct((F.col("start_s") + after).alias("start_s"), F.col(name).alias("text"))
-    return retrieval.video_chunks(view(spark, sf_dir, FILMED).withColumn("transcript", F.array(part(5, "first"), part(9, "last"))))
+    link = F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id", F.lit("&t="), F.col("start_s").cast("string"), F.lit("s"))
+    return view(spark, sf_dir, FILMED).withColumns({"transcript": F.array(part(5, "first"), part(9, "last")), "deeplink": link})
+
+
+CHUNKED = f"""WITH c AS ({FILMED}), k AS (SELECT *, 'video-' || video_id || '-' || start_s AS id, trim(titre) AS t, CASE type WHEN 'motion' THEN 'Motion' WHEN 'question' THEN 'Question' WHEN 'taxe' THEN 'Taxe' ELSE 'Point à l''ordre du jour' END AS label,
+    CASE WHEN auteur IS NOT NULL AND type IN ('motion', 'question') THEN ' à la demande de ' || auteur ELSE '' END AS par FROM c),
+  r AS (SELECT id, concat('Conseil communal de North du 2024-05-06 — point débattu en séance (vidéo).', chr(10), 'Titre : ', t, chr(10), 'Type : ', label, par, '.') AS chunk_text, start_s, k.* EXCLUDE (id, start_s) FROM k
+  UNION ALL SELECT id || '-t' || (start_s + d), concat('Conseil communal de North du 2024-05-06 — extrait du débat filmé.', chr(10), 'Point : ', t, ' (', label, par, ').', chr(10), 'Extrait : ', trim(said)), start_s + d, k.* EXCLUDE (id, start_s)
+    FROM k, LATERAL (SELECT unnest([5, 9]) AS d, unnest([first, last]) AS said) WHERE trim(said) <> '') """
+
+
+@query(CHUNKED + "SELECT id, md5(chunk_text) AS chunk_text, start_s, label || coalesce(' · ' || auteur, '') AS decision, concat('https://www.youtube.com/watch?v=', video_id, '&t=', start_s, 's') AS url FROM r")
+def f20_video_chunks(spark, sf_dir):
+    return retrieval.video_chunks(filmed(spark, sf_dir)).select("id", F.md5("chunk_text").alias("chunk_text"), "start_s", "decision", "url")

@@ -55,11 +55,37 @@ def parse_vtt(files: DataFrame, text: str = "content") -> DataFrame:
     return x.filter(F.col("block").rlike(p)).select("video_id", "ord", (part(1) * 3600 + part(2) * 60 + part(3)).alias("start_s"), said.alias("text")).filter("text != ''")
 
 
+def reply_points(replies: DataFrame, raw: str = "raw") -> DataFrame:
+    """(all columns but ``raw``, date_seance, point columns): the points of models' replies; replies without the shape go."""
+    x = replies.withColumn("_r", parse_reply_json(F.col(raw), f"date_seance string, points array<{POINT}>")).drop(raw)
+    return x.filter("_r.points is not null").withColumn("date_seance", F.col("_r.date_seance")).withColumn("_p", F.explode("_r.points")).select("*", "_p.*").drop("_r", "_p")
+
+
+def flat_points(points: DataFrame) -> DataFrame:
+    """The 19 columns of a spreadsheet: titles cut at 200 characters and summaries at 300, lists joined, the meeting's file
+    where a point names none. points: date, meeting_file, the fields of a point and vote, a struct; nulls stay empty."""
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
+    return points.select(
+        "date", "sp", "page", F.coalesce(F.nullif(F.col("source_file"), F.lit("")), "meeting_file").alias("source_file"), "type", "rubrique", "sous_rubrique", cut("titre", 200), cut("resume", 300), "decision",
+        F.col("vote.type").alias("vote_type"), F.col("vote.pour").alias("vote_pour"), F.col("vote.contre").alias("vote_contre"), F.col("vote.abstentions").alias("vote_abstentions"), "montant_eur", "urgence",
+        F.array_join(F.coalesce("intervenants", F.array().cast("array<string>")), "; ").alias("intervenants"), "repondant", F.array_join(F.coalesce("thematiques", F.array().cast("array<string>")), ", ").alias("thematiques"),
+    )
+
+
 def export_points_csv(points: DataFrame, path: str) -> None:
-    """A flat file for spreadsheets: titles cut at 200 characters, lists joined."""
-    points.select("meeting", "date", "sp", "type", F.substring("titre", 1, 200).alias("titre"), "decision", "montant", F.array_join("tags", ", ").alias("tags")).write.mode("overwrite").csv(path, header=True)
+    """``flat_points`` as CSV with a header."""
+    flat_points(points).write.mode("overwrite").csv(path, header=True)
 
 
 def write_points(points: DataFrame, path: str) -> None:
     """A table by commune and year; only the partitions that come in are replaced."""
-    points.withColumn("year", F.year("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commune", "year").parquet(path)
+    _replace(points.withColumn("year", F.year("date")), path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Search records by commune and year; only the partitions that come in are replaced."""
+    _replace(chunks, path)
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commune", "year").parquet(path)
