@@ -2,9 +2,11 @@
 
 Inner products become distances: each vector gets one more component that brings all to the length of the
 longest, so a query's nearest vectors are those of the highest products. Routing vectors divide the space;
-each node holds the vectors nearest to one of them, in pages with a covering radius and the stored
-distances to the routing vector, sorted. A query visits pages by their least possible distance. The
-triangle inequality over stored distances rules out pages and vectors without computing their distance."""
+below each lie extents of pages, filled by the stored distance to the routing vector, with the range of
+those distances as covering radii. A query asks extents by their least possible distance: first the few
+nearest ones, then, with the k-th product found there as its bar, those that the bar admits; no other vectors
+move. Within an extent it visits pages the same way, and the triangle inequality over stored distances passes
+over vectors whose distance needs no computing."""
 
 from __future__ import annotations
 
@@ -15,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import session, stored
+from minuteloom.llm.common import few, session, stored
 
-#: Bounds: routing vectors, vectors of a page, pages that a task searches together, queries of a block.
-ROUTES = 256
-PAGE = 512
-EXTENT = 32
-BLOCK = 512
+#: Bounds: routing vectors, vectors of a page, queries that are searched together in one copy of an extent.
+ROUTES = 2048
+PAGE = 256
+BLOCK = 1024
+#: Pages of an extent, at least, and about so many extents at most: each query is held against the list of them.
+EXTENT, EXTENTS = 8, 50_000
+FIRST = 3  # extents that a query asks before its bar is known
+BUCKETS = 64
 SLACK = 1e-6
 
 
@@ -114,7 +119,8 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
     schema = f"query_id long, rank int, {id_col} long, score long"
     if not n or not n_queries:
         return spark.createDataFrame([], schema)
-    drawn = rows.orderBy(F.xxhash64("id", "v"), "id").limit(ROUTES).toArrow()
+    n_routes = int(min(ROUTES, max(16, n // (PAGE * EXTENT))))
+    drawn = rows.orderBy(F.xxhash64("id", "v"), "id").limit(n_routes).toArrow()
     route_ids = drawn["id"].to_numpy()
     routes_v = matrix(drawn["v"].combine_chunks(), width)
     routes = lifted(routes_v, top)
@@ -126,21 +132,27 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(route), pa.array(d[np.arange(len(route)), route])], ["id", "v", "route", "parent"])
 
     placed = stored(rows.mapInArrow(assign, "id long, v array<double>, route long, parent double"), "placed")
-    sizes = placed.groupBy("route").agg(F.ceil(F.count("*") / PAGE).alias("pages"))  # ROUTES rows
-    paged = placed.join(F.broadcast(sizes), "route").withColumn("page", F.pmod(F.xxhash64("id", "v"), "pages"))
+    # pages of a route hold neighbouring distances; a bucket of equal ones is dealt by id
+    shape = placed.groupBy("route").agg(F.least(F.ceil(F.count("*") / PAGE), F.lit(BUCKETS)).alias("pages"), F.percentile_approx("parent", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("at"))
+    bucket = F.size(F.filter("at", lambda x: x < F.col("parent")))
+    paged = placed.join(F.broadcast(shape), "route").withColumn("page", F.floor(bucket * F.col("pages") / BUCKETS)).drop("pages", "at")
+    subs = paged.groupBy("route", "page").agg(F.ceil(F.count("*") / PAGE).alias("subs"))
+    paged = paged.join(few(subs), ["route", "page"]).withColumn("sub", F.pmod(F.xxhash64("id", "v"), "subs")).drop("subs")
+    extent = max(EXTENT, -(-n // (PAGE * EXTENTS)))
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         order = np.argsort(t["parent"].to_numpy(), kind="stable")
-        m = matrix(t["v"].combine_chunks(), width)[order]
-        return pa.table({"route": [key[0].as_py()], "page": [key[1].as_py()], "ids": [t["id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()], "parent": [t["parent"].to_numpy()[order].tobytes()]})
+        m, parent = matrix(t["v"].combine_chunks(), width)[order], t["parent"].to_numpy()[order]
+        return pa.table({
+            "route": [key[0].as_py()], "page": [key[1].as_py()], "sub": [key[2].as_py()], "ids": [t["id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()], "parent": [parent.tobytes()], "lo": [parent[0]], "hi": [parent[-1]],
+        })
 
-    nodes = paged.groupBy("route", "page").applyInArrow(build, "route long, page long, ids binary, vectors binary, parent binary")
-    # neighbouring routes' pages share an extent
-    n_extents = max(1, -(-n // (PAGE * EXTENT)))
-    nodes = nodes.withColumn("extent", F.pmod(F.xxhash64("route", "page"), F.lit(n_extents)))
-    n_blocks = -(-n_queries // BLOCK)
+    made = paged.groupBy("route", "page", "sub").applyInArrow(build, "route long, page long, sub long, ids binary, vectors binary, parent binary, lo double, hi double")
+    nodes = stored(made.withColumn("ext", F.struct("route", F.floor(F.col("page") / extent).alias("page"), F.floor(F.col("sub") / extent).alias("sub"))).drop("page", "sub"), "nodes")
+    rings = nodes.groupBy("ext").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("ext.*", "lo", "hi").orderBy("route", "page", "sub").toArrow()
+    ring_route, ring_page, ring_sub, lo, hi = (rings[c].to_numpy() for c in ("route", "page", "sub", "lo", "hi"))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, q = b.column(0).to_numpy(), matrix(b.column(1), width)
             s = q @ routes_v.T
@@ -148,20 +160,72 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
             bar = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(ids), -np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar)], ["id", "v", "bar"])
 
-    queries = rows.filter(F.col("id") % every == 0).mapInArrow(blocks, "id long, v array<double>, bar double")
-    blocked = queries.groupBy(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v", "bar")).alias("q"))
-    work = nodes.groupBy("extent").agg(F.collect_list(F.struct("route", "ids", "vectors", "parent")).alias("nodes"))
-    work = work.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocked, "block").select("q", "nodes")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                qs, ns = b.column(0)[i].values, b.column(1)[i].values
-                as_nodes = [Node(r, np.frombuffer(x, np.int64), np.frombuffer(y, np.float64).reshape(-1, width), np.frombuffer(p, np.float64)) for r, x, y, p in zip(*(ns.field(c).to_pylist() for c in ("route", "ids", "vectors", "parent")))]
-                ids = qs.field("id").to_numpy()
-                found, scores = search(ids, matrix(qs.field("v"), width), as_nodes, routes, top, k, qs.field("bar").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.int64))], ["query_id", "id", "score"])
-
-    partial = work.mapInArrow(run, "query_id long, id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return partial.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    def asks(of: DataFrame, wave: int) -> DataFrame:
+        """(id, v, bar, route, page, sub): the extents that the bar of a query admits: the FIRST nearest (wave 0) or the others."""
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                q, bar = matrix(b.column(1), width), b.column(2).to_numpy()
+                lengths = (q * q).sum(axis=1)
+                d = apart(np.concatenate([q, np.zeros((len(q), 1))], axis=1), routes)[:, ring_route]
+                least = np.maximum(0.0, np.maximum(d - hi, lo - d))
+                highest = (lengths[:, None] + top - least * least) / 2
+                rank = np.argsort(np.argsort(least, axis=1, kind="stable"), axis=1)
+                chosen = (highest >= bar[:, None] - SLACK * (1 + top + lengths[:, None])) & ((rank < FIRST) == (wave == 0))
+                i, j = np.nonzero(chosen)
+                for at in range(0, len(i), 4096):
+                    x, y = pa.array(i[at : at + 4096]), j[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(x), b.column(1).take(x), b.column(2).take(x), pa.array(ring_route[y]), pa.array(ring_page[y]), pa.array(ring_sub[y])], ["id", "v", "bar", "route", "page", "sub"])
+
+        return of.mapInArrow(choose, "id long, v array<double>, bar double, route long, page long, sub long")
+
+    blocks = -(-n_queries // BLOCK)
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """(query_id, id, score): what each query finds in the extents that it asks."""
+        x = stored(asked.select(F.struct("route", "page", "sub").alias("ext"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).alias("block"), "id", "v", "bar"), "asks")
+        none = lambda t: F.lit(None).cast(t)
+        wanted = x.select("ext", "block").distinct()
+        held = nodes.join(few(wanted), "ext").select("ext", "block", F.lit(0).alias("kind"), none("long").alias("id"), none("array<double>").alias("v"), none("double").alias("bar"), "route", "ids", "vectors", "parent")
+        told = x.select("ext", "block", F.lit(1).alias("kind"), "id", "v", "bar", none("long").alias("route"), none("binary").alias("ids"), none("binary").alias("vectors"), none("binary").alias("parent"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, pages, waiting = None, [], []
+
+            def answer() -> Iterator[pa.RecordBatch]:
+                if waiting and pages:
+                    ids = np.array([w[0] for w in waiting])
+                    found, scores = search(ids, np.array([w[1] for w in waiting]), pages, routes, top, k, np.array([w[2] for w in waiting]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.int64))], ["query_id", "id", "score"])
+                waiting.clear()
+
+            for b in batches:
+                col = {c: b.column(c) for c in ("ext", "block", "kind", "id", "bar", "route", "ids", "vectors", "parent")}
+                keys = list(zip(*(col["ext"].field(c).to_pylist() for c in range(3)), col["block"].to_pylist()))
+                kinds, qs, bars, rs = (col[c].to_pylist() for c in ("kind", "id", "bar", "route"))
+                v = matrix(b.column("v").fill_null([]), width)
+                for i, key in enumerate(keys):
+                    if key != now:
+                        yield from answer()
+                        now, pages = key, []
+                    if kinds[i] == 0:
+                        x, y, p = (np.frombuffer(col[c][i].as_buffer(), t) for c, t in (("ids", np.int64), ("vectors", np.float64), ("parent", np.float64)))
+                        pages.append(Node(rs[i], x, y.reshape(-1, width), p))
+                    else:
+                        waiting.append((qs[i], v[i].copy(), bars[i]))
+                        if len(waiting) >= BLOCK:
+                            yield from answer()
+            yield from answer()
+
+        return held.unionByName(told).repartition("ext", "block").sortWithinPartitions("ext", "block", "kind").mapInArrow(run, "query_id long, id long, score long")
+
+    def best_of(df: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return df.withColumn("rank", place).filter(F.col("rank") <= k)
+
+    queries = stored(rows.filter(F.col("id") % every == 0).mapInArrow(first_bars, "id long, v array<double>, bar double"), "queries")
+    near = stored(best_of(searched(asks(queries, 0))), "nearest")
+    bars = near.filter(F.col("rank") == k).groupBy(F.col("query_id").alias("id")).agg(F.max("score").cast("double").alias("got"))
+    rest = queries.join(bars, "id", "left").select("id", "v", F.greatest("bar", F.coalesce("got", "bar")).alias("bar"))
+    out = best_of(near.drop("rank").unionByName(searched(asks(rest, 1))))
+    return out.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
