@@ -286,15 +286,14 @@ def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame
     asks = stored(asks, "asks")
     if asks.isEmpty():
         return asks.select(F.col("q").alias("u"), F.col("g").alias("v"))
-    busy = asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    rows = asks.join(few(busy, PICKED), "g", "left").select("g", F.pmod(F.xxhash64("q"), parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("sid"))
-    held = members.join(few(busy, PICKED), "g", "left").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("m").alias("sid"))
-    rows = stored(rows.unionByName(held), "asks-of-parts")
-    wanted = sets.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("h").alias("_h"))
+    parts = few(asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("parts")), PICKED)
+    rows = asks.join(parts, "g").select("g", F.pmod(F.xxhash64("q"), "parts").alias("part"), F.lit(1).alias("kind"), F.col("q").alias("sid"))
+    held = members.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("m").alias("sid"))
+    wanted = rows.unionByName(held).join(sets.select("sid", F.col("id").alias("_id"), F.col("h").alias("_h")), "sid")
+    wanted = stored(wanted, "asks-of-parts")
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("text"))
-    same = text["_h"].eqNullSafe(wanted["_h"]) & text["_id"].eqNullSafe(wanted["_id"])
-    text = text.join(few(wanted, PICKED), same).select("sid", "text")
+    # where the rows are few they go to the texts, which then move once, to their groups
+    dealt = text.join(few(wanted, PICKED), text["_h"].eqNullSafe(wanted["_h"]) & text["_id"].eqNullSafe(wanted["_id"])).select("g", "part", "kind", "sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, Group()
@@ -315,7 +314,7 @@ def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame
                     v += found
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    dealt = rows.join(text, "sid").select("g", "part", "kind", "sid", "text").repartition("g", "part").sortWithinPartitions("g", "part", "kind", "sid")
+    dealt = dealt.repartition("g", "part").sortWithinPartitions("g", "part", "kind", "sid")
     return dealt.mapInArrow(run, "u long, v long").filter("u <> v")
 
 

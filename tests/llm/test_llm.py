@@ -355,3 +355,46 @@ def test_held_out_accuracy(spark):
     assert share(toxicity.score_toxicity(docs, toxicity.train(docs, marks)).join(marks, "doc_id"), "predicted", "toxic") > 0.85
     known = docs.filter("lang is not null").select("doc_id", "lang")
     assert share(language_id.predict_languages(docs, language_id.train(docs)).join(known, "doc_id"), "lang_pred", "lang") > 0.97
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """On a fixture whose right outcome is known: one of each group of copies, no leak, no text without a language."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    fr, en = "le chien et la maison sont dans une ville avec des amis pour".split(), "the dog and a house are in one city with some friends for".split()
+    prose = lambda w, n: " ".join(r.choice(w) + ("" if r.random() < 0.8 else str(r.randrange(9))) for _ in range(n))
+    base = [(prose(fr if i % 2 else en, 60), "fr" if i % 2 else "en") for i in range(40)]
+    item = " ".join(f"quiz{r.randrange(999)}" for _ in range(30))
+    rows = [(i, t, la) for i, (t, la) in enumerate(base)] + [(100 + i, base[i][0] + " end", base[i][1]) for i in range(6)] + [(200, base[1][0][:150] + " " + item, "fr"), (300, "12 34 !", None), (301, None, None)]
+    docs = spark.createDataFrame([(i, t, la, f"s{i % 3}", len(t or "")) for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    x, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        x = stage(spark, x, str(tmp_path)).persist()
+        kept[name] = sorted(row.doc_id for row in x.collect())
+        assert name == "sharding" or x.columns == docs.columns
+    assert kept["language_id"] == sorted(i for i, _, la in rows if la)
+    assert kept["ngram_join"] == [*range(40), 200] and kept["decontaminate"] == list(range(40))
+    assert set(kept["mixing"]) <= set(range(40)) and max(map(kept["mixing"].count, kept["mixing"])) <= 2 and kept["sharding"] == kept["mixing"]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(row.doc_id for row in got.collect()) == kept["sharding"]
+    for t in ("documents", "benchmark"):  # an empty table goes through
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_operators_on_empty_and_small_tables(spark, docs):
+    none = docs.limit(0)
+    assert token_counts.token_counts(none, tokenizer_path()).count() == 0
+    assert decontaminate.find_leaks(none, spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0
+    assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    few_vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = topk.top_products(few_vectors, 20).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
+    folder = new_folder(spark, "none")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert warc.read_archives(spark, folder).count() == 0
+    short = spark.createDataFrame([(1, "one two"), (2, "x one two y")], "doc_id long, text string")
+    assert {x.doc_id for x in decontaminate.find_leaks(short, spark.createDataFrame([(5, "One, two!")], "item_id long, text string")).collect()} == {1, 2}
