@@ -6,13 +6,15 @@ token among their first ones. Sets that share such a token with a leader, then w
 compared with it; the confirmed links join similar documents, and links within a part need no further
 comparison, so large groups of copies never become pairs. What is left are links between parts: each part is
 cut into groups of bounded size. Sets of smaller parts that share a first token with a larger one, in a place
-that admits a link, ask its groups. A group stores the union of its members' tokens; the number of a query's
+that admits a link, ask its groups, unless the parities that a group's members have in common rule it out. A group stores the union of its members' tokens; the number of a query's
 tokens in that union bounds what any member shares with it, and only groups whose bound reaches the
 similarity are opened and compared member by member. No link between different parts is lost."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from minuteloom.llm.common import few, session, stored
 from minuteloom.llm.components import components
 
 SHINGLE = 5
-PARITY_BYTES = 128
+PARITY_WORDS = 16  # of 64 bits
 COUNT_BLOCK = 2_000_000
 #: Bound of the table of frequent tokens that tasks get. It only orders tokens; any order gives the same links.
 FREQUENT_ROWS = 300_000
@@ -116,10 +118,10 @@ def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)))))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Parity of the number of tokens in each of 8 * PARITY_BYTES bins: sets differ in no fewer tokens than their parities in bins."""
-    bits = np.bincount(((s.view(np.uint64) * _MIX[1]) >> np.uint64(54)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of 64 * PARITY_WORDS bins: sets differ in no fewer tokens than their parities in bins."""
+    bits = np.bincount(((s.view(np.uint64) * _MIX[1]) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def prefix_length(n: np.ndarray | int):
@@ -148,12 +150,12 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             starts = range(0, len(token), 10_000)
             cut = lambda x: pa.array([x[i : i + 10_000] for i in starts], kind)
             none = lambda t: pa.nulls(len(starts), t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), cut(token), cut(times)], names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(kind), cut(token), cut(times)], names)
 
         for b in batches:
             sets = [shingles(t) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), kind), pa.nulls(len(sets), kind)],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], kind), pa.nulls(len(sets), kind), pa.nulls(len(sets), kind)],
                 names)
             held += sets
             size += sum(map(len, sets))
@@ -163,7 +165,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if size:
             yield report()
 
-    schema = "doc_id long, h long, n int, sid long, parity binary, tokens array<long>, times array<long>"
+    schema = "doc_id long, h long, n int, sid long, parity array<long>, tokens array<long>, times array<long>"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
@@ -231,19 +233,40 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     return votes.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.col("sid").alias("q"), F.col("lead").alias("g"))
 
 
-def near(asks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (q, g) of sets that parities leave possible."""
+def named_sets(sets: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(key, n of it, parity of it) of those sets whose ids are asked for; no other is shuffled while the ids are few."""
+    rows = sets.join(few(ids.distinct(), PICKED), "sid", "left_semi")
+    return rows.select(F.col("sid").alias(key), F.col("n").alias(f"n{key}"), F.col("parity").alias(f"p{key}"))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = [np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("pq", "pg")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
-            total = b.column("nq").to_numpy().astype(np.int64) + b.column("ng").to_numpy()
-            keep = 7 * (total - apart) >= 6 * total  # twice the overlap is at most total - apart
-            yield b.select(["q", "g"]).filter(pa.array(keep))
 
-    side = lambda k: sets.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
-    return asks.join(side("q"), "q").join(side("g"), "g").mapInArrow(alike, "q long, g long")
+def _ones(bits: Callable[[int], Column]) -> Column:
+    return reduce(add, (F.bit_count(bits(i)) for i in range(PARITY_WORDS)))
+
+
+def near(asks: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (q, g) of sets that parities leave possible."""
+    asks = stored(asks, "asked-pairs")
+    side = lambda k: named_sets(sets, asks.select(F.col(k).alias("sid")), k)
+    apart, total = _ones(lambda i: F.col("pq")[i].bitwiseXOR(F.col("pg")[i])), F.col("nq") + F.col("ng")
+    # twice the overlap is at most total - apart
+    return asks.join(side("q"), "q").join(side("g"), "g").filter(7 * (total - apart) >= 6 * total).select("q", "g")
+
+
+def near_groups(asks: DataFrame, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (q, g) of sets and groups that parities leave possible, and the rows (g, m) of groups that are asked.
+
+    A group's row has the bits that all of its members have and those that any has: from each member a query differs in no
+    fewer bins than those where it lacks the former or exceeds the latter."""
+    asks = stored(asks, "asked-groups")
+    members = stored(members.join(few(asks.select("g").distinct(), PICKED), "g", "left_semi"), "asked-members")
+    held = members.join(named_sets(sets, members.select(F.col("m").alias("sid")), "m"), "m")
+    bits = [f(F.col("pm")[i]).alias(f"{name}{i}") for name, f in (("all", F.bit_and), ("any", F.bit_or)) for i in range(PARITY_WORDS)]
+    groups = held.groupBy("g").agg(F.max("nm").alias("most"), *bits)
+    both = asks.join(named_sets(sets, asks.select(F.col("q").alias("sid")), "q"), "q").join(groups, "g")
+    pq = lambda i: F.col("pq")[i]
+    apart = _ones(lambda i: pq(i).bitwiseAND(F.bitwise_not(f"any{i}"))) + _ones(lambda i: F.bitwise_not(pq(i)).bitwiseAND(F.col(f"all{i}")))
+    # a member has most tokens at most, and 4 / 3 of the query's where they are linked
+    return both.filter(3 * F.col("nq") + F.least(3 * F.col("most"), 4 * F.col("nq")) >= 21 * apart).select("q", "g"), members
 
 
 class Group:
@@ -390,7 +413,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     for turn in range(TURNS + 1):
         if x.isEmpty():
             break
-        found = paired(partner_pairs(x, turn), sets, docs, id_col, text_col) if turn < TURNS else opened(*group_asks(x), sets, docs, id_col, text_col)
+        found = paired(partner_pairs(x, turn), sets, docs, id_col, text_col) if turn < TURNS else opened(*near_groups(*group_asks(x), sets), sets, docs, id_col, text_col)
         more = stored(found, "more-links")
         if more.isEmpty():
             continue
