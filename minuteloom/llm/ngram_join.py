@@ -351,7 +351,7 @@ def mixed_tokens(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(token, sid, n, p, comp, members): the rows of tokens that sets of different parts share, with the size of their part."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
     named = labels.join(few(sizes, PICKED), "label", "inner").select(F.col("node").alias("sid"), "label", "members")
-    x = shared.select("token", "sid", "n", "p").join(named, "sid", "left")
+    x = shared.select("token", "sid", "n", "p").join(few(named, PICKED), "sid", "left")
     x = x.select("token", "sid", "n", "p", F.coalesce("label", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     mixed = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     return stored(x.join(mixed, "token", "left_semi"), "mixed-tokens")
