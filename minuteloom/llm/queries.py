@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm import decontaminate, language_id, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity, warc
+from minuteloom.llm import chat, decontaminate, hard_negatives, language_id, mixing, ngram_join, quality, sharding, spelling, token_counts, topk, toxicity, warc
 from minuteloom.llm.common import new_folder, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -63,10 +65,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, language_id.train(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    records = chat.records_of(told.unionByName(spark.createDataFrame(more, told.schema)))
+    folder = new_folder(spark, "chats")
+    chat.format_chats(chat.canonical_turns(records)).write.parquet(folder)
+    return chat.digests(spark.read.parquet(folder))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_toxicity, op3_warc, op4_token_counts, op5_sharding, op6_topk, op7_ngram_join, op8_decontaminate, op9_mixing, op10_language_id)
-}
+    for f in (
+        op1_quality, op2_toxicity, op3_warc, op4_token_counts, op5_sharding, op6_topk, op7_ngram_join, op8_decontaminate, op9_mixing, op10_language_id,
+        op11_hard_negatives, op12_chat_format, op13_spelling,
+    )
+}
+
+#: Control strings and escape marks of a text, each of which the formatted text has one code point more for.
+MARKS = lambda x: f"(len(regexp_extract_all({x}, '{'|'.join(map(re.escape, chat.CONTROL))}')) + length({x}) - length(replace({x}, '{chat.ESCAPE}', '')))"
+FRAME = len(chat.START + chat.SAYS + chat.END)
 
 ORACLES = {
     "op3_warc": """
@@ -84,4 +111,18 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        r AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id))::INTEGER AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3""",
+    "op12_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role = 'assistant' AS learnt FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (learnt), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (learnt), '')) AS loss_sha256,
+          sum({FRAME} + length(role) + length(text) + {MARKS("role")} + {MARKS("text")})::BIGINT AS formatted_chars FROM n GROUP BY conv_id""",
 }
