@@ -1,15 +1,10 @@
-"""Search records, exact filtered vector search, and what is measured about its scores."""
+"""Search records, what is done with the hits of a search, and what is measured about its scores."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUESTION_BYTES = 64_000_000  # of question vectors that are broadcast at once
 SCHEMA_VERSION = 2
 VIDEO = "video_conseil"
 # fixed values: names of the kinds of chapters
@@ -18,7 +13,6 @@ KIND_LABELS = {
 }
 ANY_KIND = "Point à l'ordre du jour"
 ASKED = ("demande", "question", "motion", "interpellation")
-EVERYWHERE = ("", "toutes", "toute", "all", "tous")
 
 
 def format_vote(kind: Column, pour: Column, contre: Column, abst: Column) -> Column:
@@ -109,51 +103,6 @@ def load_chunks_source(records: DataFrame, default_commune: str) -> DataFrame:
     return point_chunks(records.filter(~film).withColumn("commune", own)).unionByName(video_chunks(records.filter(film).withColumn("commune", default)))
 
 
-def vector_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(question, id, score, rank) of the k most similar chunks whose year lies in the question's and whose commune is the
-    question's; a null side admits all, as does a commune that is null or a word for all. Scores equal to 10 digits are ties,
-    which go to smaller ids; scores are given with 6 digits.
-
-    Every vector is brought to length 1 once. Questions are few beside chunks; they are broadcast in blocks of QUESTION_BYTES,
-    each block against all chunks: products of whole batches in numpy, of which a batch hands on k for each question."""
-    n, width = questions.agg(F.count("*"), F.max(F.size("q_vector"))).first()
-    blocks = max(1, -(-(n or 0) * 8 * (width or 1) // QUESTION_BYTES))
-    q = questions.select("question", F.col("q_vector").alias("v"), F.coalesce("lo", F.lit(-(1 << 31))).alias("lo"), F.coalesce("hi", F.lit((1 << 31) - 1)).alias("hi"), F.when(~F.col("q_commune").isin(*EVERYWHERE), F.col("q_commune")).alias("c"))
-    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("s", 10)), "id"))
-    rows = chunks.select("id", F.col("year").cast("int").alias("year"), "commune", F.col("vector").cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    spark, out = questions.sparkSession, None
-    for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b).toArrow()
-        asked = spark.sparkContext.broadcast((part["question"].to_numpy(), _units(part["v"].combine_chunks(), width or 0), part["lo"].to_numpy(), part["hi"].to_numpy(), np.array(part["c"].to_pylist(), object)))
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            ids, vectors, lo, hi, commune = asked.value
-            for batch in batches:
-                x, year = _units(batch["v"], vectors.shape[1]), batch["year"].to_numpy(zero_copy_only=False)
-                where, own = np.array(batch["commune"].to_pylist(), object), batch["id"].to_numpy()
-                s = vectors @ x.T
-                s[~((lo[:, None] <= year) & (year <= hi[:, None]) & (np.equal(commune, None)[:, None] | (commune[:, None] == where)))] = -np.inf
-                bar = np.partition(s, -k, axis=1)[:, -k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
-                i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))  # ties with the last one too
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(s[i, j])], ["question", "id", "s"])
-
-        hits = rows.mapInArrow(run, "question long, id long, s double")
-        got = hits.withColumn("rank", place).filter(F.col("rank") <= k).select("question", "id", F.round("s", 6).alias("score"), "rank")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _units(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of length 1; vectors of another width or of length 0 become zeros."""
-    flat, n = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(n), width))
-    if (n == width).all():
-        out = flat.reshape(len(n), width).astype(float)
-    elif (n == width).any():
-        out[n == width] = flat[np.repeat(n == width, n)].reshape(-1, width)
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-300)[:, None]
-
-
 def dedup_sources(hits: DataFrame, most: int, least: float = 0.0) -> DataFrame:
     """Per question the best passage of each point, of those with a score of ``least`` or more, the first ``most``; an empty
     point is never merged. Where the answer found nothing (a column not_found), only films stay."""

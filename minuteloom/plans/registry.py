@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
-from minuteloom.operators import collect, merge, people, retrieval, selection, stats, video
+from minuteloom.operators import collect, merge, people, retrieval, search, selection, stats, video
 from minuteloom.plans import adapters as A
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations labels".split()
@@ -413,7 +413,7 @@ SEARCH = f"""WITH c AS ({A.CHUNKS}), q AS ({A.ASKED}), s AS (SELECT question, in
 
 def searched(spark, sf_dir, k):
     q = view(spark, sf_dir, A.ASKED)
-    return retrieval.vector_search(q, view(spark, sf_dir, A.CHUNKS), k), q.select("question", "in_scope")
+    return search.vector_search(q, view(spark, sf_dir, A.CHUNKS), k), q.select("question", "in_scope")
 
 
 @query(SEARCH + "SELECT question, id, score, rank FROM r WHERE rank <= 10")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 POINT = "struct<sp:string,page:string,urgence:string,type:string,rubrique:string,titre:string,resume:string,intervenants:array<string>,repondant:string,decision:string,vote:struct<type:string,pour:string,contre:string,abstentions:string>,montant_eur:string,thematiques:array<string>>"
 MEETING = f"struct<id:string,date:string,commune:string,source_file:string,points:array<{POINT}>>"
@@ -11,19 +15,56 @@ CHAPTER = "struct<titre:string,type:string,auteur:string,start_s:int,deeplink:st
 SESSION = f"struct<date:string,video_id:string,video_url:string,titre_video:string,duree_s:int,points:array<{CHAPTER}>>"
 
 
+def _parsed(spark: SparkSession, path: str, schema: str, fits: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What JSON files hold under a schema, and the records that don't fit: (file, reason, text).
+
+    A record that doesn't parse, or has a value of another type, is told with its text; so is one whose shape does not ``fit``, and a file
+    without any record. A record is taken whole or not at all."""
+    read = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True)
+    told = read.withColumn("_file", F.col("_metadata.file_path"))
+    reason = F.when(F.col("_broken").isNotNull(), "malformed").when(~F.coalesce(F.expr(fits), F.lit(False)), "unexpected shape")
+    told = told.withColumn("_reason", reason)
+    text = F.coalesce("_broken", F.to_json(F.struct(*columns)))
+    rejects = told.filter("_reason is not null").select(F.col("_file").alias("file"), F.col("_reason").alias("reason"), text.alias("text"))
+    # names as the driver's listing has them: scans pass over files of no bytes
+    there = spark.createDataFrame([(f,) for f in read.inputFiles()], "file string")
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/").alias("name")
+    empty = there.withColumn("name", plain("file")).join(told.select(plain("_file")).distinct(), "name", "left_anti")
+    return told.filter("_reason is null"), rejects.unionByName(empty.select("file", F.lit("empty").alias("reason"), F.lit("").alias("text")))
+
+
+def _strict(read: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The rows; a run over them fails where a file has been put aside."""
+    rows, rejects = read
+    worst = rejects.groupBy().agg(F.min(F.concat("reason", F.lit(": "), "file")).alias("worst")).first().worst  # one row
+    if worst is not None:
+        raise ValueError(f"cannot read {worst}")
+    return rows
+
+
 def read_minutes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per meeting of nested minutes files."""
-    x = spark.read.schema(f"seances array<{MEETING}>").json(path, multiLine=True)
-    return x.select(F.explode("seances").alias("m")).select("m.*")
+    """One row per meeting of nested minutes files; ValueError if one of the files is broken, with its name."""
+    return _strict(read_minutes_checked(spark, path))
+
+
+def read_minutes_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per meeting, what is put aside: file, reason, text). A file holds {seances: [...]}; broken ones lose no other."""
+    rows, rejects = _parsed(spark, path, f"seances array<{MEETING}>", "seances is not null", ["seances"])
+    return rows.select(F.explode("seances").alias("m")).select("m.*"), rejects
 
 
 def read_video_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per filmed session; a file holds either {seances: [...]} or a bare list."""
-    fields = SESSION[len("struct<") : -1]
-    wide = f"seances array<{SESSION}>, " + ", ".join(":".join(f).replace(":", " ", 1) for f in (p.split(":", 1) for p in _top(fields)))
-    x = spark.read.schema(wide).json(path, multiLine=True)
-    names = [p.split(":", 1)[0] for p in _top(fields)]
-    return x.select(F.explode(F.coalesce("seances", F.array(F.struct(*names)))).alias("s")).select("s.*")
+    """One row per filmed session; ValueError if one of the files is broken, with its name."""
+    return _strict(read_video_sessions_checked(spark, path))
+
+
+def read_video_sessions_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per filmed session, what is put aside); a file holds either {seances: [...]} or a bare list of sessions. Something
+    that has neither a list of sessions nor a video_id, date or points is put aside."""
+    parts = [p.split(":", 1) for p in _top(SESSION[len("struct<") : -1])]
+    names = [n for n, _ in parts]
+    rows, rejects = _parsed(spark, path, f"seances array<{SESSION}>, " + ", ".join(f"{n} {t}" for n, t in parts), "seances is not null or coalesce(video_id, date) is not null or points is not null", ["seances", *names])
+    return rows.select(F.explode(F.coalesce("seances", F.array(F.struct(*names)))).alias("s")).select("s.*"), rejects
 
 
 def _top(fields: str) -> list[str]:
@@ -89,3 +130,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def _replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commune", "year").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A table by commune and year; the schema is given, so that names of municipalities that look like numbers stay texts."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share; a temporary one only where a local session names none (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,11 +1,10 @@
-"""The reference's cases for single functions, and invariants of merging, alignment and ingestion."""
+"""The reference's cases for single functions, and invariants of merging and alignment."""
 
 import datetime as dt
 import json
 import os
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ from minuteloom.functions import dates, text
 from minuteloom.operators import chapters, collect, meetings, merge, normalize, people, retrieval, selection, stats, video
 from minuteloom.plans import registry, views
 from minuteloom.sources import files
-from minuteloom.streaming.ingest import ingest_stream, latest
 
 
 def values(spark, inputs, f, kind="string"):
@@ -176,21 +174,6 @@ def test_answers_that_found_nothing_keep_films(spark):
     assert {r.id for r in retrieval.dedup_sources(h, 5).collect()} == {2, 3}
 
 
-def test_search_equals_brute_force(spark):
-    r = np.random.default_rng(5)
-    v = r.normal(size=(400, 6))
-    v[30:40] = v[0]
-    c = [(i, x.tolist(), 2000 + i % 5, "ns"[i % 2]) for i, x in enumerate(v)] + [(900, None, 2000, "n"), (901, [0.0] * 6, 2000, "n"), (902, [1.0], 2001, "s")]
-    q = [(i, v[i].tolist(), 2001 if i % 2 else None, 2003, (None, "n", "toutes")[i % 3]) for i in range(8)]
-    got = retrieval.vector_search(spark.createDataFrame(q, "question long, q_vector array<double>, lo int, hi int, q_commune string"), spark.createDataFrame(c, "id long, vector array<double>, year int, commune string").repartition(5), 7)
-    u = v / np.linalg.norm(v, axis=1)[:, None]
-    for i, x, lo, hi, com in q:
-        s = {j: round(float(u[j] @ u[i]), 10) for j, _, y, w in c[:400] if (lo or 0) <= y <= hi and com in (None, "toutes", w)}
-        s |= {j: 0.0 for j, _, y, w in c[401:] if (lo or 0) <= y <= hi and com in (None, "toutes", w)}
-        want = sorted(s, key=lambda j: (-s[j], j))[:7]
-        assert [r.id for r in got.filter(f"question = {i}").orderBy("rank").collect()] == want
-
-
 def test_exports_and_tables(spark, tmp_path):
     x = spark.createDataFrame([("2024-01-02", 1, "a" * 250, ["X", "Y"], "n")], "date string, sp int, titre string, intervenants array<string>, commune string").withColumn("date", F.col("date").cast("date"))
     flat = x.withColumns({c: F.lit(None).cast("string") for c in ("page", "source_file", "type", "rubrique", "sous_rubrique", "resume", "decision", "montant_eur", "urgence", "repondant")})
@@ -258,18 +241,6 @@ def test_sources(spark, tmp_path):
     assert [r[0] and r[0].points[0].sp for r in reply.select(files.parse_reply_json(F.col("r"), "points array<struct<sp:int>>")).collect()] == [1, None]
 
 
-def test_ingest_is_idempotent(spark, tmp_path):
-    schema = "meeting int, sp int, titre string, decision string, ord int"
-    args = (spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "cp"), spark.createDataFrame([], schema).schema, ["meeting", "sp"], ["ord"], ["titre", "decision"])
-    spark.createDataFrame([(1, 1, "a", None, 0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    ingest_stream(*args)
-    ingest_stream(*args)
-    spark.createDataFrame([(1, 1, "a", "d", 0), (2, 1, "b", None, 1)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    ingest_stream(*args)
-    got = latest(spark, str(tmp_path / "table"), args[4]).collect()
-    assert sorted((r.meeting, r.sp, r.decision) for r in got) == [(1, 1, "d"), (2, 1, None)]
-
-
 def test_decision_summary(spark):
     rows = [("PRENDRE ACTE", None, None, None, None), ("BESLIST", "unanimite", None, None, None), ("Approuvé", "vote_nominal", 25, 3, 1), ("VU + ÉCRIT", None, None, None, None), ("  ", None, None, None, None), (None, None, None, None, None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, d string, v string, p int, c int, a int")
