@@ -6,23 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def filled(df: DataFrame, columns: list[str]) -> Column:
-    """How many of the columns hold something: null, 0, false, empty texts and empty lists don't."""
-    kinds = dict(df.dtypes)
+def holds(df: DataFrame, column: str) -> Column:
+    """Whether the column holds something: null, 0, false, empty texts and empty lists don't."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind == "boolean":
+        there = c
+    elif kind.startswith(("struct", "date", "timestamp")):
+        there = c.isNotNull()
+    else:
+        there = F.size(c) > 0 if kind.startswith("array") else c != ("" if kind == "string" else 0)
+    return F.coalesce(there, F.lit(False))
 
-    def truthy(c: str) -> Column:
-        t = kinds[c]
-        if t == "string":
-            return F.col(c) != ""
-        if t == "boolean":
-            return F.col(c)
-        if t.startswith("array"):
-            return F.size(c) > 0
-        if t.startswith(("struct", "date", "timestamp")):
-            return F.col(c).isNotNull()
-        return F.col(c) != 0
 
-    return sum((F.when(truthy(c), 1).otherwise(0) for c in columns), F.lit(0))
+def filled(df: DataFrame, columns: list[str]) -> Column:
+    """How many of the columns hold something."""
+    return sum((holds(df, c).cast("int") for c in columns), F.lit(0))
 
 
 def dedup_best_filled(points: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -67,13 +65,18 @@ def incomplete_meetings(audit: DataFrame) -> DataFrame:
     return audit.filter(~F.col("ok")).select("meeting", "expected", "extracted", "missing").orderBy(F.desc(F.size("missing")), "meeting")
 
 
-def upsert_meetings(current: DataFrame, new: DataFrame, fields: list[str], default_commune: str) -> DataFrame:
-    """One row per (commune, date): the current values, empty ones filled by the new meeting's. Meetings without a date are
-    passed over; a missing commune is the default. Of new rows of one key the first value of each field by order counts."""
-    of = lambda df: df.filter("date is not null").withColumn("commune", F.lower(F.coalesce(F.nullif(F.trim("commune"), F.lit("")), F.lit(default_commune))))
-    n = of(new).groupBy("commune", "date").agg(*(F.min(F.nullif(F.col(c), F.lit(""))).alias(f"_{c}") for c in fields))
-    x = of(current).join(n, ["commune", "date"], "full")
-    return x.select("commune", "date", *(F.coalesce(F.nullif(F.col(c), F.lit("")), f"_{c}").alias(c) for c in fields))
+def upsert_meetings(current: DataFrame, new: DataFrame, fields: list[str], default_commune: str, order: list[str]) -> DataFrame:
+    """(commune, date, fields): the current meetings, their empty fields filled by new ones of the same key, and the new keys.
+
+    New meetings without a date are passed over; current ones stay as they are. A missing commune is the default. Of several
+    new meetings of a key the first by ``order`` that holds something in a field fills it."""
+    named = lambda df: df.withColumn("commune", F.lower(F.coalesce(F.nullif(F.trim("commune"), F.lit("")), F.lit(default_commune))))
+    first = lambda c: F.min_by(c, F.when(holds(new, c), F.struct(*order))).alias(f"_{c}")
+    n = named(new).filter("date is not null").groupBy("commune", "date").agg(*map(first, fields))
+    now = named(current).select("commune", "date", *fields)
+    x = now.filter("date is not null").join(n, ["commune", "date"], "full")
+    merged = x.select("commune", "date", *(F.coalesce(F.when(holds(now, c), F.col(c)), f"_{c}", c).alias(c) for c in fields))
+    return merged.unionByName(now.filter("date is null"))
 
 
 def replace_sessions(current: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from minuteloom.functions.text import strip_accents
 # fixed values: titles before names, words of office, particles, separators of several names
 TITLES = r"(?i)^(?:(?:MM\.?|Messieurs|M\.?|Mme\.?|Mr\.?|Monsieur|Madame|Mesdames|Mlle|Dr\.?|de\s+heer|Mevrouw|Mevr\.?|Dhr\.?|Mijnheer)\s+)+"
 OFFICES = (
-    "bourgmestre echevin echevine president presidente secretaire communal communale conseiller conseillere ff schepen burgemeester voorzitter "
-    "college le la les du des au the puis ensuite alors"
-).split()
-PARTICLES = "de du des van von den der ter ten la le el di da d' of".split()
+    "bourgmestre", "echevin", "echevine", "president", "presidente", "secretaire", "communal", "communale", "conseiller", "conseillere", "ff", "schepen", "burgemeester", "voorzitter",
+    "college", "le", "la", "les", "du", "des", "au", "the", "puis", "ensuite", "alors",
+)
+PARTICLES = ("de", "du", "des", "van", "von", "den", "der", "ter", "ten", "la", "le", "el", "di", "da", "d'", "of")
 SEPARATORS = r"(?i)\s+et\s+|\s+en\s+|\s+puis\s+|\s+ensuite\s+|&|,|;|/|\+"
 
 
@@ -27,9 +29,13 @@ def norm_token(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(t)), r"^[-'’.]+", ""), r"[-'’.]+$", "")
 
 
+def _is_office(plain: Column) -> Column:
+    """Whether a plain word in lower case is one of office, whatever signs stand around it."""
+    return plain.rlike(r"^[.'’()-]*(?:" + "|".join(map(re.escape, OFFICES)) + r"|f\.?f)[.'’()-]*$")
+
+
 def is_role_token(t: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(strip_accents(t)), r"^[.'’()-]+", ""), r"[.'’()-]+$", "")
-    return s.isin(*OFFICES) | s.rlike(r"^f\.?f\.?$")
+    return _is_office(F.lower(strip_accents(t)))
 
 
 def _parts(raw: Column) -> Column:
@@ -37,7 +43,8 @@ def _parts(raw: Column) -> Column:
 
 
 def _without_offices(part: Column) -> Column:
-    return F.array_join(F.filter(F.split(part, r"\s+"), lambda t: (t != "") & ~is_role_token(t)), " ")
+    words, plain = F.split(part, r"\s+"), F.split(F.lower(strip_accents(part)), r"\s+")
+    return F.array_join(F.zip_with(words, plain, lambda t, p: F.when((t != "") & ~_is_office(p), t)), " ")
 
 
 def split_person_names(raw: Column) -> Column:
@@ -110,8 +117,9 @@ ASKED_BY = rf"(?:{ASKING})\s+(?:d[eu']?\s+)?(?:{ADDRESS})?\s*({CAPITAL_WORD}(?:\
 def author_in_text(text: Column, speakers: Column) -> Column:
     """Who a text names as asking; a speaker whose name goes on where the text's name ends is taken for it. Else null."""
     found = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), ASKED_BY, 1), F.lit(""))
-    longer = F.get(F.filter(speakers, lambda s: (F.lower(s) != F.lower(found)) & F.startswith(F.lower(s), F.lower(found))), F.lit(0))
-    return F.coalesce(longer, found)
+    longer = lambda name: F.get(F.filter(speakers, lambda s: (F.lower(s) != F.lower(name)) & F.startswith(F.lower(s), F.lower(name))), F.lit(0))
+    # a list of one: the pattern runs once for a text, however often its find is looked at
+    return F.get(F.transform(F.array(found), lambda name: F.when(name.isNotNull(), F.coalesce(longer(name), name))), F.lit(0))
 
 
 def first_single_speaker(speakers: Column) -> Column:

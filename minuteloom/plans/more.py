@@ -144,15 +144,17 @@ def a19_session_video_map(spark, sf_dir):
 STATED = "SELECT CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE n_name END AS commune, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) END AS date, CASE WHEN o_orderkey % 4 > 1 THEN concat('p', c_custkey) ELSE '' END AS president, CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority END AS secretaire, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
 
-@query(f"""WITH s AS (SELECT lower(coalesce(nullif(trim(commune), ''), 'home')) AS commune, date, nullif(president, '') AS president, secretaire, o_orderkey FROM ({STATED}) WHERE date IS NOT NULL),
-  c AS (SELECT * FROM s WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY commune, date ORDER BY o_orderkey) = 1), n AS (SELECT commune, date, min(president) AS np, min(secretaire) AS ns FROM s WHERE o_orderkey % 2 = 1 GROUP BY ALL)
-  SELECT commune, date, coalesce(president, np) AS president, coalesce(secretaire, ns) AS secretaire FROM c FULL JOIN n USING (commune, date)""")
+@query(f"""WITH s AS (SELECT lower(coalesce(nullif(trim(commune), ''), 'home')) AS commune, date, president, secretaire, o_orderkey FROM ({STATED})), d AS (SELECT * FROM s WHERE date IS NOT NULL),
+  c AS (SELECT * FROM d WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY commune, date ORDER BY o_orderkey) = 1),
+  n AS (SELECT commune, date, arg_min(president, o_orderkey) FILTER (president <> '') AS np, arg_min(secretaire, o_orderkey) FILTER (secretaire <> '') AS ns FROM d WHERE o_orderkey % 2 = 1 GROUP BY ALL)
+  SELECT commune, date, coalesce(nullif(president, ''), np, president) AS president, coalesce(secretaire, ns) AS secretaire FROM c FULL JOIN n USING (commune, date) UNION ALL SELECT commune, date, president, secretaire FROM s WHERE date IS NULL AND o_orderkey % 2 = 0""")
 def w2_upsert_meetings(spark, sf_dir):
     x = view(spark, sf_dir, STATED)
+    now, fields = x.filter("o_orderkey % 2 = 0"), ["president", "secretaire"]
     # the current table has one row per key
     key = F.lower(F.coalesce(F.nullif(F.trim("commune"), F.lit("")), F.lit("home")))
-    current = x.filter("o_orderkey % 2 = 0 and date is not null").withColumn("commune", key).groupBy("commune", "date").agg(*(F.min_by(c, "o_orderkey").alias(c) for c in ("president", "secretaire")))
-    return merge.upsert_meetings(current, x.filter("o_orderkey % 2 = 1"), ["president", "secretaire"], "home")
+    dated = now.filter("date is not null").withColumn("commune", key).groupBy("commune", "date").agg(F.min_by(F.struct(*fields), "o_orderkey").alias("r")).select("commune", "date", "r.*")
+    return merge.upsert_meetings(dated.unionByName(now.filter("date is null").select("commune", "date", *fields)), x.filter("o_orderkey % 2 = 1"), fields, "home", ["o_orderkey"])
 
 
 @query("SELECT video_id, date, v FROM (SELECT o_orderkey AS video_id, o_orderdate::DATE AS date, CASE WHEN o_orderkey % 4 = 1 THEN 'new' ELSE 'old' END AS v FROM orders) ORDER BY date DESC, video_id")

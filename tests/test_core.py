@@ -203,6 +203,17 @@ def test_entry_stands_without_the_training_operators(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
 
 
+def test_meetings_are_filled_not_replaced(spark):
+    kind = "commune string, date string, president string, presents int, excuses array<string>, ord int"
+    now = [("a", "2020-01-01", "", 0, [], 0), ("a", None, "kept", 5, None, 1), ("b", "2020-01-01", "there", 7, ["x"], 2)]
+    new = [(" A", "2020-01-01", "Zoe", 0, None, 0), ("a", "2020-01-01", "Anna", 12, ["y"], 1), ("a", None, "lost", 1, None, 2), ("b", "2020-01-01", "other", 9, ["z"], 3), (None, "2021-02-02", "new", None, None, 4), ("b", "2020-01-01", "", 3, None, 5)]
+    merged = lambda x: merge.upsert_meetings(x, spark.createDataFrame(new, kind), ["president", "presents", "excuses"], "home", ["ord"])
+    once = merged(spark.createDataFrame(now, kind))
+    want = {("a", "2020-01-01", "Zoe", 12, ("y",)), ("a", None, "kept", 5, None), ("b", "2020-01-01", "there", 7, ("x",)), ("home", "2021-02-02", "new", None, None)}
+    for x in (once, merged(once)):
+        assert {(r.commune, r.date, r.president, r.presents, r.excuses and tuple(r.excuses)) for r in x.collect()} == want
+
+
 def test_merge_twice_is_merge_once(spark):
     schema = "meeting int, sp int, titre string, decision string, ord int"
     cur = spark.createDataFrame([(1, 1, "a", None, 0), (1, 2, "b", "x", 1)], schema)
