@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from minuteloom.operators.quantiles import exact_median
+
 SCHEMA_VERSION = 2
 VIDEO = "video_conseil"
 # fixed values: names of the kinds of chapters
@@ -124,7 +126,9 @@ def score_bands(scores: DataFrame) -> DataFrame:
     """Per class: number of questions, and least, median and most of their best scores and of their means of the best five."""
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     each = scores.withColumn("p", place).filter("p <= 5").groupBy("question", "in_scope").agg(F.max("score").alias("top1"), F.avg("score").alias("top5"))
-    return each.groupBy("in_scope").agg(F.count("*").alias("n"), F.min("top1").alias("least"), F.expr("percentile(top1, 0.5)").alias("median"), F.max("top1").alias("most"), F.round(F.avg("top5"), 6).alias("mean_top5"))
+    bands = each.groupBy("in_scope").agg(F.count("*").alias("n"), F.min("top1").alias("least"), F.max("top1").alias("most"), F.round(F.avg("top5"), 6).alias("mean_top5"))
+    middle = exact_median(each, ["in_scope"], "top1").withColumnRenamed("in_scope", "_scope")
+    return bands.join(middle, F.col("in_scope").eqNullSafe(F.col("_scope")), "left").select("in_scope", "n", "least", "median", "most", "mean_top5")
 
 
 def retention_by_threshold(scores: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -145,17 +145,19 @@ def corpus_checks(points: DataFrame) -> DataFrame:
 
 def facet_counts(points: DataFrame, kind: str | None, theme: str | None, person: str | None = None) -> DataFrame:
     """Counts of each type (and of points postponed or with a film of the debate), theme and person, each under the other two
-    choices; an author who also answers counts twice; the chosen value always shows. points: with postponed and debate."""
-    x = points.withColumns({"_k": matches_type(kind), "_t": matches_theme_tag(theme), "_p": matches_person(person)})
-    types = x.filter("_t and _p")
-    kinds = F.filter(F.array("type", F.when(F.col("postponed"), POSTPONED), F.when(F.col("debate"), DEBATE)), lambda v: v.isNotNull())
-    people = F.filter(F.array("author", "speaker"), lambda v: v.isNotNull())
-    facets = (("type", types, kinds, kind), ("theme", x.filter("_k and _p"), F.array_distinct(F.transform("tags", canon_theme)), theme), ("person", x.filter("_k and _t"), people, person))
-    out = None
-    for name, rows, values, chosen in facets:
-        n = rows.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-        if chosen is not None:
-            n = n.unionByName(n.sparkSession.createDataFrame([(chosen, 0)], "value string, n long")).groupBy("value").agg(F.sum("n").alias("n"))
-        n = n.select(F.lit(name).alias("facet"), "value", "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    choices; an author who also answers counts twice; the chosen value always shows. points: with postponed and debate.
+
+    The points are read once: each becomes a list of facet and value, of those facets whose other two choices it meets."""
+    k, t, p = matches_type(kind), matches_theme_tag(theme), matches_person(person)
+    values = {
+        "type": (t & p, F.array("type", F.when(F.col("postponed"), POSTPONED), F.when(F.col("debate"), DEBATE))),
+        "theme": (k & p, F.array_distinct(F.transform("tags", canon_theme))),
+        "person": (k & t, F.array("author", "speaker")),
+    }
+    none = F.array().cast("array<struct<facet:string,value:string>>")
+    told = lambda name, met, of: F.when(met, F.transform(F.filter(of, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))).otherwise(none)
+    n = points.select(F.explode(F.concat(*(told(f, met, of) for f, (met, of) in values.items()))).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+    chosen = [(f, v, 0) for f, v in zip(values, (kind, theme, person)) if v is not None]
+    if chosen:
+        n = n.unionByName(n.sparkSession.createDataFrame(chosen, "facet string, value string, n long")).groupBy("facet", "value").agg(F.sum("n").alias("n"))
+    return n

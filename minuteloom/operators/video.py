@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +29,44 @@ def dedup_captions(segments: DataFrame) -> DataFrame:
 
 
 def pack_segments(segments: DataFrame, max_chars: int = 1500) -> DataFrame:
-    """Consecutive segments of a chapter in parts of about ``max_chars``; a segment is never split. The state is one
-    number a row, so a chapter is folded in the JVM."""
-    listed = segments.groupBy("chapter").agg(F.sort_array(F.collect_list(F.struct("ord", "start_s", "text"))).alias("s"))
-    start = F.struct(F.lit(0).alias("held"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(a, x):
-        size = F.length(x["text"]) + 1
-        new = (a["part"] < 0) | (a["held"] + size > max_chars)
-        part = F.when(new, a["part"] + 1).otherwise(a["part"])
-        return F.struct(F.when(new, size).otherwise(a["held"] + size).alias("held"), part.alias("part"), F.concat(a["parts"], F.array(part)).alias("parts"))
-
-    x = listed.select("chapter", F.explode(F.arrays_zip("s", F.aggregate("s", start, step)["parts"].alias("parts"))).alias("z")).select("chapter", "z.s.*", F.col("z.parts").alias("part"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda t: t["text"]), " ")
-    return x.groupBy("chapter", "part").agg(F.min_by("start_s", "ord").alias("start_s"), text.alias("text"))
+    """(chapter, part, start_s, text): consecutive segments of a chapter in parts of about ``max_chars``; a segment is never
+    split. Equal ``ord`` go by start and text; a null text is empty.
+
+    Sorted partitions are read in batches, and what goes on from one batch to the next is the part that is open, so that
+    a chapter of any length takes the memory of one part."""
+    kind = dict(segments.dtypes)
+    x = segments.select("chapter", "ord", "start_s", F.coalesce("text", F.lit("")).alias("text")).repartition("chapter").sortWithinPartitions("chapter", "ord", "start_s", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chapter, part, held, start, texts = None, -1, 0, None, []
+
+        for b in batches:
+            shape = pa.schema([b.schema.field("chapter"), ("part", pa.int32()), b.schema.field("start_s"), ("text", pa.string())])
+            done = []
+            for c, s, t in zip(*(b.column(n).to_pylist() for n in ("chapter", "start_s", "text"))):
+                if texts and (c != chapter or held + len(t) + 1 > max_chars):
+                    done.append((chapter, part, start, " ".join(texts)))
+                    texts = []
+                if part < 0 or c != chapter:
+                    chapter, part, held, start = c, 0, 0, s
+                elif not texts:
+                    part, held, start = part + 1, 0, s
+                texts.append(t)
+                held += len(t) + 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*done), shape)], schema=shape)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chapter, part, start, " ".join(texts)), shape)], schema=shape)
+
+    return x.mapInArrow(run, f"chapter {kind['chapter']}, part int, start_s {kind['start_s']}, text string")
 
 
 def chapter_excerpts(aligned: DataFrame, most: int = 1200) -> DataFrame:
+    """The first ``most`` characters said in a chapter, by time; only segments that begin before the cut are gathered."""
+    before = F.sum(F.coalesce(F.length("text") + 1, F.lit(0))).over(Window.partitionBy("video_id", "chapter").orderBy("t", "segment").rowsBetween(Window.unboundedPreceding, -1))
+    head = aligned.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= most)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "segment", "text"))), lambda s: s["text"]), " ")
-    return aligned.groupBy("video_id", "chapter").agg(F.substring(text, 1, most).alias("excerpt"))
+    return head.groupBy("video_id", "chapter").agg(F.substring(text, 1, most).alias("excerpt"))
 
 
 def title_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, text
-from minuteloom.operators import chapters, collect, meetings, merge, normalize, people, retrieval, selection, stats
+from minuteloom.operators import chapters, collect, meetings, merge, normalize, people, retrieval, selection, stats, themes
 from minuteloom.plans import adapters as A
 from minuteloom.plans.registry import CANON, FACETS, LINKS, NAME_DATE, P, TREND, faceted, points, query, search_points, view
 from minuteloom.plans.views import filmed
@@ -119,6 +119,21 @@ def f4_j13_themes_matched(spark, sf_dir):
     return stats.themes_matched(points(spark, sf_dir), ["voirie", "ecole", "mobilite"]).select(*IDS, "theme")
 
 
+#: Texts as points, and as many themes as conversations have first words.
+SAID = "SELECT doc_id AS meeting, doc_id % 7 AS sp, text AS titre FROM documents"
+THEMES = "SELECT DISTINCT regexp_extract(text, '([A-Za-zÀ-ÿ]{5,})', 1) AS theme FROM conversations UNION SELECT 'transports scolaires' UNION SELECT 'Propreté des rues'"
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {v.split()})" for i, (k, v) in enumerate(text.FAMILIES.items()))}) t(i, key, stems)), w AS (SELECT theme, unnest(regexp_extract_all(strip_accents(lower(theme)), '[a-z]{{3,}}')) AS w FROM ({THEMES})),
+  s AS (SELECT theme, CASE WHEN length(w) > 4 AND w LIKE '%s' THEN w[:length(w) - 1] ELSE w END AS s FROM w WHERE w NOT IN ({", ".join(f"'{w}'" for w in sorted(text.STOPWORDS))})),
+  m AS (SELECT theme, s, arg_min(stems, i) AS stems FROM s LEFT JOIN f ON starts_with(s, key) OR starts_with(key, s) GROUP BY ALL), k AS (SELECT DISTINCT theme, unnest(coalesce(stems, [s])) AS stem FROM m),
+  p AS (SELECT DISTINCT meeting, sp, unnest(regexp_extract_all(strip_accents(lower(titre)), '[\p{{L}}\p{{Nd}}_]+')) AS w FROM ({SAID})), h AS (SELECT DISTINCT meeting, sp, theme FROM p JOIN k ON w[:3] = stem[:3] AND starts_with(w, stem))
+  SELECT theme, count(*) AS points FROM h GROUP BY 1""")
+def j13_theme_table(spark, sf_dir):
+    found = themes.matched_themes(view(spark, sf_dir, SAID), themes.stems_table(view(spark, sf_dir, THEMES)), ["meeting", "sp"])
+    return found.groupBy("theme").agg(F.count("*").alias("points"))
+
+
 # --- links by date
 MEETINGS = "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderdate AS DATE) END AS date, o_custkey AS n_points, CASE WHEN o_orderkey % 3 > 0 THEN concat('/pv/', o_orderkey) END AS url FROM orders WHERE o_orderkey % 2 = 0"
 FILMS = "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderdate AS DATE) END AS date, o_custkey AS n_points, CASE WHEN o_orderkey % 4 > 0 THEN concat('https://film.example/', o_orderkey) END AS video_url FROM orders WHERE o_orderkey % 5 < 2"
