@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteloom.functions.dates import date_from_title
 from minuteloom.functions.text import strip_accents
-from minuteloom.operators.video import title_similarity
 
 # fixed values: how sessions of the council are called; beginnings of Dutch halves of titles; titles without a subject
 COUNCIL = ("conseil communal", "gemeenteraad")
 DUTCH = (
-    "de ", "het ", "verzoek", "motie", "vraag", "beheers", "belasting", "aanslag", "vzw", "rekeningen", "goedkeuring", "overeenkomst", "mobiliteit", "schaarbeek", "oproep", "e situatie",
+    "de ", "het ", "verzoek", "motie", "vraag", "beheers", "belasting", "aanslag", "vzw", "rekeningen", "goedkeuring", "overeenkomst", "mobiliteit", "oproep", "e situatie",
     "in afkorting", "reglement", "overheidsopdracht", "duurzaam", "handvest", "erfpacht", "bezetting", "organisatie", "wijziging", "nieuw huishoudelijk", "gebouw", "herlancering", "geheim", "stemming",
 )
 PROCEDURE = (
@@ -51,10 +54,11 @@ def drop_procedural(chapters: DataFrame, title: str = "title") -> DataFrame:
     return chapters.filter(~is_procedural(F.col(title)))
 
 
-def french_part(title: Column) -> Column:
-    """The parts of a bilingual title before the first that begins in Dutch; the whole title if none is left."""
+def french_part(title: Column, places: tuple[str, ...] = ()) -> Column:
+    """The parts of a bilingual title before the first that begins in Dutch; the whole title if none is left. ``places`` are
+    Dutch names, in lower case, that a Dutch part may begin with too: that of the municipality, say."""
     parts = F.split(title, r"\s[–-]\s")
-    dutch = F.transform(parts, lambda p: F.lower(F.trim(p)).rlike("^(?:" + "|".join(DUTCH) + ")"))
+    dutch = F.transform(parts, lambda p: F.lower(F.trim(p)).rlike("^(?:" + "|".join([*DUTCH, *places]) + ")"))
     at = F.array_position(dutch, F.lit(True))
     kept = F.when(at == 0, parts).otherwise(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")))
     return F.coalesce(F.nullif(F.trim(F.array_join(kept, " - ")), F.lit("")), title)
@@ -123,17 +127,23 @@ def chapter_coverage(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count("*").alias("sessions"), F.count_if(n > 0).alias("with_agenda"), F.coalesce(F.sum(n), F.lit(0)).alias("chapters"))
 
 
+#: The characters that a plain title may have.
+PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 def plain_title(title: Column) -> Column:
-    return F.regexp_replace(F.lower(strip_accents(F.coalesce(title, F.lit("")))), "[^a-z0-9 ]", " ")
+    return F.regexp_replace(F.lower(strip_accents(F.coalesce(title, F.lit("")))), f"[^{PLAIN}]", " ")
 
 
-def match_chapters_to_points(chapters: DataFrame, points: DataFrame, own: float = 0.35, collective: float = 0.6) -> DataFrame:
-    """(date, chapter, sp): the agenda point of each chapter that has one.
+def _letters(plain: Column) -> Column:
+    """How often each character that a plain title may have occurs in it."""
+    return F.transform(F.array(*map(F.lit, PLAIN)), lambda x: F.length(plain) - F.length(F.replace(plain, x, F.lit(""))))
 
-    chapters: date, chapter, titre, author_key (null: collective); points: date, sp, titre, author_key, ord. Candidates are the
-    points of the date and author, of the date for collective chapters. A lone candidate is it; else the only one whose plain
-    title holds the chapter's or is held by it; else the most alike of these (or of all), the first by ord on ties, if its
-    similarity reaches ``own`` or ``collective``. Titles are compared in Python only where the JVM leaves several."""
+
+def chapter_candidates(chapters: DataFrame, points: DataFrame, own: float = 0.35, collective: float = 0.6) -> DataFrame:
+    """(date, chapter, sp, ord, sure, most, least, and the plain titles): the point of a chapter where no comparison is needed
+    (``sure``), else those that its titles must be compared with. ``most`` is what their similarity can be at most: twice the
+    characters that both titles have, over the length of both; pairs under ``least``, their threshold, are left out."""
     c = chapters.select("date", "chapter", F.col("author_key").alias("_k"), plain_title(F.col("titre")).alias("_t")).filter("date is not null")
     p = points.select("date", "sp", "ord", F.col("author_key").alias("_pk"), plain_title(F.col("titre")).alias("_pt"))
     named = c.filter("_k is not null").join(p, ["date"]).filter(F.col("_k") == F.col("_pk"))
@@ -141,8 +151,52 @@ def match_chapters_to_points(chapters: DataFrame, points: DataFrame, own: float
     each = Window.partitionBy("date", "chapter")
     held = (F.col("_pt") != "") & (F.col("_t").contains(F.col("_pt")) | F.col("_pt").contains(F.col("_t")))
     x = x.withColumn("_held", held).withColumn("_n", F.count("*").over(each)).withColumn("_h", F.count_if("_held").over(each))
-    sure = x.filter((F.col("_n") == 1) | ((F.col("_h") == 1) & F.col("_held"))).select("date", "chapter", "sp")
-    open_ = x.filter((F.col("_n") > 1) & (F.col("_h") != 1) & ((F.col("_h") == 0) | F.col("_held")))
-    place = F.row_number().over(each.orderBy(F.desc("similarity"), "ord"))
-    best = title_similarity(open_, "_t", "_pt").withColumn("_p", place).filter("_p = 1")
-    return sure.unionByName(best.filter(F.col("similarity") >= F.when(F.col("_k").isNull(), collective).otherwise(own)).select("date", "chapter", "sp"))
+    sure = (F.col("_n") == 1) | ((F.col("_h") == 1) & F.col("_held"))
+    x = x.withColumn("sure", sure).filter(F.col("sure") | ((F.col("_h") != 1) & ((F.col("_h") == 0) | F.col("_held"))))
+    both = F.aggregate(F.zip_with(_letters(F.col("_t")), _letters(F.col("_pt")), lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
+    size = F.length("_t") + F.length("_pt")
+    most = F.when(F.col("sure") | (size == 0), 1.0).otherwise(2.0 * both / size)
+    least = F.when(F.col("_k").isNull(), collective).otherwise(own)
+    return x.select("date", "chapter", "sp", "ord", "sure", "_t", "_pt", most.alias("most"), least.alias("least")).filter("sure or most >= least")
+
+
+def match_chapters_to_points(chapters: DataFrame, points: DataFrame, own: float = 0.35, collective: float = 0.6) -> DataFrame:
+    """(date, chapter, sp): the agenda point of each chapter that has one.
+
+    chapters: date, chapter, titre, author_key (null: collective); points: date, sp, titre, author_key, ord. Candidates are the
+    points of the date and author, of the date for collective chapters. A lone candidate is it; else the only one whose plain
+    title holds the chapter's or is held by it; else the most alike of these (or of all), the first by ord on ties, if its
+    similarity reaches ``own`` or ``collective``.
+
+    The candidates are read once, those of a chapter by what their similarity can be at most; as soon as that is under what
+    another one has, no more titles of the chapter are compared."""
+    x = chapter_candidates(chapters, points, own, collective)
+    x = x.withColumn("_place", F.row_number().over(Window.partitionBy("date", "chapter").orderBy("ord")))  # what a tie goes by
+    kinds = dict(x.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, now, best, row = None, None, (0.0, 0), None
+        compare = SequenceMatcher(None)
+        for b in batches:
+            shape = pa.schema([b.schema.field(c) for c in ("date", "chapter", "sp")])
+            dates, names, sure, most, least, mine, theirs, place = (b.column(c).to_pylist() for c in ("date", "chapter", "sure", "most", "least", "_t", "_pt", "_place"))
+            done = []
+            for i, key in enumerate(zip(dates, names)):
+                if key != now:
+                    done += [row] if row is not None else []
+                    now, best, row = key, (0.0, 0), None
+                    compare.set_seq1(mine[i])
+                if sure[i]:
+                    done.append(b.slice(i, 1).select(shape.names))
+                elif most[i] >= best[0]:
+                    compare.set_seq2(theirs[i])
+                    found = (compare.ratio(), -place[i])
+                    if found[0] >= least[i] and (row is None or found > best):
+                        best, row = found, b.slice(i, 1).select(shape.names)
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if row is not None:
+            yield row
+
+    ordered = x.repartition("date", "chapter").sortWithinPartitions("date", "chapter", F.desc("most"), "_place")
+    return ordered.mapInArrow(run, f"date {kinds['date']}, chapter {kinds['chapter']}, sp {kinds['sp']}")

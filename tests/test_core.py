@@ -120,6 +120,18 @@ def test_chapters_match_points_as_difflib_does(spark):
     assert {x.chapter: x.sp for x in got.collect()} == want and len(want) > 10
 
 
+def test_few_titles_are_compared(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    points = [(1, i, f"{word()} {word()}", None, i) for i in range(200)]
+    chap = [(1, f"c{i}", points[i][2][:-3] + word()[:4], None) for i in range(50)] + [(None, "undated", "x", None)]
+    frames = spark.createDataFrame(chap, "date int, chapter string, titre string, author_key string"), spark.createDataFrame(points, "date int, sp int, titre string, author_key string, ord int")
+    left = chapters.chapter_candidates(*frames)
+    assert left.count() < 0.5 * 50 * 200  # the rest cannot be alike enough
+    assert {x.chapter: x.sp for x in chapters.match_chapters_to_points(*frames).collect()} == {f"c{i}": i for i in range(50)}
+    assert chapters.match_chapters_to_points(frames[0].limit(0), frames[1]).count() == 0
+
+
 def test_chapters_of_titles_and_descriptions(spark):
     titles = ["La voirie - Verzoek van X - Le reste", "Het plan", "Motie (Ann Bee)", "Le parc – Georges VERDIN", "x"]
     got = values(spark, titles, lambda c: chapters.chapter_point(c, F.lit(61.9), F.lit("id")))
