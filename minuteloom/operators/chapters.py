@@ -79,11 +79,11 @@ def chapter_author(title: Column) -> Column:
     return F.coalesce(*(F.trim(F.nullif(F.regexp_extract(title, p, 1), F.lit(""))) for p in (BY_ADDRESS, IN_BRACKETS, AT_THE_END)))
 
 
-def chapter_point(title: Column, start: Column, video_id: Column) -> Column:
+def chapter_point(title: Column, start: Column, video_id: Column, places: tuple[str, ...] = ()) -> Column:
     """struct(titre, titre_fr, type, auteur, start_s, deeplink) of a chapter."""
     s = F.coalesce(start, F.lit(0)).cast("int")
     link = F.concat(F.lit("https://www.youtube.com/watch?v="), video_id, F.lit("&t="), s.cast("string"), F.lit("s"))
-    return F.struct(title.alias("titre"), french_part(title).alias("titre_fr"), chapter_kind(title).alias("type"), chapter_author(title).alias("auteur"), s.alias("start_s"), link.alias("deeplink"))
+    return F.struct(title.alias("titre"), french_part(title, places).alias("titre_fr"), chapter_kind(title).alias("type"), chapter_author(title).alias("auteur"), s.alias("start_s"), link.alias("deeplink"))
 
 
 def described_chapters(description: Column) -> Column:

@@ -92,7 +92,7 @@ def name_pairs(mentions: DataFrame, name: str = "name") -> DataFrame:
     """(first, last): distinct pairs from mentions of two words of which exactly one is in capitals, the surname."""
     words = F.filter(F.split(clean_name(F.col(name)), r"\s+"), lambda x: x != "")
     capitals = lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1)
-    x = mentions.select(words.alias("w")).filter(F.size("w") == 2).select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
+    x = mentions.select(words.alias("w")).filter(F.size("w") == 2).select(F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
     x = x.filter(capitals(F.col("a")) != capitals(F.col("b")))
     pick = lambda c, p, q: norm_token(F.when(c, F.col(p)).otherwise(F.col(q)))
     return x.select(pick(capitals(F.col("b")), "a", "b").alias("first"), pick(capitals(F.col("b")), "b", "a").alias("last")).distinct()
@@ -150,12 +150,16 @@ def person_role(deposits: Column, answers: Column) -> Column:
     return F.when(((answers > 0) & (deposits == 0)) | ((answers >= 8) & (answers > deposits)), "college").otherwise("councillor")
 
 
+#: The type of a filmed act that no point of the minutes has.
+FILMED = "video"
+
+
 def person_activity(deposits: DataFrame, answers: DataFrame, least: int = 2) -> DataFrame:
     """Per person: deposits by type, answers, role; those with ``least`` or more in all."""
-    d = deposits.groupBy("key").agg(F.count_if(F.col("type") == "question_orale").alias("questions"), F.count_if(F.col("type") == "demande_habitant").alias("requests"), F.count_if(F.col("type") == "motion").alias("motions"), F.count("*").alias("deposits"))
+    d = deposits.groupBy("key").agg(F.count_if(F.col("type") == "question_orale").alias("questions"), F.count_if(F.col("type") == "demande_habitant").alias("requests"), F.count_if(F.col("type") == "motion").alias("motions"), F.count_if(F.col("type") == FILMED).alias("videos"), F.count("*").alias("deposits"))
     a = answers.groupBy("key").agg(F.count("*").alias("answers"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    x = d.join(a, "key", "full").select("key", *(zero(c) for c in ("questions", "requests", "motions", "deposits", "answers")))
+    x = d.join(a, "key", "full").select("key", *(zero(c) for c in ("questions", "requests", "motions", "videos", "deposits", "answers")))
     return x.withColumn("role", person_role(F.col("deposits"), F.col("answers"))).filter(F.col("deposits") + F.col("answers") >= least)
 
 
@@ -201,3 +205,9 @@ def person_timeline(acts: DataFrame, key: str, year: int | None = None) -> DataF
     if year is not None:
         x = x.filter((F.col("date") >= f"{year}-01-01") & (F.col("date") < f"{year + 1}-01-01"))
     return x.orderBy(F.desc_nulls_last("date"), F.desc("sp"))
+
+
+def years_covered(acts: DataFrame, key: str) -> DataFrame:
+    """(year, acts) of one person, the newest year first; acts without a date are left out."""
+    dated = acts.filter((F.col("key") == key) & F.col("date").isNotNull())
+    return dated.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("acts")).orderBy(F.desc("year"))

@@ -460,8 +460,8 @@ def deposits_and_answers(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x.filter("type <> 'point'").withColumnRenamed("author", "key"), x.withColumnRenamed("speaker", "key")
 
 
-@query(P + """, d AS (SELECT author AS key, count(*) FILTER (type = 'question_orale') AS questions, count(*) FILTER (type = 'demande_habitant') AS requests, count(*) FILTER (type = 'motion') AS motions, count(*) AS deposits FROM points WHERE type <> 'point' GROUP BY 1),
-  a AS (SELECT speaker AS key, count(*) AS answers FROM points GROUP BY 1), j AS (SELECT key, coalesce(questions, 0) AS questions, coalesce(requests, 0) AS requests, coalesce(motions, 0) AS motions, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM d FULL JOIN a USING (key))
+@query(P + """, d AS (SELECT author AS key, count(*) FILTER (type = 'question_orale') AS questions, count(*) FILTER (type = 'demande_habitant') AS requests, count(*) FILTER (type = 'motion') AS motions, count(*) FILTER (type = 'video') AS videos, count(*) AS deposits FROM points WHERE type <> 'point' GROUP BY 1),
+  a AS (SELECT speaker AS key, count(*) AS answers FROM points GROUP BY 1), j AS (SELECT key, coalesce(questions, 0) AS questions, coalesce(requests, 0) AS requests, coalesce(motions, 0) AS motions, coalesce(videos, 0) AS videos, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM d FULL JOIN a USING (key))
   SELECT *, CASE WHEN (answers > 0 AND deposits = 0) OR (answers >= 8 AND answers > deposits) THEN 'college' ELSE 'councillor' END AS role FROM j WHERE deposits + answers >= 2""")
 def a9_a18_person_activity(spark, sf_dir):
     return people.person_activity(*deposits_and_answers(points(spark, sf_dir)))
