@@ -79,6 +79,29 @@ def source_file_lookup(meetings: DataFrame, files: DataFrame) -> DataFrame:
     return x.withColumn("path", F.coalesce("by_name", "by_date")).drop("by_name", "by_date", "_stem")
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def resolve_targets(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """(target, path): the file that a target names; else the first by name of the date that it is (as ISO text); else the first
+    whose name holds it; else null. Equal targets have one row; a null or empty one names nothing.
+
+    A part of a name is looked up by its rarest three letters (or all, of a shorter one), so that no target meets every file."""
+    t = targets.select("target").distinct()
+    named = files.groupBy("name").agg(F.min("path").alias("by_name"))
+    dated = files.filter("date is not null").groupBy(F.col("date").cast("string").alias("day")).agg(F.min_by("path", F.struct("name", "path")).alias("by_date"))
+    x = t.join(named, F.col("target") == F.col("name"), "left").join(dated, F.col("target") == F.col("day"), "left").select("target", F.coalesce("by_name", "by_date").alias("found"))
+    open_ = x.filter("found is null and target <> ''").select("target", F.least(F.length("target"), F.lit(3)).alias("n"))
+    pick = lambda c: F.when(F.col("n") == 3, _grams(c, 3)).when(F.col("n") == 2, _grams(c, 2)).otherwise(_grams(c, 1))
+    names = files.select("name", "path", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).join(F.broadcast(open_.select("n").distinct()), "n")  # three rows at most
+    held = names.select("name", "path", F.explode(pick(F.col("name"))).alias("gram"))
+    asked = open_.select("target", F.explode(pick(F.col("target"))).alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("files")), "gram")
+    rarest = asked.groupBy("target").agg(F.min_by("gram", F.struct("files", "gram")).alias("gram"))
+    part = rarest.join(held, "gram").filter(F.contains("name", "target")).groupBy("target").agg(F.min_by("path", F.struct("name", "path")).alias("by_part"))
+    return x.join(part, "target", "left").select("target", F.coalesce("found", "by_part").alias("path"))
+
+
 def skip_done(files: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Files not processed yet; a null key was never processed."""
     return files.join(done.select(key), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteloom.functions.text import canon_theme, matches_theme, strip_accents
-from minuteloom.operators.selection import DEBATE, POSTPONED, matches_person, matches_theme_tag, matches_type
+from minuteloom.operators.selection import DEBATE, POSTPONED, by_date, matches_person, matches_theme_tag, matches_type
 
 # fixed values: kinds of points, titles and decisions whose amount is no spending of the municipality
 SKIPPED_TYPES = ("motion", "question_orale", "demande_habitant")
@@ -66,11 +66,16 @@ def meeting_themes(points: DataFrame) -> DataFrame:
     return out.withColumn("themes", F.transform("themes", lambda t: F.struct((-t["n"]).alias("n"), t["theme"].alias("theme"), t["amount"].alias("amount"))))
 
 
-def meeting_summary(points: DataFrame) -> DataFrame:
-    """Per meeting: points, contested votes, engaged amount, and its themes with points and amount, as one text. Files and
-    films are joined by ``selection.attach_links``."""
+def meeting_summary(points: DataFrame, meetings: DataFrame | None = None, films: DataFrame | None = None) -> DataFrame:
+    """Per dated meeting: points, contested votes, engaged amount, and its themes with points and amount, as one text.
+
+    ``meetings`` (meeting, source_file, url, source_url) add its file and the address of its minutes, ``films`` (date, video_url, ord) the
+    film of its date, the last one's."""
     text = F.array_join(F.transform("themes", lambda t: F.concat_ws(":", t["theme"], t["n"], t["amount"])), "|")
-    return meeting_themes(points).select("meeting", "date", "points", "contested", F.col("engaged").cast("double").alias("engaged"), text.alias("themes"))
+    out = meeting_themes(points.filter("date is not null")).select("meeting", "date", "points", "contested", F.col("engaged").cast("double").alias("engaged"), text.alias("themes"))
+    if meetings is not None:
+        out = out.join(meetings.select("meeting", F.col("source_file").alias("file"), F.coalesce(F.nullif("url", F.lit("")), "source_url").alias("url")), "meeting", "left")
+    return out if films is None else out.join(by_date(films, "video_url"), "date", "left")
 
 
 def value_counts(points: DataFrame, column: Column, n: int | None = None) -> DataFrame:
@@ -132,6 +137,12 @@ def corpus_summary(points: DataFrame) -> DataFrame:
     return points.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.when(paid, F.col("montant"))).cast("double").alias("total"), F.max("montant").cast("double").alias("most"), F.count_if(paid).alias("mentions"))
 
 
+def corpus_amounts(points: DataFrame) -> DataFrame:
+    """One row: total and largest of all amounts that are there and not 0, and how many these are."""
+    there = F.when(F.col("montant") != 0, F.col("montant"))
+    return points.agg(F.coalesce(F.sum(there), F.lit(0)).cast("double").alias("total"), F.max(there).cast("double").alias("most"), F.count(there).alias("mentions"))
+
+
 def corpus_checks(points: DataFrame) -> DataFrame:
     """One row: what a sound corpus has none of, and the plausibility of its engaged total and years. A date that is a text
     must be ISO; amounts that are doubles must be finite."""

@@ -14,13 +14,23 @@ def chapter_bounds(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("next_start", F.lead("start_s").over(Window.partitionBy("video_id").orderBy("start_s", "chapter")))
 
 
-def align_transcript(chapters: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each segment with the chapter that is on at its time; those before the first chapter go. A union and one sort of
-    each video, so no range join; at equal times chapters come first, and of equal starts the last chapter has the text."""
+def align_transcript(chapters: DataFrame, segments: DataFrame, width_s: float = 1800.0) -> DataFrame:
+    """Each segment with the chapter that is on at its time; those before the first chapter go, as does what has no time. At equal
+    times chapters come first, and of equal starts the last chapter has the text.
+
+    A union and one sort, no range join. A video is cut into stretches of ``width_s`` seconds, so that a long one is no single
+    task; the chapter that is on where a stretch ends is carried to the next ones, one row for each stretch."""
     c = chapters.select("video_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), F.col("chapter").alias("id"), F.struct("chapter", "start_s").alias("on"))
     s = segments.select("video_id", "t", F.lit(1).alias("kind"), F.col("segment").alias("id"), F.lit(None).cast(c.schema["on"].dataType).alias("on"))
-    on = F.last("on", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return c.unionByName(s).withColumn("on", on).filter("kind = 1 and on is not null").select("video_id", F.col("id").alias("segment"), "t", "on.chapter", F.col("on.start_s").alias("chapter_start"))
+    x = c.unionByName(s).filter("t is not null")
+    t = F.col("t").cast("timestamp") if dict(x.dtypes)["t"].startswith("timestamp") else F.col("t")
+    x = x.withColumn("at", F.floor(t.cast("double") / width_s))
+    last = F.max_by("on", F.when(F.col("kind") == 0, F.struct("t", "id")))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    carried = x.groupBy("video_id", "at").agg(last.alias("end")).select("video_id", "at", before.alias("carried"))
+    on = F.last("on", ignorenulls=True).over(Window.partitionBy("video_id", "at").orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0))
+    found = x.withColumn("on", on).filter("kind = 1").join(carried, ["video_id", "at"], "left").withColumn("on", F.coalesce("on", "carried"))
+    return found.filter("on is not null").select("video_id", F.col("id").alias("segment"), "t", "on.chapter", F.col("on.start_s").alias("chapter_start"))
 
 
 def dedup_captions(segments: DataFrame) -> DataFrame:

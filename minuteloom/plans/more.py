@@ -155,6 +155,37 @@ def a19_session_video_map(spark, sf_dir):
     return chapters.session_video_map(view(spark, sf_dir, FILMS))
 
 
+OF_MEETINGS = "SELECT o_orderkey AS meeting, concat('PV-', o_orderkey, '.pdf') AS source_file, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('/own/', o_orderkey) END AS url, concat('/source/', o_orderkey) AS source_url FROM orders"
+
+
+@query(P + f""", {MAPS}, k AS (SELECT meeting, count(*) AS points FROM points GROUP BY 1) SELECT meeting, date, points, source_file AS file, coalesce(nullif(o.url, ''), source_url) AS url, video_url
+  FROM (SELECT DISTINCT meeting, date FROM points) JOIN k USING (meeting) JOIN ({OF_MEETINGS}) o USING (meeting) LEFT JOIN v USING (date)""")
+def a5_meetings_with_links(spark, sf_dir):
+    x = stats.meeting_summary(points(spark, sf_dir), view(spark, sf_dir, OF_MEETINGS), view(spark, sf_dir, FILMS))
+    return x.select("meeting", "date", "points", "file", "url", "video_url")
+
+
+@query(P + "SELECT sum(montant) FILTER (montant <> 0)::DOUBLE AS total, max(montant) FILTER (montant <> 0)::DOUBLE AS most, count(*) FILTER (montant <> 0) AS mentions FROM points")
+def a11_corpus_amounts(spark, sf_dir):
+    return stats.corpus_amounts(points(spark, sf_dir))
+
+
+@query(P + "SELECT t AS value, count(*) AS n FROM (SELECT unnest([tag1, tag2]) AS t FROM points) GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def a6_top_raw_themes(spark, sf_dir):
+    return stats.value_counts(points(spark, sf_dir).select(F.explode("tags").alias("tag")), F.col("tag"), 10)
+
+
+#: Files as targets are told: by name, by date, by a part of the name, or by something that no file has.
+TOLD = f"SELECT ord, name, date, concat('/minutes/', CAST(ord AS VARCHAR(19))) AS path, CASE ord % 5 WHEN 0 THEN name WHEN 1 THEN CAST(date AS VARCHAR(10)) WHEN 2 THEN substring(name, 4, 6) WHEN 3 THEN substring(name, length(name) - 1, 2) ELSE concat(name, '?') END AS target FROM ({A.FILES})"
+
+
+@query(f"""WITH f AS ({TOLD}), t AS (SELECT DISTINCT target FROM f), n AS (SELECT name, min(path) AS p FROM f WHERE ord % 3 > 0 GROUP BY 1), d AS (SELECT date::VARCHAR AS day, arg_min(path, (name, path)) AS p FROM f WHERE ord % 3 > 0 GROUP BY 1),
+  h AS (SELECT target, arg_min(p, (name, p)) AS p FROM t JOIN n ON contains(name, target) GROUP BY 1) SELECT target, coalesce(n.p, d.p, h.p) AS path FROM t LEFT JOIN n ON n.name = target LEFT JOIN d ON day = target LEFT JOIN h USING (target)""")
+def j6_resolve_targets(spark, sf_dir):
+    x = view(spark, sf_dir, TOLD)
+    return meetings.resolve_targets(x, x.filter("ord % 3 > 0").select("name", "date", "path"))
+
+
 # --- merging
 STATED = "SELECT CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE n_name END AS commune, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) END AS date, CASE WHEN o_orderkey % 4 > 1 THEN concat('p', c_custkey) ELSE '' END AS president, CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority END AS secretaire, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.operators import retrieval, search, selection
+from minuteloom.operators import index, retrieval, search, selection
 from minuteloom.plans import adapters as A
 from minuteloom.plans.registry import COLUMNS, ORDER, SCORE, P, points, query, view
 from minuteloom.sources import files
@@ -86,3 +86,17 @@ def st1_ingest_stream(spark, sf_dir):
             x.filter(F.col("partkey") % 2 == part).write.mode("append").parquet(f"{folder}/in")
         ingest_stream(spark, f"{folder}/in", f"{folder}/table", f"{folder}/progress", x.schema, ["meeting", "sp"], ORDER, COLUMNS)
     return latest(spark, f"{folder}/table", x.schema).select("meeting", "sp", "partkey", "suppkey")
+
+
+# --- the index
+@query(f"WITH c AS ({A.CHUNKS}) SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM c UNION ALL SELECT -id - 1, 'new' FROM c WHERE id % 3 = 0")
+def s6_upsert_index(spark, sf_dir):
+    """Records put into a bucketed index in two steps, the second one twice."""
+    x = view(spark, sf_dir, A.CHUNKS).select("id")
+    new = x.filter("id % 3 = 0").withColumn("v", F.lit("new"))
+    folder = files.scratch_folder(spark, "index")
+    name = folder.rpartition("/")[2].replace("-", "_")
+    index.upsert_index(spark, name, folder, x.withColumn("v", F.lit("old")), 8)
+    for _ in range(2):
+        index.upsert_index(spark, name, folder, new.unionByName(new.withColumn("id", -F.col("id") - 1)))
+    return index.open_index(spark, name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_stored import plan_of
 
 from minuteloom.functions import text
-from minuteloom.operators import quantiles, stats, themes, video
+from minuteloom.operators import index, meetings, quantiles, stats, themes, video
 from minuteloom.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -93,3 +93,47 @@ def test_facets_take_one_scan(spark):
     assert plan.count("Scan parquet") == plan_of(x).count("Scan parquet")
     got = {(r.facet, r.value): r.n for r in stats.facet_counts(x, None, None, "nobody").collect()}
     assert got["person", "nobody"] == 0 and all(f == "person" for f, _ in got)
+
+
+def test_a_long_video_is_aligned_in_stretches(spark):
+    r = random.Random(7)
+    chapters = [("long", i, r.choice([r.randint(0, 90_000), 100 * r.randint(0, 900)])) for i in range(300)] + [("short", 1000, 5), ("none", 1001, None), ("late", 1002, 80_000)]
+    segments = [("long", i, float(r.randint(0, 90_000))) for i in range(20_000)] + [("short", 1, 4.0), ("short", 2, 5.0), ("short", 3, 70_000.5), ("none", 4, 1.0), ("late", 5, 10.0), ("other", 6, 1.0), ("long", -1, None)]
+    want = {}
+    for v in {v for v, *_ in segments}:
+        own = sorted((s, c) for w, c, s in chapters if w == v and s is not None)
+        for w, i, t in segments:
+            if w == v and t is not None and (on := [c for s, c in own if s <= t]):
+                want[v, i] = on[-1]
+    frames = spark.createDataFrame(chapters, "video_id string, chapter int, start_s int"), spark.createDataFrame(segments, "video_id string, segment int, t double")
+    for width in (60.0, 1800.0, 1e9):
+        got = video.align_transcript(*frames, width).collect()
+        assert len(got) == len(want) and {(x.video_id, x.segment): x.chapter for x in got} == want
+
+
+def test_the_index_stays_where_it_is(spark, tmp_path):
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id string, v string")
+    ids = [f"PV-{i}_SP{i % 7}" for i in range(500)]
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert index.upsert_index(spark, "held_index", str(tmp_path), rows(ids + [None], "old"), 8) == 0
+    new = rows([*ids[:20], *ids[:3], "added", None], "new")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(index.index_upserts(index.open_index(spark, "held_index"), new.repartition(8, "id")))
+        tree = plan[: plan.index("\n\n\n")] if "\n\n\n" in plan else plan
+        assert tree.count("Exchange") == 2 and "Bucketed: true" in plan  # the new records' keys and the new records
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+    for version in (1, 2, 3):
+        assert index.upsert_index(spark, "held_index", str(tmp_path), new) == version
+        got = {(r.id, r.v) for r in index.open_index(spark, "held_index").collect()}
+        assert got == {(i, "new") for i in [*ids[:20], "added"]} | {(i, "old") for i in ids[20:]} and index.open_index(spark, "held_index").count() == 501
+    assert len(list(tmp_path.iterdir())) == 2  # older versions are gone
+
+
+def test_targets_by_part_of_a_name(spark):
+    files = [("pv-2020-01-29.pdf", "2020-01-29", "/a"), ("pv-2020-02-26.pdf", "2020-02-26", "/b"), ("notulen.pdf", None, "/c"), ("pv-2020-02-26-bis.pdf", "2020-02-26", "/0"), ("x", None, "/x")]
+    want = {"notulen.pdf": "/c", "2020-02-26": "/0", "2020-01": "/a", "pdf": "/c", "bis": "/0", "x": "/x", "zz": None, "no": "/c", "2": "/a", "": None, None: None, "pv-2020-02-26.pdf ": None}
+    targets = spark.createDataFrame([(t,) for t in [*want, "bis"]], "target string")
+    got = meetings.resolve_targets(targets, spark.createDataFrame(files, "name string, date string, path string").withColumn("date", F.col("date").cast("date")))
+    assert {r.target: r.path for r in got.collect()} == want and got.count() == len(want)
