@@ -1,12 +1,12 @@
-"""Exact top-k search by inner product with an M-tree: paged metric nodes and best-first search.
+"""Exact top-k search by inner product with an M-tree: paged metric nodes, covering radii and best-first search.
 
-Inner products become distances: each vector gets one more component that brings all to the length of the
-longest, so a query's nearest vectors are those of the highest products. Routing vectors divide the space;
-below each lie extents of pages, filled by the stored distance to the routing vector, with the range of
-those distances as covering radii. A query asks extents by their least possible distance: first the few
-nearest ones, then, with the k-th product found there as its bar, those that the bar admits; no other vectors
-move. Within an extent it visits pages the same way, and the triangle inequality over stored distances passes
-over vectors whose distance needs no computing."""
+A node covers its vectors with a ball: a pivot p and a radius r, so that no product with a query q is over q.p + |q|r. There are three
+levels: routing pivots, fitted on a sample, divide the vectors into regions; a region is dealt into nodes of bounded size; a node
+holds pages, got by halving it across its widest direction until a page is full. Nodes and pages have pivots and radii of their own.
+
+A query asks its most promising nodes first, then, with the k-th product found there as its bar, those whose bound reaches it. Within
+a node it visits pages by their bounds, the best first; in a page the stored distances d of vectors to the page's pivot pass over
+all with q.p + |q|d under the bar, without computing their products."""
 
 from __future__ import annotations
 
@@ -19,15 +19,14 @@ from pyspark.sql import functions as F
 
 from minuteloom.llm.common import few, session, stored
 
-#: Bounds: routing vectors, vectors of a page, queries that are searched together in one copy of an extent.
-ROUTES = 2048
-PAGE = 256
-BLOCK = 1024
-#: Pages of an extent, at least, and about so many extents at most: each query is held against the list of them.
-EXTENT, EXTENTS = 8, 50_000
-FIRST = 3  # extents that a query asks before its bar is known
-BUCKETS = 64
-SLACK = 1e-6
+#: Vectors of a page, vectors of a node, rows that the routing pivots are fitted on, most pivots, most nodes (they grow beyond).
+PAGE, NODE, SAMPLE, ROUTES, NODES = 128, 8192, 16_384, 2048, 50_000
+ROUTING = 0.5  # routing pivots for the square root of the vectors
+#: Queries that are searched together in one copy of a node, and in memory at once; nodes that a query asks before its bar is known.
+COPY, BLOCK, FIRST = 65_536, 256, 2
+SLACK = 1e-9
+#: What a node is stored as.
+PACKED = ("ids", "vectors", "dist", "ends", "pivots")
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -50,182 +49,209 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def lifted(v: np.ndarray, top: float) -> np.ndarray:
-    return np.concatenate([v, np.sqrt(np.maximum(0.0, top - (v * v).sum(axis=1)))[:, None]], axis=1)
-
-
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between the rows of both."""
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
     return np.sqrt(np.maximum(0.0, d))
 
 
+def routing_pivots(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """k-means over a sample, begun with rows spread over it; fewer pivots where rows coincide."""
+    rows = np.unique(sample, axis=0)
+    pivots = rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int)]
+    for _ in range(rounds):
+        own = apart(rows, pivots).argmin(axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, own, rows)
+        counts = np.bincount(own, minlength=len(pivots))[:, None]
+        pivots = np.where(counts > 0, sums / np.maximum(counts, 1), pivots)
+    return pivots
+
+
+def ball(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pivot of vectors, their mean, and the distance of each to it."""
+    pivot = v.mean(axis=0)
+    return pivot, np.sqrt(((v - pivot) ** 2).sum(axis=1))
+
+
+def pages_of(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Row numbers of pages of ``most`` vectors or fewer: halves by rank along the line between two far vectors."""
+    open_ = [np.arange(len(v))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= most:
+            yield rows
+            continue
+        x = v[rows]
+        a = x[ball(x)[1].argmax()]
+        b = x[((x - a) ** 2).sum(axis=1).argmax()]
+        order = np.argsort(x @ (b - a), kind="stable")
+        open_ += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+
+
+class Node:
+    """A node as it lies in the tree: its pages one after the other, the vectors of each by distance to its pivot, the farthest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dist: np.ndarray, ends: np.ndarray, pivots: np.ndarray):
+        self.ids, self.vectors, self.dist, self.ends, self.pivots = ids, vectors, dist, ends, pivots
+        self.starts = np.r_[0, ends[:-1]]
+        self.radii = dist[self.starts]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, v: np.ndarray, page: int = PAGE) -> Node:
+        order, dist, ends, pivots = [], [], [], []
+        for rows in pages_of(v, page):
+            pivot, d = ball(v[rows])
+            far = np.argsort(-d, kind="stable")
+            order.append(rows[far])
+            dist.append(d[far])
+            ends.append(len(rows))
+            pivots.append(pivot)
+        at = np.concatenate(order)
+        return cls(ids[at], v[at], np.concatenate(dist), np.cumsum(ends), np.array(pivots))
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+        """Of each query the k highest products here, none below its ``floor``; and how many products that took."""
+        length = np.sqrt((q * q).sum(axis=1))
+        centre = q @ self.pivots.T
+        highest = centre + length[:, None] * self.radii
+        order = np.argsort(-highest, axis=1, kind="stable")
+        eps = SLACK * (1 + np.abs(highest).max(initial=0.0))
+        found, scores = [np.zeros(0, np.int64)] * len(q_ids), [np.zeros(0)] * len(q_ids)
+        bar, active, seen = floor.astype(float).copy(), np.arange(len(q_ids)), 0
+        for step in range(len(self.ends)):
+            active = active[highest[active, order[active, step]] >= bar[active] - eps]
+            if not len(active):
+                break
+            at = order[active, step]
+            for page in np.unique(at):
+                who, start, end = active[at == page], self.starts[page], self.ends[page]
+                # a vector nearer to the pivot than this cannot reach the bar
+                least = (bar[who] - eps - centre[who, page]) / np.where(length[who] > 0, length[who], 1)
+                least = least.min() if (length[who] > 0).all() else -np.inf
+                stop = start + np.searchsorted(-self.dist[start:end], -least, side="right")
+                s = q[who] @ self.vectors[start:stop].astype(float).T
+                seen += s.size
+                ids = self.ids[start:stop]
+                for row, i in zip(s, who):
+                    keep = np.flatnonzero((row >= bar[i]) & (ids != q_ids[i]))
+                    if len(keep):
+                        found[i], scores[i] = best(np.r_[found[i], ids[keep]], np.r_[scores[i], row[keep]], k)
+                        if len(scores[i]) == k:
+                            bar[i] = max(bar[i], scores[i][-1])
+        return found, scores, seen
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest scores, ties to smaller ids."""
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
 
-class Node:
-    """A page as it lies in the tree."""
-
-    def __init__(self, route: int, ids: np.ndarray, vectors: np.ndarray, parent: np.ndarray):
-        order = np.argsort(parent, kind="stable")
-        self.route, self.ids, self.vectors, self.parent = route, ids[order], vectors[order], parent[order]
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, nodes: list[Node], routes: np.ndarray, top: float, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each query the k highest products among the nodes, no need for those below its ``floor``."""
-    lengths = (q * q).sum(axis=1)
-    d = apart(np.concatenate([q, np.zeros((len(q), 1))], axis=1), routes)  # a query's further component is 0
-    least = np.stack([np.maximum(0.0, np.maximum(d[:, n.route] - n.parent[-1], n.parent[0] - d[:, n.route])) for n in nodes], axis=1)
-    highest = (lengths[:, None] + top - least * least) / 2  # the highest product that a page can hold
-    order = np.argsort(least, axis=1, kind="stable")
-    found = [np.zeros(0, np.int64) for _ in q_ids]
-    scores = [np.zeros(0) for _ in q_ids]
-    bar = floor.astype(float).copy()
-    eps = SLACK * (1 + top + lengths.max(initial=0.0))
-    active = np.arange(len(q_ids))
-    for step in range(len(nodes)):
-        active = active[highest[active, order[active, step]] >= bar[active] - eps]
-        if not len(active):
-            break
-        at = order[active, step]
-        for page in np.unique(at):
-            n, who = nodes[page], active[at == page]
-            # stored distances: a vector no nearer than the bar allows is passed over
-            reach = np.sqrt(np.maximum(0.0, lengths[who] + top - 2 * (bar[who] - eps)))
-            low = np.searchsorted(n.parent, (d[who, n.route] - reach).min() - SLACK)
-            high = np.searchsorted(n.parent, (d[who, n.route] + reach).max() + SLACK, side="right")
-            s = q[who] @ n.vectors[low:high].T
-            for row, i in zip(s, who):
-                keep = np.flatnonzero((row >= bar[i]) & (n.ids[low:high] != q_ids[i]))
-                if len(keep):
-                    found[i], scores[i] = best(np.r_[found[i], n.ids[low:high][keep]], np.r_[scores[i], row[keep]], k)
-                    if len(scores[i]) == k:
-                        bar[i] = max(bar[i], scores[i][-1])
-    return found, scores
-
-
 def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` the k rows of the highest integer
     products, ties to smaller ids; all rows, if fewer.
 
     Null vectors, vectors with null or non-finite components and null ids take no part. Shorter vectors count as
-    filled with zeros. Rows with the query's id are its own; other repeated rows each take a rank."""
+    filled with zeros. Rows with the query's id are its own; other repeated rows each take a rank. Of queries of one id that
+    with the least vector asks."""
     spark = session(vectors)
     v = F.col(vector_col)
     rows = stored(vectors.filter(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), quantised(v, scale).alias("v")), "vectors")
-    width, top, n, n_queries = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    width, n, peak, n_queries = rows.agg(F.max(F.size("v")), F.count("*"), F.max(F.array_max(F.transform("v", F.abs))), F.count_if(F.col("id") % every == 0)).first()
     schema = f"query_id long, rank int, {id_col} long, score long"
-    if not n or not n_queries:
+    if not n or not n_queries or not width:
         return spark.createDataFrame([], schema)
-    n_routes = int(min(ROUTES, max(16, n // (PAGE * EXTENT))))
-    drawn = rows.orderBy(F.xxhash64("id", "v"), "id").limit(n_routes).toArrow()
-    route_ids = drawn["id"].to_numpy()
-    routes_v = matrix(drawn["v"].combine_chunks(), width)
-    routes = lifted(routes_v, top)
+    kind = "f4" if peak < 1 << 24 else "f8"  # whole numbers that both hold exactly
+    per_node = max(NODE, -(-n // NODES))
+    drawn = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()
+    routes = routing_pivots(matrix(drawn["v"].combine_chunks(), width), int(min(ROUTES, max(4, round(ROUTING * n**0.5)))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = apart(lifted(matrix(b.column(1), width), top), routes)
-            route = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(route), pa.array(d[np.arange(len(route)), route])], ["id", "v", "route", "parent"])
-
-    placed = stored(rows.mapInArrow(assign, "id long, v array<double>, route long, parent double"), "placed")
-    # pages of a route hold neighbouring distances; a bucket of equal ones is dealt by id
-    shape = placed.groupBy("route").agg(F.least(F.ceil(F.count("*") / PAGE), F.lit(BUCKETS)).alias("pages"), F.percentile_approx("parent", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("at"))
-    bucket = F.size(F.filter("at", lambda x: x < F.col("parent")))
-    paged = placed.join(F.broadcast(shape), "route").withColumn("page", F.floor(bucket * F.col("pages") / BUCKETS)).drop("pages", "at")
-    subs = paged.groupBy("route", "page").agg(F.ceil(F.count("*") / PAGE).alias("subs"))
-    paged = paged.join(few(subs), ["route", "page"]).withColumn("sub", F.pmod(F.xxhash64("id", "v"), "subs")).drop("subs")
-    extent = max(EXTENT, -(-n // (PAGE * EXTENTS)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(apart(matrix(b.column(1), width), routes).argmin(axis=1))], ["id", "v", "route"])
+
+    placed = stored(rows.mapInArrow(assign, "id long, v array<double>, route long"), "placed")
+    parts = np.ones(len(routes), np.int64)
+    for r in placed.groupBy("route").count().collect():  # a row for each pivot
+        parts[r.route] = -(-r["count"] // per_node)
+    part = F.pmod(F.xxhash64("id", "v"), F.element_at(F.array(*(F.lit(int(x)) for x in parts)), (F.col("route") + 1).cast("int")))
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.argsort(t["parent"].to_numpy(), kind="stable")
-        m, parent = matrix(t["v"].combine_chunks(), width)[order], t["parent"].to_numpy()[order]
-        return pa.table({
-            "route": [key[0].as_py()], "page": [key[1].as_py()], "sub": [key[2].as_py()], "ids": [t["id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()], "parent": [parent.tobytes()], "lo": [parent[0]], "hi": [parent[-1]],
-        })
-
-    made = paged.groupBy("route", "page", "sub").applyInArrow(build, "route long, page long, sub long, ids binary, vectors binary, parent binary, lo double, hi double")
-    nodes = stored(made.withColumn("ext", F.struct("route", F.floor(F.col("page") / extent).alias("page"), F.floor(F.col("sub") / extent).alias("sub"))).drop("page", "sub"), "nodes")
-    rings = nodes.groupBy("ext").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("ext.*", "lo", "hi").orderBy("route", "page", "sub").toArrow()
-    ring_route, ring_page, ring_sub, lo, hi = (rings[c].to_numpy() for c in ("route", "page", "sub", "lo", "hi"))
-
-    def first_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, q = b.column(0).to_numpy(), matrix(b.column(1), width)
-            s = q @ routes_v.T
-            s[ids[:, None] == route_ids] = -np.inf
-            bar = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(ids), -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar)], ["id", "v", "bar"])
+        m = matrix(t["v"].combine_chunks(), width)
+        node, (pivot, d) = Node.of(t["id"].to_numpy(), m), ball(m)
+        packed = (node.ids, node.vectors.astype(kind), node.dist, node.ends.astype(np.int64), node.pivots)
+        return pa.table({"route": [key[0].as_py()], "part": [key[1].as_py()], **{c: [x.tobytes()] for c, x in zip(PACKED, packed)}, "pivot": [pivot], "radius": [d.max()]})
+
+    nodes = stored(placed.withColumn("part", part).groupBy("route", "part").applyInArrow(build, f"route long, part long, {', '.join(f'{c} binary' for c in PACKED)}, pivot array<double>, radius double"), "nodes")
+    told = nodes.select("route", "part", "pivot", "radius").orderBy("route", "part").toArrow()  # a row for each node, NODES at most
+    of_route, of_part, radius = (told[c].to_numpy() for c in ("route", "part", "radius"))
+    pivots = matrix(told["pivot"].combine_chunks(), width)
 
-    def asks(of: DataFrame, wave: int) -> DataFrame:
-        """(id, v, bar, route, page, sub): the extents that the bar of a query admits: the FIRST nearest (wave 0) or the others."""
+    def asks(of: DataFrame, first: bool) -> DataFrame:
+        """A query with the nodes that it asks: the FIRST most promising ones, or of the others those whose bound reaches its bar."""
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q, bar = matrix(b.column(1), width), b.column(2).to_numpy()
-                lengths = (q * q).sum(axis=1)
-                d = apart(np.concatenate([q, np.zeros((len(q), 1))], axis=1), routes)[:, ring_route]
-                least = np.maximum(0.0, np.maximum(d - hi, lo - d))
-                highest = (lengths[:, None] + top - least * least) / 2
-                rank = np.argsort(np.argsort(least, axis=1, kind="stable"), axis=1)
-                chosen = (highest >= bar[:, None] - SLACK * (1 + top + lengths[:, None])) & ((rank < FIRST) == (wave == 0))
-                i, j = np.nonzero(chosen)
-                for at in range(0, len(i), 4096):
-                    x, y = pa.array(i[at : at + 4096]), j[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(x), b.column(1).take(x), b.column(2).take(x), pa.array(ring_route[y]), pa.array(ring_page[y]), pa.array(ring_sub[y])], ["id", "v", "bar", "route", "page", "sub"])
-
-        return of.mapInArrow(choose, "id long, v array<double>, bar double, route long, page long, sub long")
-
-    blocks = -(-n_queries // BLOCK)
-
-    def searched(asked: DataFrame) -> DataFrame:
-        """(query_id, id, score): what each query finds in the extents that it asks."""
-        x = stored(asked.select(F.struct("route", "page", "sub").alias("ext"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).alias("block"), "id", "v", "bar"), "asks")
-        none = lambda t: F.lit(None).cast(t)
-        wanted = x.select("ext", "block").distinct()
-        held = nodes.join(few(wanted), "ext").select("ext", "block", F.lit(0).alias("kind"), none("long").alias("id"), none("array<double>").alias("v"), none("double").alias("bar"), "route", "ids", "vectors", "parent")
-        told = x.select("ext", "block", F.lit(1).alias("kind"), "id", "v", "bar", none("long").alias("route"), none("binary").alias("ids"), none("binary").alias("vectors"), none("binary").alias("parent"))
+            for whole in batches:
+                size = max(1, 1_000_000 // len(radius))
+                for b in (whole.slice(x, size) for x in range(0, whole.num_rows, size)):
+                    q, bar = matrix(b.column("v"), width), b.column("bar").to_numpy()
+                    highest = q @ pivots.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius
+                    ahead = np.argsort(-highest, axis=1, kind="stable")[:, :FIRST]
+                    chosen = np.zeros(highest.shape, bool)
+                    np.put_along_axis(chosen, ahead, True, axis=1)
+                    if not first:
+                        chosen = ~chosen & (highest * (1 + SLACK) + SLACK >= bar[:, None])
+                    i, j = np.nonzero(chosen)
+                    for at in range(0, len(i), 4096):
+                        y = j[at : at + 4096]
+                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(i[at : at + 4096])).columns, pa.array(of_route[y]), pa.array(of_part[y])], ["id", "v", "bar", "route", "part"])
+
+        return of.mapInArrow(choose, "id long, v array<double>, bar double, route long, part long")
+
+    place, copies = ["route", "part", "copy"], max(1, n_queries // COPY)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+
+    def searched(of: DataFrame, first: bool) -> DataFrame:
+        """(query_id, id, score): what each query finds in the nodes that it asks."""
+        x = stored(asks(of, first).withColumn("copy", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(copies))), "asks")
+        held = nodes.join(few(x.select(*place).distinct()), ["route", "part"]).select(*place, F.lit(0).alias("step"), none("id", "long"), none("v", "array<double>"), none("bar", "double"), *PACKED)
+        put = x.select(*place, F.lit(1).alias("step"), "id", "v", "bar", *(none(c, "binary") for c in PACKED))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, pages, waiting = None, [], []
+            now, node, waiting = None, None, []
 
             def answer() -> Iterator[pa.RecordBatch]:
-                if waiting and pages:
-                    ids = np.array([w[0] for w in waiting])
-                    found, scores = search(ids, np.array([w[1] for w in waiting]), pages, routes, top, k, np.array([w[2] for w in waiting]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.int64))], ["query_id", "id", "score"])
+                ids = np.array([w[0] for w in waiting])
+                found, scores, _ = node.search(ids, np.array([w[1] for w in waiting]), np.array([w[2] for w in waiting]), k)
                 waiting.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.int64))], ["query_id", "id", "score"])
 
             for b in batches:
-                col = {c: b.column(c) for c in ("ext", "block", "kind", "id", "bar", "route", "ids", "vectors", "parent")}
-                keys = list(zip(*(col["ext"].field(c).to_pylist() for c in range(3)), col["block"].to_pylist()))
-                kinds, qs, bars, rs = (col[c].to_pylist() for c in ("kind", "id", "bar", "route"))
-                v = matrix(b.column("v").fill_null([]), width)
+                keys = list(zip(*(b.column(c).to_pylist() for c in place)))
+                steps, ids, bars = (b.column(c).to_pylist() for c in ("step", "id", "bar"))
+                vs = matrix(b.column("v").fill_null([]), width)
                 for i, key in enumerate(keys):
-                    if key != now:
+                    if waiting and (key != now or len(waiting) >= BLOCK):
                         yield from answer()
-                        now, pages = key, []
-                    if kinds[i] == 0:
-                        x, y, p = (np.frombuffer(col[c][i].as_buffer(), t) for c, t in (("ids", np.int64), ("vectors", np.float64), ("parent", np.float64)))
-                        pages.append(Node(rs[i], x, y.reshape(-1, width), p))
-                    else:
-                        waiting.append((qs[i], v[i].copy(), bars[i]))
-                        if len(waiting) >= BLOCK:
-                            yield from answer()
-            yield from answer()
-
-        return held.unionByName(told).repartition("ext", "block").sortWithinPartitions("ext", "block", "kind").mapInArrow(run, "query_id long, id long, score long")
+                    if steps[i] == 0:
+                        now = key
+                        own, m, d, ends, p = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(PACKED, (np.int64, kind, float, np.int64, float)))
+                        node = Node(own, m.reshape(-1, width), d, ends, p.reshape(-1, width))
+                    elif key == now:
+                        waiting.append((ids[i], vs[i].copy(), bars[i]))
+            if waiting:
+                yield from answer()
+
+        return held.unionByName(put).repartition(*place).sortWithinPartitions(*place, "step").mapInArrow(run, "query_id long, id long, score long")
 
     def best_of(df: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return df.withColumn("rank", place).filter(F.col("rank") <= k)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    queries = stored(rows.filter(F.col("id") % every == 0).mapInArrow(first_bars, "id long, v array<double>, bar double"), "queries")
-    near = stored(best_of(searched(asks(queries, 0))), "nearest")
+    queries = stored(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("bar", F.lit(float("-inf"))), "queries")
+    near = stored(best_of(searched(queries, True)), "nearest")
     bars = near.filter(F.col("rank") == k).groupBy(F.col("query_id").alias("id")).agg(F.max("score").cast("double").alias("got"))
-    rest = queries.join(bars, "id", "left").select("id", "v", F.greatest("bar", F.coalesce("got", "bar")).alias("bar"))
-    out = best_of(near.drop("rank").unionByName(searched(asks(rest, 1))))
+    rest = queries.join(bars, "id", "left").select("id", "v", F.coalesce("got", "bar").alias("bar"))
+    out = best_of(near.drop("rank").unionByName(searched(rest, False)))
     return out.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
