@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from minuteloom.functions import dates, text
 from minuteloom.operators import chapters, collect, meetings, merge, normalize, people, retrieval, selection, stats, themes
 from minuteloom.plans import adapters as A
-from minuteloom.plans.registry import CANON, FACETS, LINKS, NAME_DATE, P, TREND, faceted, points, query, search_points, view
-from minuteloom.plans.views import filmed
+from minuteloom.plans.registry import CANON, FACETS, LINKS, NAME_DATE, P, RECORDS, TREND, faceted, points, query, search_points, view
+from minuteloom.plans.views import CHUNKED, filmed
 from minuteloom.sources import files
 
 IDS = ("meeting", "sp", "partkey", "suppkey")
@@ -403,12 +403,11 @@ def io7_parse_vtt(spark, sf_dir):
     return files.parse_vtt(x.groupBy(F.col("conv_id").alias("video_id")).agg(F.concat(F.lit("WEBVTT\n\n"), body).alias("content"))).drop("ord")
 
 
-@query(f"SELECT 'pv' AS source_type, CASE WHEN suppkey % 3 = 0 THEN 'home' ELSE commune END AS commune, count(*) AS records, count(*) FILTER (montant <> 0) AS with_amount FROM ({A.POINTS}) GROUP BY ALL UNION ALL SELECT 'video_conseil', 'home', count(*) + count(*) FILTER (trim(text) <> '') + count(*) FILTER (turn % 2 = 0), 0 FROM conversations")
+@query(CHUNKED + f"SELECT id, 'video_conseil' AS source_type, 'home' AS commune, 0::DOUBLE AS montant_eur FROM r UNION ALL SELECT meeting_id || '_SP' || sp, 'pv', CASE WHEN suppkey % 3 = 0 THEN 'home' ELSE commune END, montant::DOUBLE FROM ({RECORDS})")
 def io3_load_chunks_source(spark, sf_dir):
     p = search_points(spark, sf_dir).withColumn("commune", F.when(F.col("suppkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("commune"))))
     records = p.withColumn("date", F.col("date").cast("string")).unionByName(filmed(spark, sf_dir).withColumn("commune", F.lit("Elsewhere")), allowMissingColumns=True)
-    x = retrieval.load_chunks_source(records, " Home ")
-    return x.groupBy("source_type", "commune").agg(F.count("*").alias("records"), F.count_if(F.col("montant_eur") != 0).alias("with_amount"))
+    return retrieval.load_chunks_source(records, " Home ").select("id", "source_type", "commune", "montant_eur")
 
 
 # --- collection

@@ -433,10 +433,12 @@ def a14_score_bands(spark, sf_dir):
     return retrieval.score_bands(hits.join(scope, "question"))
 
 
-@query(SEARCH + ", k AS (SELECT threshold, question, in_scope, count(*) FILTER (score >= threshold) AS kept FROM (SELECT * FROM r WHERE rank <= 20), (SELECT unnest([0.1, 0.2, 0.3, 0.4])::DOUBLE AS threshold) GROUP BY ALL) SELECT threshold, round(avg(kept) FILTER (in_scope), 6) AS mean_kept, count(*) FILTER (NOT in_scope AND kept > 0) AS off_topic FROM k GROUP BY 1")
+@query(SEARCH + """, h AS (SELECT * FROM r WHERE rank <= 20), g AS (SELECT round(min(score), 3) AS lo, max(score) AS hi, greatest(0.01, round((max(score) - min(score)) / 12, 3)) AS step FROM h),
+  t AS (SELECT round(lo + i * step, 3) AS threshold FROM g, (SELECT unnest(range(0, 300)) AS i) WHERE round(lo + i * step, 3) <= hi),
+  k AS (SELECT threshold, question, in_scope, count(*) FILTER (score >= threshold) AS kept FROM h, t GROUP BY ALL) SELECT threshold, round(avg(kept) FILTER (in_scope), 6) AS mean_kept, count(*) FILTER (NOT in_scope AND kept > 0) AS off_topic FROM k GROUP BY 1""")
 def a15_retention_by_threshold(spark, sf_dir):
     hits, scope = searched(spark, sf_dir, 20)
-    return retrieval.retention_by_threshold(hits.join(scope, "question"), [0.1, 0.2, 0.3, 0.4])
+    return retrieval.retention_by_threshold(hits.join(scope, "question"), retrieval.threshold_grid(hits))
 
 
 @query(SEARCH + "SELECT question, string_agg(id::VARCHAR, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY 1")
