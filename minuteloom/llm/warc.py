@@ -1,15 +1,19 @@
 """WARC archives: a writer that stores equal payloads once, and a sequential reader.
 
 Archives are written by Spark's own text sink, so they reach any store that Spark writes to and survive
-lost tasks: a row is a gzip member without its last byte, and the line separator is that byte. The last
-byte of a member is the high byte of its length, 0 for records under 16 MB; a longer record is followed
-by an empty member, which ends in 0."""
+lost tasks: a task writes one archive, a row is a gzip member without its last byte, and the line separator
+is that byte. The last byte of a member is the high byte of its length, 0 for records under 16 MB; a longer
+record is followed by an empty member, which ends in 0.
+
+Every member begins with the ten bytes of HEAD, which no member holds a second time. So archives can be read
+by ranges: Spark's text source cuts a file at HEAD wherever its splits fall, and a task reads its range record
+by record, with one record in memory. Archives from elsewhere are read whole files at a time."""
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,20 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import few, session
+from minuteloom.llm.common import session
 
 LEAST_BYTES = 100  # smaller payloads are always stored
-RECORDS_PER_ARCHIVE = 2000
-LARGE_BYTES = 1 << 16  # larger payloads have an archive each, so that none grows past RECORDS_PER_ARCHIVE * LARGE_BYTES
+REPEATED_DIGESTS = 100_000  # up to as many repeated digests are broadcast; beyond it they are joined by hash
+SALTS = 32  # parts of a digest's rows in that join
 READ_BYTES = 1 << 16
-EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+BATCH_BYTES = 4 << 20
+HEAD = bytes.fromhex("1f8b08000000000000ff")  # gzip, deflate, no flags, no time, no named system
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, length: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP head of the response it stands for, without the payload."""
-    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     kind, more = "response", ""
     if refers_to is not None:
         kind, more = "revisit", f"WARC-Refers-To: <urn:page:{refers_to}>\r\nWARC-Profile: {PROFILE}\r\n"
@@ -46,41 +51,68 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return head.encode() + body + b"\r\n\r\n"
 
 
+def gzip_member(data: bytes, level: int = 6) -> bytes:
+    """``data`` as one gzip member that begins with HEAD and holds it nowhere else."""
+    for at in (level, *range(1, 10)):
+        out = HEAD + zlib.compress(data, at, wbits=-15) + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+        if out.find(HEAD, 1) < 0:
+            return out
+    raise ValueError("a record holds the head of a gzip member at every level of compression")
+
+
+EMPTY_MEMBER = gzip_member(b"")
+
+
 def line(member: bytes) -> bytes:
     return member[:-1] if member[-1] == 0 else member + EMPTY_MEMBER[:-1]
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """(id, url, payload, digest, refers_to): the first record of equal payloads of ``least`` bytes or more is kept whole.
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES, most: int = REPEATED_DIGESTS) -> DataFrame:
+    """(id, url, payload, bytes, digest, refers_to): the first record of equal payloads of ``least`` bytes or more is kept
+    whole, the payload of others, which refer to it, is null.
 
-    Null payloads are empty. Rows that share the smallest id are all kept whole; a null id is never referred to."""
+    Null payloads are empty. Rows that share the smallest id are all kept whole; a null id is never referred to. Up to
+    ``most`` repeated digests are broadcast. Beyond it, digests, ids and urls alone meet the first ids, each digest in
+    SALTS parts, and payloads are shuffled once, by id and digest, to leave out those that refer; short ones stay in place."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.octet_length("payload") >= least)
-    first = rows.filter("long").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("key"), "first")
-    # small payloads match nothing; where digests are joined by hash, a key of their own spreads them
-    rows = rows.withColumn("key", F.when(F.col("long"), F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit("")))))
+    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    long = F.col("bytes") >= least
+    first = rows.filter(long).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(few(first), "key", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    columns = ["id", "url", "payload", "bytes", "digest", "refers_to"]
+    if first.limit(most + 1).count() <= most:
+        found = rows.join(F.broadcast(first), "digest", "left").withColumn("refers_to", F.when(long, refers))
+        return found.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).select(columns)
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    narrow = rows.filter(long).drop("payload").withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    revisits = narrow.join(salted, ["digest", "salt"]).withColumn("refers_to", refers).filter("refers_to is not null").withColumn("payload", F.lit(None).cast("binary"))
+    gone = revisits.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    kept = rows.filter(long).join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
+    whole = kept.unionByName(rows.filter(~long)).withColumn("refers_to", F.lit(None).cast("long"))
+    return whole.select(columns).unionByName(revisits.select(columns))
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = 6, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write a record per row, one gzip member each, into archives of ``records_per_archive`` records at most; payloads of over
-    LARGE_BYTES have one each.
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = 6, most: int = REPEATED_DIGESTS) -> None:
+    """Write a record per row, one gzip member each; a task writes one archive, so there are as many as the table has splits.
 
-    An empty table leaves a folder without records. Other columns take no part; repeated rows are repeated records. A reader
-    needs one archive in memory, so a payload has to be under 2 GB."""
+    An empty table leaves a folder without records. Other columns take no part; repeated rows are repeated records. A record
+    is held whole in memory, in the writer as in the reader, so a payload has to be under 2 GB."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [line(gzip.compress(record(r["id"], r["url"], r["payload"], r["digest"], r["refers_to"]), level, mtime=0)) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+            held, size = [], 0
+            for r in b.to_pylist():
+                held.append(line(gzip_member(record(r["id"], r["url"], r["payload"], r["bytes"], r["digest"], r["refers_to"]), level)))
+                size += len(held[-1])
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["member"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["member"])
 
     session(pages)
-    rows = plan_records(pages, id_col, url_col, payload_col)
-    large = (F.octet_length("payload") > LARGE_BYTES) & F.col("refers_to").isNull()
-    for part, most in ((rows.filter(~large), records_per_archive), (rows.filter(large), 1)):
-        lines = part.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
-        lines.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", most).text(folder)
+    lines = plan_records(pages, id_col, url_col, payload_col, most=most).mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
+    lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", 0).text(folder)
 
 
 @dataclass
@@ -108,7 +140,10 @@ def read_members(chunks: Iterator[bytes]) -> Iterator[Record]:
                 return
         stream, held, head, want = zlib.decompressobj(wbits=31), bytearray(), None, 0
         while not stream.eof:
-            held += stream.decompress(rest)
+            try:
+                held += stream.decompress(rest)
+            except zlib.error as e:
+                raise ValueError("a member is not in gzip's format") from e
             rest = stream.unused_data
             if head is None and (end := held.find(b"\r\n\r\n")) >= 0:
                 head = bytes(held[: end + 2])
@@ -147,28 +182,45 @@ def parsed(r: Record) -> dict:
     }
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """A row per record. verified: the stored payload has the length and SHA-256 that its head states (revisits store none)."""
+def pieces(content: memoryview) -> Iterator[bytes]:
+    for i in range(0, len(content), READ_BYTES):
+        yield bytes(content[i : i + READ_BYTES])
+
+
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, by_ranges: bool = True) -> DataFrame:
+    """A row per record. verified: the stored payload has the length and SHA-256 that its head states (revisits store none).
+
+    ``by_ranges`` splits archives whose members all begin with HEAD, as those of ``write_archives`` do, like any text file.
+    Without it any archive of one member a record is read, whole files in a task, each in memory: under 2 GB. A member
+    that is cut or malformed raises ValueError either way."""
     session(spark)
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "verified"] + ["payload"] * with_payload
     types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "verified": pa.bool_(), "payload": pa.binary()}
     schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
 
+    def archives(column: pa.Array) -> Iterator[Iterator[bytes]]:
+        """The stretches of whole members that a batch holds, as chunks of bytes."""
+        contents = (memoryview(c.as_buffer()) for c in column)
+        if not by_ranges:
+            return (pieces(c) for c in contents)
+        return iter([(part for c in contents if len(c) for part in (HEAD, *pieces(c)))])
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                data = memoryview(content.as_buffer())
-                held, size = [], 0
-                for r in read_members(bytes(data[i : i + READ_BYTES]) for i in range(0, len(data), READ_BYTES)):
+            held, size = [], 0
+            for chunks in archives(b.column(0)):
+                for r in read_members(chunks):
                     row = parsed(r)
                     held.append({n: row[n] for n in names})
                     size += len(r.block) if with_payload else 200
-                    if size > 4 << 20:
+                    if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema)
 
     ddl = ", ".join(f"{n} {'binary' if n == 'payload' else 'boolean' if n == 'verified' else 'long' if n in types else 'string'}" for n in names)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(records, ddl)
+    if by_ranges:
+        lines = spark.read.option("lineSep", HEAD.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+        return lines.select(F.col("value").cast("binary").alias("content")).mapInArrow(records, ddl)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInArrow(records, ddl)

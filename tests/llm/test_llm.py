@@ -1,10 +1,13 @@
 """Edge cases, brute force and invariants of the training-data operators."""
 
 import gzip
+import hashlib
 import random
 import re
+import tempfile
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,25 +115,79 @@ def test_token_counts_equal_the_library(spark, docs):
     assert got == {r.doc_id: (len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in docs.collect()}
 
 
-def test_warc_round_trip(spark):
-    big = "".join(random.Random(2).choice("abcdefghij") for _ in range(warc.LARGE_BYTES + 50))
-    rows = [(3, "http://x/ä\n", big), (1, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", big + "é"), (7, "v", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit("clash"))
+def expected_references(rows):
+    """refers_to of each (id, text): the smallest id of the same text of 100 bytes or more, unless it is that id."""
+    least = {}
+    for i, t in rows:
+        if i is not None and len((t or "").encode()) >= 100:
+            least[t] = min(least.get(t, i), i)
+    n = Counter(t for _, t in rows)
+    return Counter((i, least[t] if n[t] > 1 and t in least and i != least[t] else None, (t or "").encode()) for i, t in rows)
+
+
+@pytest.mark.parametrize("most", [warc.REPEATED_DIGESTS, 0])
+@pytest.mark.parametrize("by_ranges", [True, False])
+def test_warc_round_trip(spark, most, by_ranges):
+    r = random.Random(2)
+    big = "".join(r.choice("abcdefghij") for _ in range(1 << 17))
+    copies = "copied many times " * 10
+    rows = [(3, big), (1, big), (2, "tiny"), (4, "tiny"), (5, None), (6, big + "é"), (7, big), (None, big), (8, ""), (9, "\x1f\x8b\x00" * 99)]
+    rows += [(20, "twice " * 30), (20, "twice " * 30), (21, "twice " * 30)]  # two rows of the smallest id
+    rows += [(None, "without an id " * 10)] * 2 + [(i, copies) for i in range(100, 700)]
+    pages = spark.createDataFrame([(i, f"http://x/ä\n{i}" if i else None, t) for i, t in rows], "page_id long, url string, html string").withColumn("record_type", F.lit("clash"))
     folder = new_folder(spark, "test")
-    warc.write_archives(pages, folder)
-    got = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
-    text = {i: t or "" for i, _, t in rows}
-    assert set(got) == set(text) and all(r.verified and r.payload_bytes == len(text[i].encode()) for i, r in got.items())
-    assert {i: r.refers_to for i, r in got.items()} == {1: None, 2: None, 3: 1, 4: None, 5: None, 6: None, 7: 1}
-    assert all(bytes(r.payload).decode() == text[i] for i, r in got.items() if r.record_type == "response")
+    warc.write_archives(pages, folder, most=most)
+    got = warc.read_archives(spark, folder, by_ranges=by_ranges).collect()
+    assert all(x.verified and (x.record_type == "revisit") == (x.refers_to is not None) == (x.payload is None) for x in got)
+    whole = {hashlib.sha256((t or "").encode()).hexdigest(): (t or "").encode() for _, t in rows}
+    assert all(len(whole[x.payload_digest]) == x.payload_bytes and (x.payload is None or bytes(x.payload) == whole[x.payload_digest]) for x in got)
+    assert Counter((x.page_id, x.refers_to, whole[x.payload_digest]) for x in got) == expected_references(rows)
 
 
-def test_warc_lines_are_members():
-    long = gzip.compress(b"x" * (1 << 25), 1, mtime=0)
-    for m in (gzip.compress(b"abc", mtime=0), long):
+def test_warc_archives_follow_the_splits(spark):
+    """Large pages share archives, and archives are cut at records wherever the splits of a reader fall."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1100)), lambda k: F.sha2(F.concat_ws("-", "id", k), 256))).alias("html")).repartition(3)
+    folder = new_folder(spark, "test")
+    warc.write_archives(pages, folder)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
+        read = warc.read_archives(spark, folder)
+        files = read.inputFiles()
+        got = read.select("page_id", "verified", "payload_bytes").collect()
+        parts = read.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert len(files) == 3 and parts > 30
+    assert sorted(x.page_id for x in got) == list(range(400)) and all(x.verified and x.payload_bytes == 1100 * 65 - 1 for x in got)
+
+
+def test_warc_faults_are_told(spark):
+    def archive(*members):
+        folder = tempfile.mkdtemp(dir="/tmp")
+        with open(f"{folder}/part-0.txt", "wb") as f:
+            f.write(b"".join(members))
+        return folder
+
+    good = warc.record(1, "u", b"abc", 3, hashlib.sha256(b"abc").hexdigest(), None)
+    bad = warc.record(2, "u", b"abd", 3, hashlib.sha256(b"abc").hexdigest(), None)
+    for by_ranges in (True, False):
+        got = warc.read_archives(spark, archive(warc.gzip_member(good), warc.EMPTY_MEMBER, warc.gzip_member(bad)), by_ranges=by_ranges).collect()
+        assert {x.page_id: x.verified for x in got} == {1: True, 2: False}
+        for broken in (archive(warc.gzip_member(good)[:-9]), archive(b"no archive"), archive(warc.gzip_member(good[:-6]))):
+            with pytest.raises(Exception, match="ValueError"):
+                warc.read_archives(spark, broken, by_ranges=by_ranges).collect()
+    foreign = archive(gzip.compress(good, 9), gzip.compress(bad, 1))
+    assert warc.read_archives(spark, foreign, by_ranges=False).count() == 2
+
+
+def test_warc_members():
+    long = warc.gzip_member(b"x" * (1 << 25), 1)
+    for m in (warc.gzip_member(b"abc"), long):
         assert gzip.decompress(warc.line(m) + b"\0") == gzip.decompress(m)
-    with pytest.raises(ValueError):
-        list(warc.read_members(iter([gzip.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n")])))
+    text = b"a" * 5000 + warc.HEAD * 3
+    member = warc.gzip_member(text, 0)  # stored as it is, the head would stand inside
+    assert member.find(warc.HEAD, 1) < 0 and gzip.decompress(member) == text
 
 
 def test_sharding_law(docs):
