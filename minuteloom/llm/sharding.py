@@ -2,9 +2,9 @@
 
 The law is ``bytes``: shards of near equal size. Keys are (hash of the text, hash of the id), so equal
 texts lie side by side. Size-weighted samples of the keys give quantile boundaries; records are dealt to
-those ranges, ranges are cut evenly by key, and a piece that is still overfull (one text that holds much
-of the data) is subdivided by the hash of the id. Shards are runs of pieces; an equal text is split over
-shards only if its piece was overfull."""
+those ranges and ranges are cut evenly by key. Of a piece that is still overfull, each text that alone overfills
+one is subdivided by the hash of the id, the others by a hash of the text. Shards are runs of pieces; an equal
+text is split over shards only if it overfills a piece by itself."""
 
 from __future__ import annotations
 
@@ -58,18 +58,29 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     part = F.floor((F.col("k1").cast("double") - F.get(low, F.col("r"))) / F.get(width, F.col("r")) * per_range)
     dealt = rows.withColumn("r", r).withColumn("p", F.greatest(F.lit(0), F.least(F.lit(per_range - 1), part.cast("int"))))
     sums = dealt.groupBy("r", "p").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    cuts = F.greatest(F.ceil(F.col("bytes") / piece_bytes), F.ceil(F.col("rows") / PIECE_ROWS))
-    overfull = sums.filter((F.col("bytes") > 2 * piece_bytes) | (F.col("rows") > 2 * PIECE_ROWS)).select("r", "p", cuts.alias("cuts"))
-    # fewer than shards * PIECES_PER_SHARD + rows / PIECE_ROWS pieces can be overfull
-    overfull = F.broadcast(overfull) if n < 1_000_000 * PIECE_ROWS else overfull
-    dealt = stored(dealt.join(overfull, ["r", "p"], "left").withColumn("s", F.pmod("k2", F.coalesce("cuts", F.lit(1)))).drop("cuts"), "shard-pieces")
-    pieces = dealt.groupBy("r", "p", "s").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    order = Window.orderBy("r", "p", "s")  # of pieces, not of records
+    full = lambda times: (F.col("bytes") > times * piece_bytes) | (F.col("rows") > times * PIECE_ROWS)
+    cuts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / piece_bytes), F.ceil(F.col("rows") / PIECE_ROWS))
+    # fewer than shards * PIECES_PER_SHARD + rows / PIECE_ROWS pieces can be overfull, and as few texts can overfill one
+    small = F.broadcast if n < 1_000_000 * PIECE_ROWS else (lambda df: df)
+    overfull = sums.filter(full(2))
+    texts = dealt.join(small(overfull.select("r", "p")), ["r", "p"], "left_semi").groupBy("r", "p", "k1").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    heavy = stored(texts.filter(full(1)).select("r", "p", "k1", "bytes", "rows", cuts.alias("own")), "shard-heavy")
+    taken = heavy.groupBy("r", "p").agg(F.sum("bytes").alias("heavy_bytes"), F.sum("rows").alias("heavy_rows"))
+    left = [(F.col(c) - F.coalesce(f"heavy_{c}", F.lit(0))).alias(c) for c in ("bytes", "rows")]
+    rest = overfull.join(small(taken), ["r", "p"], "left").select("r", "p", *left).select("r", "p", cuts.alias("cuts"))
+    dealt = dealt.join(small(rest), ["r", "p"], "left").join(small(heavy.select("r", "p", "k1", "own")), ["r", "p", "k1"], "left")
+    by_text = F.pmod(F.xxhash64("k1", F.lit(2)), F.coalesce("cuts", F.lit(1)))
+    alone = F.when(F.col("own").isNotNull(), F.col("k1")).otherwise(0)
+    s = F.when(F.col("own").isNotNull(), F.pmod("k2", "own")).otherwise(by_text)
+    dealt = stored(dealt.withColumn("t", alone).withColumn("s", s).drop("cuts", "own"), "shard-pieces")
+    piece = ["r", "p", "t", "s"]  # t: the text of a piece that holds one alone, else 0
+    pieces = dealt.groupBy(*piece).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    order = Window.orderBy(*piece)  # of pieces, not of records
     mid = F.sum("bytes").over(order) - F.col("bytes") / 2
     pieces = pieces.withColumn("shard", F.least(F.lit(shards - 1), F.floor(mid * shards / max(1, total))).cast("int"))
-    within = Window.partitionBy("shard").orderBy("r", "p", "s").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("base", F.coalesce(F.sum("rows").over(within), F.lit(0))).select("r", "p", "s", "shard", "base")
-    place = F.row_number().over(Window.partitionBy("r", "p", "s").orderBy("k1", "k2", "_id", "size"))
-    return dealt.join(pieces, ["r", "p", "s"]).select(
+    within = Window.partitionBy("shard").orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("base", F.coalesce(F.sum("rows").over(within), F.lit(0))).select(*piece, "shard", "base")
+    place = F.row_number().over(Window.partitionBy(*piece).orderBy("k1", "k2", "_id", "size"))
+    return dealt.join(pieces, piece).select(
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + place - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
