@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from minuteloom.functions.dates import date_from_title
 from minuteloom.functions.text import strip_accents
+from minuteloom.sources.files import kept
 
 # fixed values: how sessions of the council are called; beginnings of Dutch halves of titles; titles without a subject
 COUNCIL = ("conseil communal", "gemeenteraad")
@@ -140,24 +141,48 @@ def _letters(plain: Column) -> Column:
     return F.transform(F.array(*map(F.lit, PLAIN)), lambda x: F.length(plain) - F.length(F.replace(plain, x, F.lit(""))))
 
 
+#: Titles of fewer characters are compared as they are; of longer ones SequenceMatcher leaves common characters out.
+WHOLE = 200
+
+
+def _asked(chapters: DataFrame) -> DataFrame:
+    """The dated chapters with their plain title; ``_who`` is whose points they are looked for among, empty for all of the date."""
+    who = F.when(F.col("author_key").isNull(), "").otherwise(F.concat(F.lit("="), "author_key"))
+    return chapters.filter("date is not null").select("date", "chapter", who.alias("_who"), F.col("author_key").isNull().alias("_all"), plain_title(F.col("titre")).alias("_t"))
+
+
+def _titles(points: DataFrame) -> DataFrame:
+    """(date, _who, _pt, _c, _first, _n): the different plain titles of each date, and of each author of it, with how many points
+    have them, the first of these, and the points of the date or author in all. Equal titles are alike, so that the first stands for all."""
+    who = F.when(F.col("author_key").isNotNull(), F.concat(F.lit("="), "author_key"))
+    p = points.filter("date is not null").select("date", "ord", "sp", plain_title(F.col("titre")).alias("_pt"), F.explode(F.array_compact(F.array(F.lit(""), who))).alias("_who"))
+    same = p.groupBy("date", "_who", "_pt").agg(F.count("*").alias("_c"), F.min(F.struct("ord", "sp")).alias("_first"))
+    return same.withColumn("_n", F.sum("_c").over(Window.partitionBy("date", "_who")))
+
+
+def _compared(x: DataFrame, own: float, collective: float) -> DataFrame:
+    """The pairs of titles that can be alike enough."""
+    both = F.aggregate(F.zip_with(_letters(F.col("_t")), _letters(F.col("_pt")), lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
+    size = F.length("_t") + F.length("_pt")
+    most = F.when(F.col("sure") | (size == 0), 1.0).otherwise(2.0 * both / size)
+    least = F.when(F.col("_all"), collective).otherwise(own)
+    return x.select("date", "chapter", F.col("_first.sp").alias("sp"), F.col("_first.ord").alias("ord"), "sure", "_t", "_pt", most.alias("most"), least.alias("least")).filter("sure or most >= least")
+
+
+def _held() -> Column:
+    return (F.col("_pt") != "") & (F.contains("_t", "_pt") | F.contains("_pt", "_t"))
+
+
 def chapter_candidates(chapters: DataFrame, points: DataFrame, own: float = 0.35, collective: float = 0.6) -> DataFrame:
     """(date, chapter, sp, ord, sure, most, least, and the plain titles): the point of a chapter where no comparison is needed
-    (``sure``), else those that its titles must be compared with. ``most`` is what their similarity can be at most: twice the
+    (``sure``), else those that its titles must be compared with, the first of each title. ``most`` is what their similarity can be at most: twice the
     characters that both titles have, over the length of both; pairs under ``least``, their threshold, are left out."""
-    c = chapters.select("date", "chapter", F.col("author_key").alias("_k"), plain_title(F.col("titre")).alias("_t")).filter("date is not null")
-    p = points.select("date", "sp", "ord", F.col("author_key").alias("_pk"), plain_title(F.col("titre")).alias("_pt"))
-    named = c.filter("_k is not null").join(p, ["date"]).filter(F.col("_k") == F.col("_pk"))
-    x = named.unionByName(c.filter("_k is null").join(p, "date"))
+    x = _asked(chapters).join(_titles(points), ["date", "_who"])
     each = Window.partitionBy("date", "chapter")
-    held = (F.col("_pt") != "") & (F.col("_t").contains(F.col("_pt")) | F.col("_pt").contains(F.col("_t")))
-    x = x.withColumn("_held", held).withColumn("_n", F.count("*").over(each)).withColumn("_h", F.count_if("_held").over(each))
+    x = x.withColumn("_held", _held()).withColumn("_h", F.sum(F.when(F.col("_held"), F.col("_c")).otherwise(0)).over(each))
     sure = (F.col("_n") == 1) | ((F.col("_h") == 1) & F.col("_held"))
     x = x.withColumn("sure", sure).filter(F.col("sure") | ((F.col("_h") != 1) & ((F.col("_h") == 0) | F.col("_held"))))
-    both = F.aggregate(F.zip_with(_letters(F.col("_t")), _letters(F.col("_pt")), lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
-    size = F.length("_t") + F.length("_pt")
-    most = F.when(F.col("sure") | (size == 0), 1.0).otherwise(2.0 * both / size)
-    least = F.when(F.col("_k").isNull(), collective).otherwise(own)
-    return x.select("date", "chapter", "sp", "ord", "sure", "_t", "_pt", most.alias("most"), least.alias("least")).filter("sure or most >= least")
+    return _compared(x, own, collective)
 
 
 def match_chapters_to_points(chapters: DataFrame, points: DataFrame, own: float = 0.35, collective: float = 0.6) -> DataFrame:
@@ -168,9 +193,27 @@ def match_chapters_to_points(chapters: DataFrame, points: DataFrame, own: float
     title holds the chapter's or is held by it; else the most alike of these (or of all), the first by ord on ties, if its
     similarity reaches ``own`` or ``collective``.
 
-    The candidates are read once, those of a chapter by what their similarity can be at most; as soon as that is under what
-    another one has, no more titles of the chapter are compared."""
-    x = chapter_candidates(chapters, points, own, collective)
+    Chapters meet the different titles of their date, and keep those that hold or are held, most often one: of these the similarity is
+    known, as the shorter title is the common part. What that decides is written, as are the chapters left. For these, the candidates
+    are read once, those of a chapter by what their similarity can be at most; as soon as that is under what another one has, no
+    more titles of the chapter are compared."""
+    t = _titles(points)
+    x = _asked(chapters).join(t.withColumnRenamed("_who", "_w").withColumnRenamed("date", "_d"), (F.col("date") == F.col("_d")) & (F.col("_who") == F.col("_w")) & ((F.col("_n") == 1) | _held()), "left")
+    short, size = F.least(F.length("_t"), F.length("_pt")), F.length("_t") + F.length("_pt")
+    alike = F.when(size == 0, 1.0).otherwise(2.0 * short / size)
+    x = x.groupBy("date", "chapter", "_who", "_all", "_t").agg(
+        F.sum("_c").alias("_h"), F.max(F.length("_pt")).alias("_longest"), F.min(F.struct((-alike).alias("not_alike"), "_first")).alias("_best")
+    )
+    found = F.col("_h").isNotNull() & ((F.col("_h") == 1) | (F.col("_longest") < WHOLE))
+    enough = (F.col("_h") == 1) | (-F.col("_best.not_alike") >= F.when(F.col("_all"), collective).otherwise(own))
+    left = ~found
+    x = kept(x.filter(left | enough).select("date", "chapter", "_who", "_all", F.when(left, F.col("_t")).alias("_t"), F.col("_h").isNotNull().alias("_some"), left.alias("_left"), F.when(found, F.col("_best._first.sp")).alias("sp")), "chapters")
+    rest = x.filter("_left").drop("sp").join(t, ["date", "_who"]).filter(~F.col("_some") | _held()).withColumn("sure", F.lit(False))
+    return x.filter("not _left").select("date", "chapter", "sp").unionByName(_most_alike(_compared(rest, own, collective)))
+
+
+def _most_alike(x: DataFrame) -> DataFrame:
+    """(date, chapter, sp): of candidates the most alike one of each chapter, if it reaches its threshold."""
     x = x.withColumn("_place", F.row_number().over(Window.partitionBy("date", "chapter").orderBy("ord")))  # what a tie goes by
     kinds = dict(x.dtypes)
 

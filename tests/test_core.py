@@ -334,3 +334,39 @@ def test_links_of_all_forms(spark):
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
     got = {tuple(r) for r in collect.extract_links(pages, "https://t.example", "t.example").collect()}
     assert got == {(1, "https://t.example/" + u) for u in ("a/pv-conseil-1.pdf", "PV Conseil 2.PDF", "notulen%203.pdf", "pv_conseil 4.pdf", "pv-2010-1-5-sp.pdf")}
+
+
+def test_repeated_titles_meet_chapters_once(spark):
+    """Points and chapters repeated on the same dates: pairs grow with the different titles only."""
+    from test_stored import plan_of
+
+    r = random.Random(8)
+    titles = [f"{a} {b}" for a in "voirie parc ecole budget".split() for b in "nord sud est ouest".split()]
+    chap = [(d, f"{d}-{i}", r.choice([*titles, "voirie nord parc sud", "vorie nrd", "z"]) + r.choice(["", " demande de m x"]), r.choice(["a", None])) for d in range(3) for i in range(60)]
+    found, pairs = [], []
+    for times in (1, 20):
+        points = [(d, i + 16 * n, t, "ab"[i % 2], i + 16 * n) for d in range(3) for n in range(times) for i, t in enumerate(titles)]
+        frames = spark.createDataFrame(chap, "date int, chapter string, titre string, author_key string"), spark.createDataFrame(points, "date int, sp int, titre string, author_key string, ord int")
+        pairs.append(chapters.chapter_candidates(*frames).count())
+        found.append({x.chapter: x.sp for x in chapters.match_chapters_to_points(*frames).collect()})
+    assert pairs[1] <= pairs[0] * 3 and len(found[1]) > 50  # a lone point that is held is sure; the same title 20 times is compared once
+    assert all(found[0][c] == p for c, p in found[1].items())  # the first of equal titles
+    assert "Window" in plan_of(chapters.chapter_candidates(*frames))
+
+
+def test_long_titles_are_compared_as_difflib_does(spark):
+    from difflib import SequenceMatcher
+
+    long = "marche public de travaux " * 12
+    points = [(1, 1, long + "x", None, 1), (1, 2, long + "xy", None, 2), (1, 3, "autre", None, 3), (2, 1, "", None, 1), (2, 2, "", None, 2)]
+    chap = [(1, "c", long, None), (1, "d", long + "xyz", None), (2, "e", "", None), (2, "f", "q", None)]
+    frames = spark.createDataFrame(chap, "date int, chapter string, titre string, author_key string"), spark.createDataFrame(points, "date int, sp int, titre string, author_key string, ord int")
+    plain = lambda t: t
+    want = {}
+    for d, c, t, _ in chap:
+        pool = [p for p in points if p[0] == d]
+        held = [p for p in pool if p[2] and (p[2] in t or t in p[2])] or pool
+        best = max(held, key=lambda p: SequenceMatcher(None, plain(t), plain(p[2])).ratio())
+        if SequenceMatcher(None, t, best[2]).ratio() >= 0.6:
+            want[c] = best[1]
+    assert {x.chapter: x.sp for x in chapters.match_chapters_to_points(*frames).collect()} == want and want["e"] == 1
