@@ -1,4 +1,4 @@
-"""Many themes at once: word beginnings as a table, found in texts by an index of their first letters."""
+"""Many themes at once: word beginnings as a table, found in texts by the beginnings of their words."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteloom.functions.text import FAMILIES, STOPWORDS, strip_accents
 
-#: Letters that a word and a beginning are joined on; no beginning is shorter.
-PREFIX = 3
-#: Word beginnings that are broadcast; more are joined by their first letters.
+#: Word beginnings that are broadcast; more are joined by hash.
 STEMS = 200_000
 #: A word as ``\\b`` sees it: what lies between two of its bounds.
 WORD = r"[\p{L}\p{Nd}_]+"
@@ -40,13 +38,35 @@ def plain_text(points: DataFrame) -> Column:
     return strip_accents(F.lower(F.concat_ws(" ", *said, *tags)))
 
 
+def _beginnings(words: str, n: int) -> Column:
+    """The first ``n`` characters of each of the words that has as many."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+
+
+def _hits(points: DataFrame, stems: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """(keys, name), some more than once: the points that hold a word beginning with a stem of ``stems`` (name, stem).
+
+    The beginnings of a text's words are cut at the lengths that stems have, each once, and looked up as they are: a beginning
+    meets its own stem only, however many others share its first letters."""
+    lengths = sorted(r.n for r in stems.select(F.length("stem").alias("n")).distinct().collect())  # one number for each length of a word
+    index = F.broadcast(stems) if stems.limit(STEMS + 1).count() <= STEMS else stems
+    words = F.array_distinct(F.regexp_extract_all(plain_text(points), F.lit(WORD), F.lit(0)))
+    cut = [_beginnings("_w", n) for n in lengths]
+    begun = F.array_distinct(F.concat(*cut)) if cut else F.array().cast("array<string>")
+    return points.select(*keys, words.alias("_w")).select(*keys, F.explode(begun).alias("stem")).join(index, "stem").select(*keys, name)
+
+
 def matched_themes(points: DataFrame, stems: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, theme): the points, told apart by ``keys``, and the themes of which a stem begins a word of their text.
 
-    The texts are read once, however many themes there are: their distinct words meet the stems that share their first letters.
-    A hit is counted once for a point before it is shuffled, and again after."""
-    index = stems.select("theme", "stem", F.substring("stem", 1, PREFIX).alias("_p"))
-    index = F.broadcast(index) if index.limit(STEMS + 1).count() <= STEMS else index
-    words = points.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(plain_text(points), F.lit(WORD), F.lit(0)))).alias("_w")).withColumn("_p", F.substring("_w", 1, PREFIX))
-    hits = words.join(index, "_p").filter(F.startswith("_w", "stem"))
-    return hits.select(*keys, "theme").distinct()
+    The texts are read once, however many themes there are. A hit is counted once for a point before it is shuffled, and again after."""
+    return _hits(points, stems.select("theme", "stem"), "theme", keys).distinct()
+
+
+def theme_counts(points: DataFrame, stems: DataFrame, keys: list[str]) -> DataFrame:
+    """(theme, points): how many points ``matched_themes`` has of each theme that it has. Themes of the same stems are counted once, so
+    that the hits are bounded by what a text holds, not by the number of themes."""
+    of = stems.groupBy("theme").agg(F.array_sort(F.collect_set("stem")).alias("_stems"))
+    alike = of.groupBy("_stems").agg(F.min("theme").alias("_same"))
+    n = _hits(points, alike.select("_same", F.explode("_stems").alias("stem")), "_same", keys).distinct().groupBy("_same").agg(F.count("*").alias("points"))
+    return of.join(alike, "_stems").select("theme", "_same").join(n, "_same").select("theme", "points")

@@ -130,8 +130,7 @@ THEMES = "SELECT DISTINCT regexp_extract(text, '([A-Za-zÀ-ÿ]{5,})', 1) AS them
   p AS (SELECT DISTINCT meeting, sp, unnest(regexp_extract_all(strip_accents(lower(titre)), '[\p{{L}}\p{{Nd}}_]+')) AS w FROM ({SAID})), h AS (SELECT DISTINCT meeting, sp, theme FROM p JOIN k ON w[:3] = stem[:3] AND starts_with(w, stem))
   SELECT theme, count(*) AS points FROM h GROUP BY 1""")
 def j13_theme_table(spark, sf_dir):
-    found = themes.matched_themes(view(spark, sf_dir, SAID), themes.stems_table(view(spark, sf_dir, THEMES)), ["meeting", "sp"])
-    return found.groupBy("theme").agg(F.count("*").alias("points"))
+    return themes.theme_counts(view(spark, sf_dir, SAID), themes.stems_table(view(spark, sf_dir, THEMES)), ["meeting", "sp"])
 
 
 # --- links by date

@@ -42,6 +42,19 @@ def test_thousands_of_themes_take_one_scan(spark):
     assert plan_of(hits).count("Scan parquet") == plan_of(points).count("Scan parquet")
 
 
+def test_a_beginning_meets_its_own_stem_only(spark):
+    """Stems of the same first letters: rows of the join are those of beginnings that are stems, and themes of equal stems count once."""
+    tail = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    stems = spark.range(3000).select(F.concat(F.lit("tha"), tail).alias("theme")).select("theme", F.col("theme").alias("stem"))
+    more = spark.createDataFrame([("Thab", "thab"), ("two", "thab"), ("two", "thac"), ("none", "zzz")], "theme string, stem string")
+    points = spark.createDataFrame([(1, "thabc thabc thab"), (1, "thac"), (2, "thabz"), (3, "th"), (4, None)], "id int, titre string")
+    hits = themes._hits(points, stems.unionByName(more), "theme", ["id"])
+    assert hits.count() <= 16 and "startswith" not in plan_of(hits).lower()  # 3 letters alone would meet 3000 stems a word
+    want = {(1, "thab"), (1, "thabc"), (1, "thac"), (2, "thab"), (1, "Thab"), (1, "two"), (2, "Thab"), (2, "two")}
+    assert {tuple(r) for r in themes.matched_themes(points, stems.unionByName(more), ["id"]).collect()} == want
+    assert {tuple(r) for r in themes.theme_counts(points, stems.unionByName(more), ["id"]).collect()} == {("thab", 2), ("Thab", 2), ("two", 2), ("thabc", 1), ("thac", 1)}
+
+
 def test_median_by_rank_is_percentile(spark):
     r = random.Random(4)
     rows = [("odd", r.random()) for _ in range(1001)] + [("even", round(r.random(), 2)) for _ in range(2000)] + [("same", 0.5)] * 300 + [("two", 1.0)] * 50 + [("two", 3.0)] * 50
