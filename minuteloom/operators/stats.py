@@ -22,6 +22,10 @@ EXCLUDED_TITLES = (
 NOTED_DECISIONS = r"prend (pour information|acte|connaissance)|pour information|prend note|constate"
 
 
+#: Parts that meetings are dealt in, so that one holds few of them at any size.
+PARTS = 200
+
+
 def is_excluded_amount(kind: Column, title: Column, decision: Column) -> Column:
     plain = lambda c: F.regexp_replace(strip_accents(F.lower(F.coalesce(c, F.lit("")))), r"\.", "")
     return F.coalesce(kind.isin(*SKIPPED_TYPES), F.lit(False)) | plain(title).rlike("(" + "|".join(EXCLUDED_TITLES) + ")") | plain(decision).rlike(NOTED_DECISIONS)
@@ -54,13 +58,14 @@ def themes_by_year(points: DataFrame, n: int = 12) -> DataFrame:
 
 def meeting_themes(points: DataFrame) -> DataFrame:
     """One row per meeting: its measures and themes, an array of (n, theme, amount), most points first. The points are read and
-    rated once: a point without tags stands under a null theme, and only the first row of a point bears its measures."""
-    x = with_amounts(points).select("meeting", "date", "engaged", F.col("vote_type"), F.posexplode_outer("tags").alias("k", "tag"))
+    rated once: a point without tags stands under a null theme, and only the first row of a point bears its measures. They are dealt by
+    meeting once, before they are counted: few have a tag of another of their meeting, so that counts before would hold as many rows."""
+    x = with_amounts(points).select("meeting", "date", "engaged", "vote_type", "tags").repartition(PARTS, "meeting")
+    x = x.select("meeting", "date", "engaged", "vote_type", F.posexplode_outer("tags").alias("k", "tag")).withColumn("theme", canon_theme(F.col("tag")))
     first = F.coalesce(F.col("k"), F.lit(0)) == 0
-    by_tag = x.groupBy("meeting", "tag").agg(
+    by_theme = x.groupBy("meeting", "theme").agg(
         F.first("date").alias("date"), F.count("tag").alias("n"), F.sum("engaged").alias("amount"), F.count_if(first).alias("points"), F.count_if(first & (F.col("vote_type") == "vote_nominal")).alias("contested"), F.sum(F.when(first, F.col("engaged"))).alias("own")
     )
-    by_theme = by_tag.groupBy("meeting", canon_theme(F.col("tag")).alias("theme")).agg(F.first("date").alias("date"), *(F.sum(c).alias(c) for c in ("n", "amount", "points", "contested", "own")))
     listed = F.filter(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "theme", "amount"))), lambda t: t["theme"].isNotNull())
     out = by_theme.groupBy("meeting").agg(F.first("date").alias("date"), F.sum("points").alias("points"), F.sum("contested").alias("contested"), F.sum("own").alias("engaged"), listed.alias("themes"))
     return out.withColumn("themes", F.transform("themes", lambda t: F.struct((-t["n"]).alias("n"), t["theme"].alias("theme"), t["amount"].alias("amount"))))

@@ -1,5 +1,6 @@
 """Operators whose groups may be of any size: themes by index, medians by rank, packing with carried state, facets in one scan."""
 
+import datetime as dt
 import random
 import statistics
 
@@ -150,3 +151,11 @@ def test_targets_by_part_of_a_name(spark):
     targets = spark.createDataFrame([(t,) for t in [*want, "bis"]], "target string")
     got = meetings.resolve_targets(targets, spark.createDataFrame(files, "name string, date string, path string").withColumn("date", F.col("date").cast("date")))
     assert {r.target: r.path for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_meetings_are_dealt_once_before_they_are_counted(spark):
+    x = spark.createDataFrame([(1, dt.date(2020, 1, 1), "point", "t", None, None, 5, ["Écoles", "ecole"]), (1, dt.date(2020, 1, 1), "point", "t", None, "vote_nominal", 7, ["ecole"]), (2, dt.date(2020, 1, 2), "motion", "t", None, None, 9, None)], "meeting int, date date, type string, titre string, decision string, vote_type string, montant int, tags array<string>")
+    got = stats.meeting_summary(x)
+    assert {(r.meeting, r.points, r.contested, r.engaged, r.themes) for r in got.collect()} == {(1, 2, 1, 12.0, "ecole:3:17.00"), (2, 1, 0, 0.0, "")}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(meeting") == 1 and plan.count("Exchange hashpartitioning") == 1
