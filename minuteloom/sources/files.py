@@ -82,8 +82,10 @@ def _top(fields: str) -> list[str]:
 
 def parse_reply_json(raw: Column, schema: str) -> Column:
     """The object between the first { and the last } of a model's reply; null if it doesn't parse."""
-    body = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    return F.from_json(F.nullif(body, F.lit("")), schema)
+    plain = F.regexp_replace(raw, r"```(?:json)?", "")
+    last = lambda s: F.length(s) - F.length(F.substring_index(s, "}", -1))
+    body = F.get(F.transform(F.array(plain), lambda s: F.when(last(s) > F.instr(s, "{"), F.substr(s, F.instr(s, "{"), last(s) - F.instr(s, "{") + 1))), F.lit(0))
+    return F.from_json(F.when(F.contains(raw, F.lit("{")), body), schema)
 
 
 def parse_vtt(files: DataFrame, text: str = "content") -> DataFrame:
@@ -98,8 +100,10 @@ def parse_vtt(files: DataFrame, text: str = "content") -> DataFrame:
 
 def reply_points(replies: DataFrame, raw: str = "raw") -> DataFrame:
     """(all columns but ``raw``, date_seance, point columns): the points of models' replies; replies without the shape go."""
-    x = replies.withColumn("_r", parse_reply_json(F.col(raw), f"date_seance string, points array<{POINT}>")).drop(raw)
-    return x.filter("_r.points is not null").withColumn("date_seance", F.col("_r.date_seance")).withColumn("_p", F.explode("_r.points")).select("*", "_p.*").drop("_r", "_p")
+    others = [c for c in replies.columns if c != raw]
+    # a list of one: a reply is parsed once, not again for each filter and field that looks at it
+    x = replies.select(*others, F.inline(F.array(parse_reply_json(F.col(raw), f"date_seance string, points array<{POINT}>"))).alias("date_seance", "_points"))
+    return x.filter("_points is not null").select(*others, "date_seance", F.explode("_points").alias("_p")).select(*others, "date_seance", "_p.*")
 
 
 def flat_points(points: DataFrame) -> DataFrame:
