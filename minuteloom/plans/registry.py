@@ -27,14 +27,19 @@ def query(oracle: str | None = None):
     return add
 
 
-_TABLE = re.compile(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b")
+_TABLE = re.compile(r"\b(FROM |JOIN |JOIN \()(" + "|".join(TABLES) + r")\b")
+#: The joins of the points' SQL, and the same ones in an order that shuffles the lines once less: customers go to the orders first.
+_JOINS = A.POINTS[A.POINTS.index("FROM lineitem l") :]
+_FEWER = """FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
+JOIN (orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey) ON l.l_orderkey = o.o_orderkey"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the tables of a folder, under names that no caller's view bears."""
+    sql = sql.replace(_JOINS, _FEWER)
     for _, t in set(_TABLE.findall(sql)):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"minuteloom_{t}")
-    return spark.sql(_TABLE.sub(r"\1 minuteloom_\2", sql))
+    return spark.sql(_TABLE.sub(r"\1minuteloom_\2", sql))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
