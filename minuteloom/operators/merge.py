@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that rows are dealt into by key before they are counted: a task of the scan would hold nearly as many groups as rows. Not the
+#: session's own number (200), at which Spark counts within the joins before and merges their parts into few.
+PARTS = 192
+
+
 def holds(df: DataFrame, column: str) -> Column:
     """Whether the column holds something: null, 0, false, empty texts and empty lists don't."""
     kind, c = dict(df.dtypes)[column], F.col(column)
@@ -30,10 +35,12 @@ def dedup_best_filled(points: DataFrame, keys: list[str], order: list[str], colu
 
 
 def upsert_points(current: DataFrame, new: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """New keys are appended; a known key's row is replaced only by one with strictly more fields filled."""
-    new = dedup_best_filled(new, keys, order, columns)
+    """New keys are appended; a known key's row is replaced only by one with strictly more fields filled.
+
+    The best of the new rows need not be told first: it is the best of all rows, or a current one is. Rows are dealt by key before
+    they are put in order, so that no task orders a whole split of the input."""
     both = current.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return dedup_best_filled(both, keys, ["_new", *order], columns).drop("_new")
+    return dedup_best_filled(both.repartition(*keys), keys, ["_new", *order], columns).drop("_new")
 
 
 def replace_by_key(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -85,8 +92,9 @@ def replace_sessions(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def preview_merge(new: DataFrame, current: DataFrame) -> DataFrame:
-    n = new.groupBy("meeting").agg(F.count("*").alias("n_points"))
-    c = current.groupBy("meeting").agg(F.count("*").alias("have"))
+    dealt = lambda df: df.select("meeting").repartition(PARTS, "meeting").groupBy("meeting")
+    n = dealt(new).agg(F.count("*").alias("n_points"))
+    c = dealt(current).agg(F.count("*").alias("have"))
     return n.join(c, "meeting", "left").select("meeting", "n_points", F.col("have").isNull().alias("is_new"), F.coalesce("have", F.lit(0)).alias("existing_points"))
 
 
@@ -96,7 +104,7 @@ def validate_points(points: DataFrame) -> DataFrame:
     untitled = F.coalesce(F.trim("titre"), F.lit("")) == ""
     suspect = (F.col("montant") < 0) | (F.col("montant") > 100_000_000)
     issues = F.filter(F.array(F.when(untitled, "untitled"), F.when(suspect, "amount")), lambda x: x.isNotNull())
-    again = points.groupBy("meeting", "sp").agg(F.count("*").alias("n")).filter("n > 1")
+    again = points.select("meeting", "sp").repartition(PARTS, "meeting", "sp").groupBy("meeting", "sp").agg(F.count("*").alias("n")).filter("n > 1")
     again = again.select("meeting", "sp", F.explode(F.expr("array_repeat('duplicate', cast(n - 1 as int))")).alias("issue"))
     return again.unionByName(points.select("meeting", "sp", F.explode(issues).alias("issue")))
 
