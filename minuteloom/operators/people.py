@@ -92,10 +92,15 @@ def name_pairs(mentions: DataFrame, name: str = "name") -> DataFrame:
     """(first, last): distinct pairs from mentions of two words of which exactly one is in capitals, the surname."""
     words = F.filter(F.split(clean_name(F.col(name)), r"\s+"), lambda x: x != "")
     capitals = lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1)
-    x = mentions.select(words.alias("w")).filter(F.size("w") == 2).select(F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
-    x = x.filter(capitals(F.col("a")) != capitals(F.col("b")))
-    pick = lambda c, p, q: norm_token(F.when(c, F.col(p)).otherwise(F.col(q)))
-    return x.select(pick(capitals(F.col("b")), "a", "b").alias("first"), pick(capitals(F.col("b")), "b", "a").alias("last")).distinct()
+
+    def pair(w: Column) -> Column:
+        a, b = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        last_b = capitals(b)
+        return F.when((F.size(w) == 2) & (capitals(a) != last_b), F.struct(F.when(last_b, a).otherwise(b).alias("first"), F.when(last_b, b).otherwise(a).alias("last")))
+
+    # a list of one: a name is cleaned once, however often its words are looked at
+    x = mentions.select(F.explode(F.transform(F.array(words), pair)).alias("p")).filter("p is not null").select("p.*").distinct()
+    return x.select(norm_token(F.col("first")).alias("first"), norm_token(F.col("last")).alias("last")).distinct()
 
 
 def person_keys(mentions: DataFrame, pairs: DataFrame, name: str = "name", aliases: dict[str, str] | None = None) -> DataFrame:
