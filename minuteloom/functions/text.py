@@ -23,6 +23,11 @@ def strip_accents(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, _FROM, _TO), r"\p{Mn}", "")
 
 
+def strip_word(s: Column) -> Column:
+    """``strip_accents`` of a word that costs nothing to read; ASCII, which has none, is passed on."""
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(strip_accents(s))
+
+
 def clean_str(s: Column) -> Column:
     """White space collapsed and trimmed; null becomes the empty text."""
     return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", " "))

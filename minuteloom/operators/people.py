@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteloom.functions.text import strip_accents
+from minuteloom.functions.text import strip_accents, strip_word
 
 # fixed values: titles before names, words of office, particles, separators of several names
 TITLES = r"(?i)^(?:(?:MM\.?|Messieurs|M\.?|Mme\.?|Mr\.?|Monsieur|Madame|Mesdames|Mlle|Dr\.?|de\s+heer|Mevrouw|Mevr\.?|Dhr\.?|Mijnheer)\s+)+"
@@ -26,7 +26,7 @@ def clean_name(raw: Column) -> Column:
 
 
 def norm_token(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(t)), r"^[-'’.]+", ""), r"[-'’.]+$", "")
+    return F.regexp_replace(F.lower(strip_word(t)), r"^[-'’.]+|[-'’.]+$", "")
 
 
 def _is_office(plain: Column) -> Column:
@@ -43,7 +43,7 @@ def _parts(raw: Column) -> Column:
 
 
 def _without_offices(part: Column) -> Column:
-    words, plain = F.split(part, r"\s+"), F.split(F.lower(strip_accents(part)), r"\s+")
+    words, plain = F.split(part, r"\s+"), F.split(F.lower(strip_word(part)), r"\s+")
     return F.array_join(F.zip_with(words, plain, lambda t, p: F.when((t != "") & ~_is_office(p), t)), " ")
 
 
@@ -77,7 +77,10 @@ def name_tokens(name: Column) -> Column:
 def person_key(name: Column, reversed_pair: Column | None = None, aliases: dict[str, str] | None = None) -> Column:
     """The surname, plain and in lower case: the last word; after leading particles the next word, if more follow; the
     first of two words where ``reversed_pair`` says that they are known the other way round. ``aliases`` mend misspellings."""
-    t = name_tokens(name)
+    return _surname(name_tokens(name), reversed_pair, aliases)
+
+
+def _surname(t: Column, reversed_pair: Column | None, aliases: dict[str, str] | None) -> Column:
     lead = F.aggregate(t, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["n"] + F.when(a["go"] & x.isin(*PARTICLES), 1).otherwise(0)).alias("n"), (a["go"] & x.isin(*PARTICLES)).alias("go")))["n"]
     key = F.when((lead > 0) & (lead + 1 < F.size(t)), F.get(t, lead))
     if reversed_pair is not None:
@@ -105,11 +108,11 @@ def name_pairs(mentions: DataFrame, name: str = "name") -> DataFrame:
 
 def person_keys(mentions: DataFrame, pairs: DataFrame, name: str = "name", aliases: dict[str, str] | None = None) -> DataFrame:
     """``mentions`` with key; two words that ``pairs`` know the other way round have the first as surname."""
-    t = name_tokens(F.col(name))
     known = pairs.select(F.col("first").alias("_f"), F.col("last").alias("_l"), F.lit(True).alias("_known")).distinct()
-    x = mentions.withColumn("_a", F.get(t, F.lit(0))).withColumn("_b", F.get(t, F.lit(1)))
+    # a name is cut into words once, however often they are looked at
+    x = mentions.withColumn("_t", name_tokens(F.col(name))).withColumn("_a", F.get("_t", F.lit(0))).withColumn("_b", F.get("_t", F.lit(1)))
     x = x.join(known, (F.col("_a") == F.col("_l")) & (F.col("_b") == F.col("_f")), "left")
-    return x.withColumn("key", person_key(F.col(name), F.coalesce("_known", F.lit(False)), aliases)).drop("_a", "_b", "_f", "_l", "_known")
+    return x.withColumn("key", _surname(F.col("_t"), F.coalesce("_known", F.lit(False)), aliases)).drop("_t", "_a", "_b", "_f", "_l", "_known")
 
 
 # fixed values: how titles and summaries name who asks; capitals as an explicit list, as ranges hold small letters too
@@ -132,11 +135,19 @@ def first_single_speaker(speakers: Column) -> Column:
     return F.get(F.get(F.filter(F.transform(speakers, split_person_names), lambda n: F.size(n) == 1), F.lit(0)), F.lit(0))
 
 
+#: Whose author title or summary may name, and whose speakers may be it.
+TOLD, HEARD = ("demande_habitant", "motion"), ("question_orale", "demande_habitant")
+
+
+def author_told(kind: Column, title: Column, summary: Column, speakers: Column) -> Column:
+    """Who title or summary name as asking, of requests and motions; else null."""
+    return F.when(kind.isin(*TOLD), F.coalesce(author_in_text(title, speakers), author_in_text(summary, speakers)))
+
+
 def point_author(kind: Column, title: Column, summary: Column, speakers: Column) -> Column:
     """Who put a point forward: of a question the first speaker; of a request who title or summary name, else the first
     speaker; of a motion who title or summary name, never a speaker; of other points nobody (null)."""
-    said = F.coalesce(author_in_text(title, speakers), author_in_text(summary, speakers))
-    return F.when(kind == "question_orale", first_single_speaker(speakers)).when(kind == "demande_habitant", F.coalesce(said, first_single_speaker(speakers))).when(kind == "motion", said)
+    return F.coalesce(author_told(kind, title, summary, speakers), F.when(kind.isin(*HEARD), first_single_speaker(speakers)))
 
 
 def respondents(raw: Column, mayor: Column, acting: Column) -> Column:
@@ -144,7 +155,7 @@ def respondents(raw: Column, mayor: Column, acting: Column) -> Column:
     holder = lambda c: F.when(looks_like_name(c), c)
 
     def one(part: Column) -> Column:
-        low, name = F.lower(strip_accents(part)), _without_offices(part)
+        low, name = F.lower(strip_word(part)), _without_offices(part)
         office = F.when(low.contains("ff") | low.contains("f.f"), holder(acting)).when(low.contains("bourgmestre") | low.contains("burgemeester"), holder(F.coalesce(F.nullif(mayor, F.lit("")), acting)))
         return F.when(name != "", name).otherwise(office)
 
@@ -159,22 +170,31 @@ def person_role(deposits: Column, answers: Column) -> Column:
 FILMED = "video"
 
 
+def deposit_counts() -> list[Column]:
+    """Deposits by type, and in all."""
+    return [F.count_if(F.col("type") == "question_orale").alias("questions"), F.count_if(F.col("type") == "demande_habitant").alias("requests"), F.count_if(F.col("type") == "motion").alias("motions"), F.count_if(F.col("type") == FILMED).alias("videos"), F.count("*").alias("deposits")]
+
+
 def person_activity(deposits: DataFrame, answers: DataFrame, least: int = 2) -> DataFrame:
     """Per person: deposits by type, answers, role; those with ``least`` or more in all."""
-    d = deposits.groupBy("key").agg(F.count_if(F.col("type") == "question_orale").alias("questions"), F.count_if(F.col("type") == "demande_habitant").alias("requests"), F.count_if(F.col("type") == "motion").alias("motions"), F.count_if(F.col("type") == FILMED).alias("videos"), F.count("*").alias("deposits"))
-    a = answers.groupBy("key").agg(F.count("*").alias("answers"))
+    return activity_of_counts(deposits.groupBy("key").agg(*deposit_counts()), answers.groupBy("key").agg(F.count("*").alias("answers")), least)
+
+
+def activity_of_counts(deposits: DataFrame, answers: DataFrame, least: int = 2) -> DataFrame:
+    """``person_activity`` of what is counted already: key and ``deposit_counts``, key and answers."""
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    x = d.join(a, "key", "full").select("key", *(zero(c) for c in ("questions", "requests", "motions", "videos", "deposits", "answers")))
+    x = deposits.join(answers, "key", "full").select("key", *(zero(c) for c in ("questions", "requests", "motions", "videos", "deposits", "answers")))
     return x.withColumn("role", person_role(F.col("deposits"), F.col("answers"))).filter(F.col("deposits") + F.col("answers") >= least)
 
 
 def best_display_name(variants: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """Per key the name of most words, then characters, then the first by order, among those that end in the key and repeat
     no word; if none does, among all. ``overrides`` name keys that are only ever mentioned by surname."""
-    tokens = F.transform(F.split("name", r"\s+"), norm_token)
-    sound = (F.element_at(tokens, -1) == F.col("key")) & (F.size(F.array_distinct(tokens)) == F.size(tokens))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(sound.cast("int")), F.desc(F.size(tokens)), F.desc(F.length("name")), "name"))
-    best = variants.select("key", "name").distinct().withColumn("_p", place).filter("_p = 1").drop("_p")
+    x = variants.select("key", "name").distinct().withColumn("_t", F.transform(F.split("name", r"\s+"), norm_token))
+    sound = (F.element_at("_t", -1) == F.col("key")) & (F.size(F.array_distinct("_t")) == F.size("_t"))
+    x = x.select("key", "name", sound.cast("int").alias("_s"), F.size("_t").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_s"), F.desc("_n"), F.desc(F.length("name")), "name"))
+    best = x.withColumn("_p", place).filter("_p = 1").select("key", "name")
     if not overrides:
         return best
     told = F.element_at(F.create_map(*(F.lit(x) for kv in overrides.items() for x in kv)), F.col("key"))

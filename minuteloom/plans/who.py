@@ -26,16 +26,12 @@ PEOPLE = f"""WITH p AS ({POINTS}), known AS (SELECT l_suppkey AS k FROM p UNION
   n AS (SELECT key, array_to_string(list_transform(string_split(name, ' '), lambda t: upper(t[1]) || lower(t[2:])), ' ') AS name FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY lower(string_split(name, ' ')[2]) = key DESC, length(name) DESC, name) = 1)"""
 
 
-def whole(spark, sf_dir) -> registry.People:
-    x = view(spark, sf_dir, POINTS).withColumn("intervenants", F.array("said"))
-    return registry.people_registry(x, view(spark, sf_dir, FILMS), bodies=["le college"])
-
-
 @query(PEOPLE + """, c AS (SELECT key, count(*) FILTER (type = 'question_orale') AS questions, count(*) FILTER (type = 'demande_habitant') AS requests, count(*) FILTER (type = 'motion') AS motions, count(*) FILTER (type = 'video') AS videos, count(*) AS deposits FROM d GROUP BY 1),
   e AS (SELECT key, count(*) AS answers FROM a GROUP BY 1), j AS (SELECT key, coalesce(questions, 0) AS questions, coalesce(requests, 0) AS requests, coalesce(motions, 0) AS motions, coalesce(videos, 0) AS videos, coalesce(deposits, 0) AS deposits, coalesce(answers, 0) AS answers FROM c FULL JOIN e USING (key))
   SELECT j.*, CASE WHEN (answers > 0 AND deposits = 0) OR (answers >= 8 AND answers > deposits) THEN 'college' ELSE 'councillor' END AS role, name FROM j LEFT JOIN n USING (key) WHERE deposits + answers >= 2""")
 def a9_people_of_all_sources(spark, sf_dir):
-    return registry.activity(whole(spark, sf_dir))
+    x = view(spark, sf_dir, POINTS).withColumn("intervenants", F.array("said"))
+    return registry.people_activity(x, view(spark, sf_dir, FILMS), bodies=["le college"])
 
 
 @query(f"WITH p AS ({POINTS}), k AS (SELECT o_custkey AS c FROM p WHERE sp % 2 = 1 UNION SELECT l_suppkey FROM p UNION SELECT o_custkey FROM p WHERE type <> 'point' AND l_suppkey % 4 = 0), f AS (SELECT c AS o_custkey FROM k) SELECT DISTINCT lower({CF}) AS first, lower({CL}) AS last FROM f UNION SELECT 'zed', lower({ZL}) FROM p WHERE type <> 'point' AND l_suppkey % 4 = 1")
